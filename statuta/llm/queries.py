@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import langid, packing, simhash
+from statuta.llm import decontaminate, langid, packing, quality, sharding, simhash, urlfilter, warc
 from statuta.llm.common import table
 
 
@@ -16,11 +16,38 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+URL_RULES = [
+    urlfilter.UrlRule("allow", "com/"), urlfilter.UrlRule("block", "example.com/en/"), urlfilter.UrlRule("allow", "www.example.com/en/"),
+    urlfilter.UrlRule("block", "net/es/"), urlfilter.UrlRule("block", "net/fr/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = [m.rule for m in quality.plan(docs)]
+    told = docs.select("doc_id", quality.judge(F.col("text"), rules).alias("q"))
+    return told.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.fold(F.col("doc_id")) == 0)
     profiles = langid.learn(docs.where("not held_out"))
@@ -28,10 +55,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "told.lang_pred", "told.score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *(f"contamination.{c}" for c in ("contaminated", "item_id", "coverage", "tiles", "tiled_words")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
