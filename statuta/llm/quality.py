@@ -105,7 +105,7 @@ class Rule:
 RULES = (
     Rule("base", lambda d: d.base_failed),
     Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 20 * d.n_words),
-    Rule("symbols", lambda d: 5 * d.n_symbols > d.word_chars),
+    Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
     Rule("duplicate_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("letters", lambda d: 2 * d.letters < d.word_chars),
 )

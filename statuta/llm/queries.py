@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import decontaminate, langid, packing, quality, sharding, simhash, urlfilter, warc
+from statuta.llm import decontaminate, langid, packing, pii, quality, sharding, simhash, urlfilter, warc
 from statuta.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
