@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The words of every contract: runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +36,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(rows: DataFrame, limit: int = 50_000) -> DataFrame:
+    """rows, to be broadcast if a count finds at most `limit` of them; else Spark joins them by a shuffle."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import stash
+from statuta.llm.common import small, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Look-behinds only keep the search from starting anew within a run that has failed,
@@ -127,7 +127,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, rule: Disclosure = Discl
     entities = held.select(entity.alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     candidates = stash(joint.select("term").distinct(), "candidates")
     words = docs.select(F.explode(_terms(F.col(text_col))).alias("term"))
-    total = words.join(_small(candidates, rule), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    total = words.join(small(candidates, rule.broadcast_rows), "term").groupBy("term").agg(F.count("*").alias("n_term"))
     n = docs.agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.col("joint") / F.col("n_term"))
     bits = F.log2(share * F.col("n") / F.col("n_entity"))
@@ -136,11 +136,6 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, rule: Disclosure = Discl
     return told.groupBy("term").agg(F.max(share).alias("disclosure"))
 
 
-def _small(rows: DataFrame, rule: Disclosure) -> DataFrame:
-    """rows, to be broadcast if a count finds them few."""
-    return F.broadcast(rows) if rows.limit(rule.broadcast_rows + 1).count() <= rule.broadcast_rows else rows
-
-
 def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each distinct pair of id and text that has spans: key, base (spans of the four kinds) and terms
     (spans of kind `term`, or `drop` for those to be removed). Documents that are not listed have none."""
@@ -149,9 +144,9 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id
     base = stash(rows.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0), "base-spans")
     terms = stash(disclosing_terms(rows, base, rule), "terms")
     words = rows.select("key", F.explode(_terms(F.col("text"))).alias("term"))
-    matched = words.join(_small(terms, rule), "term").groupBy("key").agg(F.collect_set(F.struct("term", "disclosure")).alias("held"))
+    matched = words.join(small(terms, rule.broadcast_rows), "term").groupBy("key").agg(F.collect_set(F.struct("term", "disclosure")).alias("held"))
     matched = stash(matched, "matched")
-    inner = rows.join(_small(matched, rule), "key").dropDuplicates(["key"])
+    inner = rows.join(small(matched, rule.broadcast_rows), "key").dropDuplicates(["key"])
 
     def pattern(drop: bool) -> Column:
         own = F.transform(F.filter("held", lambda x: (x["disclosure"] >= rule.remove) == drop), lambda x: x["term"])
@@ -188,7 +183,7 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
     found = found.where(F.size("pii_spans") > 0)
     names, text = docs.columns, F.col(text_col)
     keyed = docs.withColumn("pii_key", _key(id_col, F.coalesce(text, F.lit(""))))
-    joined = keyed.join(_small(found, rule), "pii_key", "left")
+    joined = keyed.join(small(found, rule.broadcast_rows), "pii_key", "left")
     spans = F.array_sort("pii_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     label = lambda x: F.when(x["kind"] == "drop", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
 
