@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import decontaminate, langid, packing, pii, quality, sharding, simhash, urlfilter, warc
-from statuta.llm.common import table
+from statuta.llm import decontaminate, langid, packing, pii, quality, sharding, simhash, tokencounts, urlfilter, warc
+from statuta.llm.common import fresh_path, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents: inserts under two tokenizers, revised counts under the second,
+    which had counted words only, deletes of texts below ten words, and the second batch sent again."""
+    docs = table(spark, sf_dir, "documents")
+    words, pieces = tokencounts.word_count(F.col("text")), tokencounts.piece_count(F.col("text"))
+    docs = docs.select("source", "lang", words.alias("words"), pieces.alias("pieces"))
+    of = lambda name, n: tokencounts.state(F.col("source"), F.col("lang"), F.lit(name), F.col(n))
+    store = tokencounts.TokenTotals(spark, fresh_path(spark, "token-counts"))
+    first = docs.select(*tokencounts.change("insert", after=of("words-1", "words")))
+    store.commit("inserts", first.unionByName(docs.select(*tokencounts.change("insert", after=of("pieces-1", "words")))))
+    revised = docs.where("words <> pieces").select(*tokencounts.change("revise", of("pieces-1", "words"), of("pieces-1", "pieces")))
+    store.commit("revised", revised)
+    store.compact()
+    few = docs.where("words < 10")
+    store.commit("deletes", few.select(*tokencounts.change("delete", of("words-1", "words"))).unionByName(few.select(*tokencounts.change("delete", of("pieces-1", "pieces")))))
+    store.commit("revised", revised)
+    return store.totals()
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = [m.rule for m in quality.plan(docs)]
@@ -68,6 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
@@ -77,4 +97,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of the same rows. The methods of operators 1, 2, 5, 6, 9 and 10 can't be put in SQL: they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_token_counts": r"""
+        WITH n AS (
+            SELECT source, lang,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+                len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS pieces
+            FROM documents)
+        SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+        FROM (SELECT source, lang, 'words-1' AS tokenizer, words AS n_tokens FROM n WHERE words >= 10
+              UNION ALL SELECT source, lang, 'pieces-1', pieces FROM n WHERE words >= 10)
+        GROUP BY ALL""",
+    "op4_quality": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        p AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+        g AS (SELECT r, i, array_to_string(ws[i:i + 4], chr(10)) AS gram FROM p),
+        a AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1),
+        c AS (SELECT r, count(DISTINCT i + k) AS n FROM a, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+        f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                len(ls) AS n_lines, length(regexp_replace(t, '[^\pL]', '', 'g')) AS letters
+              FROM w LEFT JOIN c USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+                AND 10 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 2 * letters >= word_chars AS kept
+        FROM f""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN NULL ELSE TRUE END AS intact
+        FROM d""",
+}
