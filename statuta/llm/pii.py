@@ -9,7 +9,7 @@ information log2 P(e|t)/P(e). A term whose P(e|t) and information reach the disc
 removed. Terms are marked wherever they stand, not only near the entity.
 
 Copies give the same context, so they add no support. The rows that are shuffled are those of terms near
-entities, counts by term, and the documents' matched terms. The terms, and the documents that hold one, are
+entities, the corpus's counts by term (summed in each task first), and the documents' matched terms. The terms, and the documents that hold one, are
 broadcast if they are few enough (`broadcast_rows`, checked by a count) and joined by a shuffle if not.
 
 Defined cases: a null text is an empty one; repeated rows are treated alike and each counts; a null id is a
@@ -127,7 +127,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, rule: Disclosure = Discl
     entities = held.select(entity.alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     candidates = stash(joint.select("term").distinct(), "candidates")
     words = docs.select(F.explode(_terms(F.col(text_col))).alias("term"))
-    total = words.join(small(candidates, rule.broadcast_rows), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    total = words.groupBy("term").agg(F.count("*").alias("n_term")).join(small(candidates, rule.broadcast_rows), "term")
     n = docs.agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.col("joint") / F.col("n_term"))
     bits = F.log2(share * F.col("n") / F.col("n_entity"))
