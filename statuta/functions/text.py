@@ -6,12 +6,14 @@ import hashlib
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 DIMENSIONS = 256
 WORD = re.compile(r"\w+")
@@ -40,14 +42,21 @@ def strip_diacritics(x: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(x), *_accents()), r"\p{Mn}", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokenize(x: Column) -> Column:
     """Lower-case words at white space, then each occurrence's form without marks where no word has that form."""
     words = F.filter(F.split(F.lower(x), r"(?U)\s+"), lambda t: t != "")
-    bare = F.filter(F.transform(words, strip_diacritics), lambda t: (t != "") & ~F.array_contains(words, t))
-    return F.concat(words, bare)
+    marked = lambda w: F.filter(w, lambda t: F.regexp_like(t, F.lit(r"[^\x00-\x7F]")))
+    bare = lambda w: F.filter(F.transform(marked(w), strip_diacritics), lambda t: t != "")
+    new = lambda w, b: let(F.array_intersect(b, w), lambda held: F.filter(b, lambda t: ~F.array_contains(held, t)))
+    return let(words, lambda w: F.concat(w, let(bare(w), lambda b: new(w, b))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Unicode normal form C, which Spark has no function for."""
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
@@ -79,7 +88,7 @@ def hashing_vectors(texts: list[str]) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashing_embedding(x: pd.Series) -> pd.Series:
     return pd.Series(list(hashing_vectors(x.tolist())))
 

@@ -72,7 +72,8 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N) -> Dat
     words = words.groupBy("query_id", "category", "entity_type", "province", "view", "token").agg(F.count("*").alias("times"))
     weighed = words.join(idf, ["view", "token"]).join(F.broadcast(seen), "view")
     vocabulary = words.select("token").distinct()
-    postings = chunks.select("chunk_id", *CELL, F.size(tokenize(F.col("text"))).alias("dl"), F.explode(tokenize(F.col("text"))).alias("token"))
+    postings = chunks.select("chunk_id", *CELL, tokenize(F.col("text")).alias("tokens"))
+    postings = postings.select("chunk_id", *CELL, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     postings = postings.join(small(vocabulary), "token", "left_semi").groupBy("chunk_id", *CELL, "dl", "token").agg(F.count("*").alias("tf"))
     hits = postings.alias("c").join(weighed.alias("q"), (F.col("c.token") == F.col("q.token")) & _sees("q", "c"))
     norm = F.col("tf") + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("dl") / F.col("avgdl"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from statuta.functions.text import hashing_vectors, nfc, task_prompt
 
@@ -23,7 +24,7 @@ def embed_column(make: Callable[[], Callable[[list[str]], np.ndarray]], model: s
             size = np.linalg.norm(out, axis=1, keepdims=True) if out.size else out
             yield pd.Series(list(out / np.where(size > 0, size, 1)) if out.size else [], dtype=object)
 
-    udf = F.pandas_udf(run, "array<double>")
+    udf = F.pandas_udf(run, ArrayType(DoubleType()))
     return lambda rows: rows.withColumn("embedding", udf(task_prompt(model, nfc("text"), task)))
 
 
