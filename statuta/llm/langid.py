@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BITS = 21  # of a code point
 END = 1  # marks the end of a word; U+0001 is no letter
-PIECE = 1 << 20  # characters that are counted at a time
+PIECE = 1 << 17  # characters that are counted at a time
 
 _letters: np.ndarray | None = None
 
