@@ -91,13 +91,13 @@ def update_status(stored: DataFrame, updates: DataFrame) -> tuple[DataFrame, Dat
     """The checklist with updates (user_id, id, status) of own items, and the updates that are refused."""
     valid = updates.where(F.col("status").isin(R.ITEM_STATUSES)).join(stored.select("user_id", "id"), ["user_id", "id"], "left_semi")
     refused = updates.join(valid, ["user_id", "id", "status"], "left_anti")
-    new = valid.select("user_id", "id", F.col("status").alias("new"))
+    new = valid.groupBy("user_id", "id").agg(F.max("status").alias("new"))
     return stored.join(new, ["user_id", "id"], "left").withColumn("status", F.coalesce("new", "status")).select(*stored.columns), refused
 
 
 def mark_done(stored: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """requests: request_id, user_id, title_contains. The checklist with items done that one request alone names, and a message for each request."""
-    at = requests.join(stored.select("user_id", "id", "title"), "user_id", "left").withColumn("hit", F.coalesce(F.col("title").ilike(F.concat(F.lit("%"), "title_contains", F.lit("%"))), F.lit(False)))
+    at = requests.join(stored.select("user_id", "id", "title"), "user_id", "left").withColumn("hit", F.coalesce(F.ilike("title", F.concat(F.lit("%"), "title_contains", F.lit("%"))), F.lit(False)))
     told = at.groupBy("request_id", "user_id", "title_contains").agg(
         F.count_if("hit").alias("n"), F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct("id", "title")))).alias("found")
     )

@@ -15,36 +15,36 @@ TOKENS = "list_concat(w, list_filter(list_transform(w, lambda t: strip_accents(t
 
 
 def tokens_sql(name: str, rel: str, key: str, column: str) -> str:
-    return f"{name}_w AS (SELECT {key}, list_filter(string_split_regex(lower({column}), '\\s+'), lambda t: t <> '') AS w FROM {rel}), {name} AS (SELECT {key}, {TOKENS} AS tokens FROM {name}_w)"
+    return f"{name}_w AS (SELECT {key}, list_filter(string_split_regex(lower({column}), '\\s+'), lambda t: t <> '') AS w FROM {rel}), {name} AS MATERIALIZED (SELECT {key}, {TOKENS} AS tokens FROM {name}_w)"
 
 
 # q: query_id, category, query_text, entity_type, province.
 BM25_SQL = f"""
     {tokens_sql("ct", "chunks", "chunk_id", "text")}, {tokens_sql("qt", "q", "query_id", "query_text")},
-    cand AS (SELECT q.query_id, c.chunk_id FROM q JOIN chunks c ON {SEES}),
+    cand AS MATERIALIZED (SELECT q.query_id, c.chunk_id FROM q JOIN chunks c ON {SEES}),
     key AS (SELECT query_id, row_number() OVER (PARTITION BY category, entity_type, province ORDER BY query_id) = 1 AS first, min(query_id) OVER (PARTITION BY category, entity_type, province) AS k FROM q),
-    kc AS (SELECT k, chunk_id FROM cand JOIN key USING (query_id) WHERE first),
-    seen AS (SELECT k, count(*) AS n, sum(len(tokens)) / count(*) AS avgdl FROM kc JOIN ct USING (chunk_id) GROUP BY k),
-    tf AS (SELECT chunk_id, token, len(any_value(tokens)) AS dl, count(*) AS tf FROM (SELECT chunk_id, tokens, unnest(tokens) AS token FROM ct) GROUP BY 1, 2),
-    df AS (SELECT k, token, count(*) AS df FROM kc JOIN tf USING (chunk_id) GROUP BY 1, 2),
-    raw AS (SELECT k, token, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN seen USING (k)),
+    kc AS MATERIALIZED (SELECT k, chunk_id FROM cand JOIN key USING (query_id) WHERE first),
+    seen AS MATERIALIZED (SELECT k, count(*) AS n, sum(len(tokens)) / count(*) AS avgdl FROM kc JOIN ct USING (chunk_id) GROUP BY k),
+    tf AS MATERIALIZED (SELECT chunk_id, token, len(any_value(tokens)) AS dl, count(*) AS tf FROM (SELECT chunk_id, tokens, unnest(tokens) AS token FROM ct) GROUP BY 1, 2),
+    df AS MATERIALIZED (SELECT k, token, count(*) AS df FROM kc JOIN tf USING (chunk_id) GROUP BY 1, 2),
+    raw AS MATERIALIZED (SELECT k, token, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN seen USING (k)),
     fl AS (SELECT k, 0.25 * avg(raw) AS floor FROM raw GROUP BY k),
-    idf AS (SELECT k, token, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw JOIN fl USING (k)),
+    idf AS MATERIALIZED (SELECT k, token, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw JOIN fl USING (k)),
     qw AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(tokens) AS token FROM qt) GROUP BY 1, 2),
     sc AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
         FROM qw JOIN key USING (query_id) JOIN idf USING (k, token) JOIN seen USING (k) JOIN tf USING (token) JOIN cand USING (query_id, chunk_id) GROUP BY 1, 2),
-    bm AS (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, chunk_id) AS rank FROM cand LEFT JOIN sc USING (query_id, chunk_id))"""
+    bm AS MATERIALIZED (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, chunk_id) AS rank FROM cand LEFT JOIN sc USING (query_id, chunk_id))"""
 
 
 def vector_sql(rel: str, key: str, column: str, name: str) -> str:
     return f"""{name}_b AS (SELECT {key}, CAST('0x' || right(md5(t), 2) AS INT) AS bucket, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({column}), '[\\pL\\pN_]+')) AS t FROM {rel}) GROUP BY 1, 2),
-    {name} AS (SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM {name}_b)"""
+    {name} AS MATERIALIZED (SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM {name}_b)"""
 
 
 VECTOR_SQL = f"""
     {vector_sql("chunks", "chunk_id", "text", "cv")}, {vector_sql("q", "query_id", "query_text", "qv")},
-    dot AS (SELECT query_id, chunk_id, sum(cv.w * qv.w) AS s FROM cv JOIN qv USING (bucket) GROUP BY 1, 2),
-    near AS (SELECT q.query_id, c.chunk_id, {SEES.replace("c.category = q.category AND ", "")} AS sees, round(coalesce(s, 0), 9) AS similarity,
+    dot AS MATERIALIZED (SELECT query_id, chunk_id, sum(cv.w * qv.w) AS s FROM cv JOIN qv USING (bucket) GROUP BY 1, 2),
+    near AS MATERIALIZED (SELECT q.query_id, c.chunk_id, {SEES.replace("c.category = q.category AND ", "")} AS sees, round(coalesce(s, 0), 9) AS similarity,
         row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(s, 0), 9) DESC, c.chunk_id) AS rank FROM q JOIN chunks c USING (category) LEFT JOIN dot ON dot.query_id = q.query_id AND dot.chunk_id = c.chunk_id)"""
 
 FUSED_SQL = """
@@ -68,7 +68,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "z2_hybrid_retrieval",
     f"""WITH {V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, {Q_SQL}, {BM25_SQL}, {VECTOR_SQL},
-    v AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 5 AND sees), {FUSED_SQL}
+    v AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 5 AND sees), {FUSED_SQL}
     SELECT query_id, chunk_id, round(fused, 9) AS fused, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, br NULLS LAST, vr NULLS LAST) AS INT) AS rank FROM fused""",
 )
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +80,15 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # In the pruned form each question's pool is the corpus.
 POOL_BM25_SQL = f"""
     {tokens_sql("ct", "chunks", "chunk_id", "text")}, {tokens_sql("qt", "q", "query_id", "query_text")},
-    v AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 100 AND sees),
-    seen AS (SELECT query_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM v JOIN ct USING (chunk_id) GROUP BY 1),
-    tf AS (SELECT query_id, chunk_id, token, len(any_value(tokens)) AS dl, count(*) AS tf FROM (SELECT query_id, chunk_id, tokens, unnest(tokens) AS token FROM v JOIN ct USING (chunk_id)) GROUP BY 1, 2, 3),
-    raw AS (SELECT query_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN seen USING (query_id) GROUP BY 1, 2),
+    v AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 100 AND sees),
+    seen AS MATERIALIZED (SELECT query_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM v JOIN ct USING (chunk_id) GROUP BY 1),
+    tf AS MATERIALIZED (SELECT query_id, chunk_id, token, len(any_value(tokens)) AS dl, count(*) AS tf FROM (SELECT query_id, chunk_id, tokens, unnest(tokens) AS token FROM v JOIN ct USING (chunk_id)) GROUP BY 1, 2, 3),
+    raw AS MATERIALIZED (SELECT query_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN seen USING (query_id) GROUP BY 1, 2),
     fl AS (SELECT query_id, 0.25 * avg(raw) AS floor FROM raw GROUP BY 1),
     qw AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(tokens) AS token FROM qt) GROUP BY 1, 2),
     sc AS (SELECT query_id, chunk_id, sum(times * CASE WHEN raw < 0 THEN floor ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
         FROM qw JOIN raw USING (query_id, token) JOIN fl USING (query_id) JOIN seen USING (query_id) JOIN tf USING (query_id, token) GROUP BY 1, 2),
-    bm AS (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, v.rank) AS rank FROM v LEFT JOIN sc USING (query_id, chunk_id))"""
+    bm AS MATERIALIZED (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, v.rank) AS rank FROM v LEFT JOIN sc USING (query_id, chunk_id))"""
 
 
 @query(
@@ -104,7 +104,7 @@ def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCH_SQL = f"""WITH {V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, q AS (SELECT query_id * 10 + k AS query_id, query_id AS asked, ['tax', 'contracts_signing', 'labor_insurance'][k] AS category, query_text, entity_type, province
         FROM questions, (SELECT unnest([1, 2, 3]) AS k)), {BM25_SQL}, {VECTOR_SQL},
-    v AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 5 AND sees), {FUSED_SQL},
+    v AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 5 AND sees), {FUSED_SQL},
     two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, br NULLS LAST, vr NULLS LAST) AS rank FROM fused),
     best AS (SELECT q.asked, q.category, chunk_id, fused, bm25, row_number() OVER (PARTITION BY asked ORDER BY fused DESC, bm25 DESC, two.query_id, rank) AS best FROM two JOIN q USING (query_id) WHERE rank <= 2)
     SELECT asked AS query_id, category, chunk_id, round(fused, 9) AS fused, round(bm25, 6) AS bm25, CAST(best AS INT) AS rank FROM best WHERE best <= 5"""
