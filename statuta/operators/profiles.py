@@ -96,4 +96,4 @@ def checked_profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles in range, with defaults; and the others."""
     good = F.coalesce(F.col("age").isNull() | F.col("age").between(0, 120), F.lit(False)) & F.coalesce(F.length("username").between(1, 64), F.lit(False))
     defaults = {"dependents": 0, "has_business": False, "owns_property": False, "owns_vehicle": False}
-    return rows.where(good).fillna(defaults), rows.where(~good)
+    return rows.where(good).fillna({k: v for k, v in defaults.items() if k in rows.columns}), rows.where(~good)
