@@ -30,6 +30,7 @@ GENERATOR = 0b101011100011  # of the Golay code, as a polynomial over GF(2); a f
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit and length
 PAIRS = ((0, 1), (0, 2), (1, 2))
 RADIUS = 4
+HOT_SHARE = 1000  # a fingerprint of more than a thousandth of all rows is joined without a shuffle
 
 _index: np.ndarray | None = None
 
@@ -207,10 +208,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has a null id; an empty table gives no rows.
     """
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    least = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    least = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     parts = components(print_links(least)).withColumnRenamed("node", "fp")
     linked = parts.join(least, "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    known = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = stash(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "fingerprint-components")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(known.where(F.col("n") * HOT_SHARE > total).drop("n"))  # fewer than HOT_SHARE rows, as each has more than that share of all
+    rest = known.where(F.col("n") * HOT_SHARE <= total).drop("n")
+    often, others = rows.join(hot, "fp"), rows.join(hot, "fp", "left_anti").join(rest, "fp")
+    return often.unionByName(others).select("doc_id", "fp", "component_id")
