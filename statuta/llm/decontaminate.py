@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import stash
+from statuta.llm.common import give_back, stash
 
 WORDS = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -146,6 +146,7 @@ def best_item(text: Column, items: list[tuple[int, str]], min_match: int, spark)
     def run(texts: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Items(sent.value, min_match))
+        give_back()
         out = [made[0].best(x) or (None, None, None, None) for x in texts]
         return pd.DataFrame(out, columns=["coverage", "item_id", "tiles", "tiled_words"]).astype({"coverage": "float64", "item_id": "Int64", "tiles": "Int64", "tiled_words": "Int64"})
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.llm.common import give_back
+
 UNKNOWN = "und"
 BITS = 21  # of a code point
 END = 1  # marks the end of a word; U+0001 is no letter
@@ -97,8 +99,9 @@ def count_ngrams(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
                 for _, texts in _pieces(own.tolist()):
                     _, grams, n = _ngrams(texts)
                     parts.append((grams, n))
-                    if sum(len(g) for g, _ in parts[1:]) > 2_000_000:
+                    if sum(len(g) for g, _ in parts[1:]) > 500_000:
                         parts[:] = [_merged(parts)]
+            give_back()
         for name, parts in held.items():
             grams, n = _merged(parts)
             yield pd.DataFrame({"lang": name, "gram": grams, "n": n})
@@ -159,6 +162,7 @@ def predict(text: Column, p: Profiles) -> Column:
                 best, some = far.argmin(axis=1), kept > 0
                 lang[some] = np.array(p.langs, object)[best[some]]
                 score[some] = 1 - far[some, best[some]] / (p.size * kept[some])
+            give_back()
             yield pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0, 1)})
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)

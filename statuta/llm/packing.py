@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from statuta.llm.common import give_back
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -40,13 +42,15 @@ class Tokens:
     order of its merges, tiktoken gives the same ids at a quarter of the time; else `tokenizers` encodes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
-        self.t.no_padding()
-        self.t.no_truncation()
         self.ranked = self._ranks(path)
+        if not self.ranked:
+            from tokenizers import Tokenizer
+
+            self.t = Tokenizer.from_file(path)
+            self.t.encode_special_tokens = True
+            self.t.no_padding()
+            self.t.no_truncation()
+        give_back()
 
     def _ranks(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -211,6 +215,7 @@ def pack_tokens(df: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[tuple
             if held > 4 << 20:
                 yield flush()
                 rows, held = [], 0
+                give_back()
         if rows:
             yield flush()
 

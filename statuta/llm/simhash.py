@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import stash
+from statuta.llm.common import give_back, stash
 from statuta.llm.components import Forest, components
 
 GENERATOR = 0b101011100011  # of the Golay code, as a polynomial over GF(2); a fixed value
@@ -96,6 +96,7 @@ def fingerprint(text: Column, size: int = 4) -> Column:
             lists = [shingle_hashes(x or "", size) for x in texts.iloc[i : i + 512]]
             flat = np.fromiter((h for x in lists for h in x), np.uint64)
             out.append(bit_majorities(flat, np.fromiter(map(len, lists), np.int64, len(lists))))
+        give_back()
         return pd.Series(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))
 
     return F.pandas_udf(run, "long")(text)
