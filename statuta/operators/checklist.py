@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from statuta import refdata as R
 from statuta.functions.deadlines import due_date
 from statuta.functions.text import citation
+from statuta.operators.retrieval import retrieve
 
 OBLIGATION = (
     "struct<title:string,description:string,deadline_type:string,deadline_month:int,deadline_day:int,period_months:int,"
@@ -30,6 +33,15 @@ def extract(chunks: DataFrame, extractor: Callable[[str, str], str]) -> DataFram
     return chunks.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", extraction string")
 
 
+def rule_extractor(text: str, category: str, duty: str = r"(?i)\b(?:phải|có nghĩa vụ|shall|must)\b") -> str:
+    """The extractor that needs no model: the first sentence with a word of duty, due on the 20th of January and every three months."""
+    for sentence in re.split(r"(?<=[.;])\s+", text or ""):
+        if re.search(duty, sentence):
+            item = {"title": sentence[:60], "description": sentence[:300], "deadline_type": "recurring", "deadline_month": 1, "deadline_day": 20, "period_months": 3, "penalty_summary": ""}
+            return json.dumps({"obligations": [item]}, ensure_ascii=False)
+    return json.dumps({"obligations": []})
+
+
 def obligations(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Obligation rows of the column `extraction`, and those that lack a required field. Text that is no JSON gives none."""
     rows = extracted.withColumn("o", F.explode(F.from_json("extraction", OUTPUT)["obligations"]))
@@ -59,6 +71,15 @@ def generate(hits: DataFrame, queries: DataFrame, chunks: DataFrame, extractor:
     return items(best.join(found, ["category", "chunk_id"]), today)
 
 
+def generate_for_users(queries: DataFrame, chunks: DataFrame, today: Column, is_semantic: bool = False, extractor: Callable[[str, str], str] = rule_extractor, top_k: int = 3) -> DataFrame:
+    """Items for the category queries of all users. Users who ask the same see the same, so each distinct question is retrieved once."""
+    same = ["category", "query_text", "entity_type", "province"]
+    shared = queries.withColumn("shared", F.xxhash64(*(F.coalesce(F.col(c), F.lit("\0")) for c in same)))
+    asked = shared.select(F.col("shared").alias("query_id"), *same).dropDuplicates(["query_id"])
+    hits = retrieve(asked, chunks, is_semantic).select(F.col("query_id").alias("shared"), "chunk_id", "rank").where(F.col("rank") <= top_k)
+    return generate(shared.join(hits, "shared").select("query_id", "chunk_id", "rank"), queries, chunks, extractor, today, top_k)
+
+
 def replace_items(stored: DataFrame, users: DataFrame, new: DataFrame, preserve_status: bool = False) -> DataFrame:
     """The checklist with the items of `users` replaced by new ones."""
     if preserve_status:

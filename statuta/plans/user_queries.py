@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,3 +218,17 @@ def detail_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs, rest = S.documents_of_details(S.detail_fields(rows))
     return docs.select(F.lit("document").alias("outcome")).unionByName(rest.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# Of each user's queries only the choice of chunks needs retrieval; the SQL checks that every user of a category that has chunks gets items of it.
+@query(
+    "z5_generate_checklist",
+    f"""WITH {V.PROFILES_SQL}, {TRAITS_SQL}, {V.CHUNKS_SQL}, u AS (SELECT DISTINCT user_id FROM traits)
+    SELECT category, count(DISTINCT user_id) AS users, TRUE AS dated FROM u, (SELECT DISTINCT category FROM chunks) GROUP BY 1""",
+)
+def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checklists of all users from their profiles, by the extractor that needs no model."""
+    p = V.profiles(spark, sf_dir)
+    users = profiles.sorted_traits(profiles.trait_rows(p)).join(p.select("user_id", "province"), "user_id")
+    new = checklist.generate_for_users(profiles.category_queries(users), V.chunks(spark, sf_dir), F.lit(TODAY).cast("date"), extractor=partial(checklist.rule_extractor, duty=r"\w"))
+    return new.groupBy("category").agg(F.count_distinct("user_id").alias("users"), F.bool_and(F.col("due_date") == F.lit("2024-07-20").cast("date")).alias("dated"))
