@@ -1,14 +1,15 @@
-"""Removal of near-duplicate documents: Golay-keyed SimHash candidates, verified by the Jaccard similarity of word shingles.
+"""Removal of near-duplicate documents: Golay-keyed SimHash and min-hash candidates, verified by the Jaccard similarity of word shingles.
 
-A shingle fingerprint of 64 bits with 4 errors only finds texts that are almost equal. For a similarity of 0.8
-of five-word shingles, about one word in forty may differ; so the fingerprints here are of the sets of distinct
-words (lower case, no punctuation), of which such texts share most, and there are several from independent
-hashes. Texts that share a Golay key of any of them and differ in few bits are candidates; only those whose
-shingle sets reach the similarity are linked. A pair within 4 bits in any table is always a candidate; the
-share of found pairs at a given similarity is therefore high but not one (see the README for measured recall).
+Fingerprints of 64 bits of the sets of distinct words (lower case, no punctuation) find texts with scattered edits by
+Golay keys. They say little of texts that share most words but not their order, or of which one holds the other.
+So each text also has a signature of the very sets that are compared: BANDS * ROWS min-hashes of its shingles, a byte
+of each. Texts whose signatures are equal in a band are candidates, whatever the change: of pairs of similarity 0.8
+all but (1 - 0.8^6)^40, 5 in a million, share a band. Pairs whose signatures agree in fewer than AGREE places are not
+compared (1 in a million of those at 0.8 or more agree in fewer).
 
-Where more than eight texts share a key, each is compared along a spanning forest from the
-one nearest to the majority of the bits, not with all others; so the pairs grow with the group, not with its square.
+Where more than eight texts share a band, each is first compared with the one of smallest id. What that and the other
+bands don't link into one group is then compared in full: texts of different groups in a band, in blocks of
+BLOCK rows by BLOCK rows over the tasks, by signature; pairs that agree enough are verified. No pair is given up.
 
 Defined cases: texts are copies if they are equal; null and wordless texts are only ever exact copies; of each
 group the row of smallest id stays (a null id last), and of repeated rows one; extra columns are kept.
@@ -33,7 +34,9 @@ from statuta.llm.simhash import SMALL, _batch, bit_majorities, by_bucket, forest
 WORDS = re.compile(r"\w+")
 NEAR = 8  # bits of a fingerprint in which candidates differ at most
 NEAR_TWO = 28  # bits of it and of the next table's, 128 in all: texts of similarity 0.8 differ in about 9, unrelated ones in 40 and more
-FAR = 0.22  # of all fingerprints' bits
+BANDS, ROWS = 40, 6
+AGREE = 163  # of 240 places of two signatures; at similarity 0.8 the mean is 192, the deviation 6.2
+BLOCK = 2000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,21 +64,124 @@ def word_prints(text: Column, tables: int) -> Column:
     return F.pandas_udf(run, "array<long>")(text)
 
 
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text; of the whole sequence if it is shorter."""
+    w = words(text)
+    runs = {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    return np.fromiter((xxhash.xxh32_intdigest(s, 0) for s in runs), np.uint32, len(runs))
+
+
 def shingle_set(text: Column, size: int) -> Column:
-    """Sorted hashes of the distinct shingles of a text; of the whole sequence if it is shorter."""
+    """Sorted hashes of the distinct shingles of a text."""
 
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for x in texts:
-            w = words(x)
-            runs = {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
-            out.append(np.sort(np.fromiter((xxhash.xxh32_intdigest(s, 0) - 2**31 for s in runs), np.int32, len(runs))))
+        out = [np.sort((shingles(x, size).astype(np.int64) - 2**31).astype(np.int32)) for x in texts]
         give_back()
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<int>")(text)
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Bytes of the min-hashes of sets of hashes, none empty: a row for each."""
+    rng = np.random.default_rng(20)
+    salts = rng.integers(0, 2**32, (BANDS * ROWS, 3), np.uint64).astype(np.uint32)
+    salts[:, 1:] |= np.uint32(1)
+    out, i = np.empty((len(sets), BANDS * ROWS), np.uint8), 0
+    while i < len(sets):
+        j, n = i + 1, len(sets[i])
+        while j < len(sets) and n + len(sets[j]) <= 1 << 15:
+            n, j = n + len(sets[j]), j + 1
+        h, first = np.concatenate(sets[i:j]), np.cumsum([0, *map(len, sets[i : j - 1])])
+        for k, (x, m1, m2) in enumerate(salts):
+            v = (h ^ x) * m1
+            v ^= v >> np.uint32(15)
+            v *= m2
+            v ^= v >> np.uint32(16)
+            low = np.minimum.reduceat(v, first) * np.uint32(0x9E3779B1)
+            out[i:j, k] = low >> np.uint32(24)
+        i = j
+    return out
+
+
+def signature(text: Column, size: int) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(texts), 256):
+            out += [x.tobytes() for x in signatures([shingles(x, size) for x in texts.iloc[i : i + 256]])]
+        give_back()
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "binary")(text)
+
+
+def _signs(column) -> np.ndarray:
+    """Signatures of an Arrow or pandas column as rows of bytes."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def banded(prints: DataFrame) -> DataFrame:
+    """From rows of id and sign: pairs a < b of texts in one band; where more than SMALL are, a is the smallest id and band is set."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                some = batch.slice(i, 2048)
+                signs = _signs(some.column(1).to_pylist()).astype(np.int64)
+                for k in range(BANDS):
+                    key = np.full(len(signs), k, np.int64)
+                    for r in range(ROWS):
+                        key = key << 8 | signs[:, k * ROWS + r]
+                    yield _batch({"key": key, "id": some.column(0).to_numpy(zero_copy_only=False)})
+            give_back()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids in by_bucket(batches, ("key", "id")):
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            size = np.diff(np.append(first, len(key)))
+            rows, hub = np.flatnonzero(np.repeat(size <= SMALL, size)), np.repeat(first, size)
+            many = np.flatnonzero(np.repeat(size > SMALL, size) & (np.arange(len(key)) != hub))
+            found = [(hub[many], many)]
+            for d in range(1, SMALL):
+                near = np.flatnonzero(key[rows[d:]] == key[rows[:-d]])
+                found.append((rows[near], rows[near + d]))
+            a, b = (np.concatenate(x) for x in zip(*found))
+            if len(a):
+                band = pa.array(key[a], pa.int64(), mask=np.arange(len(a)) >= len(many))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), band], ["a", "b", "band"])
+
+    rows = prints.select("id", "sign").mapInArrow(keys, "key long, id long")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(pairs, "a long, b long, band long")
+
+
+def apart_in_bands(large: DataFrame, linked: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs a < b of texts that share a large band (rows a, b, band), are in different groups of the links so far, and agree in AGREE places."""
+    roots = components(linked)
+    members = large.select("band", F.col("b").alias("id")).unionByName(large.groupBy("band").agg(F.min("a").alias("id")))
+    members = stash(members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")), "band-members")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    told = members.join(sizes.where("least <> most").select("band", blocks.alias("blocks")), "band").join(prints.select("id", "sign"), "id")
+    told = told.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = told.select("band", "id", "root", "sign", "block", other).select(
+        "band", "id", "root", "sign", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block"
+    )
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        signs, ids, roots = _signs(block["sign"]), block["id"].to_numpy(), block["root"].to_numpy()
+        left = np.flatnonzero(block["block"].to_numpy() == block["lo"].iloc[0])
+        right = np.flatnonzero(block["block"].to_numpy() == block["hi"].iloc[0])
+        found = [np.empty((0, 2), np.int64)]
+        for i in left:
+            at = right[roots[right] != roots[i]]
+            near = at[(signs[at] == signs[i]).sum(axis=1) >= AGREE]
+            found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    return met.groupBy("band", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
 def candidates(prints: DataFrame, tables: int) -> DataFrame:
     """Pairs a < b of text ids (columns id, prints) that share a key in some table and differ in few bits there."""
 
@@ -119,15 +225,19 @@ def candidates(prints: DataFrame, tables: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def similar_pairs(docs: DataFrame, text: Column, tables: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Pairs a < b of the ids (hash of the text) of different texts whose shingle sets reach the similarity."""
-    told = docs.select(F.xxhash64(text).alias("id"), word_prints(text, tables).alias("prints")).where("prints is not null")
-    told = stash(told.dropDuplicates(["id"]), "word-prints")
-    pairs = candidates(told, tables)
+def agreeing(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Those pairs a, b whose signatures agree in AGREE places."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series((_signs(a) == _signs(b)).sum(axis=1) >= AGREE) if len(a) else pd.Series([], dtype=bool)
+
     for side in "ab":
-        pairs = pairs.join(told.select(F.col("id").alias(side), F.col("prints").alias(f"prints_{side}")), side)
-    bits = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = stash(pairs.where(bits <= int(64 * tables * FAR)).select("a", "b"), "candidates")
+        pairs = pairs.join(prints.select(F.col("id").alias(side), F.col("sign").alias(f"sign_{side}")), side)
+    return pairs.where(F.pandas_udf(run, "boolean")("sign_a", "sign_b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: Column, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs a, b of text hashes whose shingle sets reach the similarity."""
     needed = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "compared")
     texts = docs.select(F.xxhash64(text).alias("id"), text.alias("text")).join(small(needed), "id").dropDuplicates(["id"])
     sets = stash(texts.select("id", shingle_set(F.col("text"), shingle).alias("shingles")), "shingles")
@@ -137,6 +247,21 @@ def similar_pairs(docs: DataFrame, text: Column, tables: int = 3, shingle: int =
     return pairs.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def similar_pairs(docs: DataFrame, text: Column, tables: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Pairs a < b of the ids (hash of the text) of different texts whose shingle sets reach the similarity. In large
+    bands, as many of them as link all that are linked."""
+    told = docs.select(F.xxhash64(text).alias("id"), word_prints(text, tables).alias("prints"), signature(text, shingle).alias("sign")).where("prints is not null")
+    told = stash(told.dropDuplicates(["id"]), "word-prints")
+    bands = stash(banded(told), "bands")
+    pairs = candidates(told, tables).unionByName(bands.select("a", "b")).distinct()
+    found = stash(verified(stash(agreeing(pairs, told), "candidates"), docs, text, shingle, similarity), "similar")
+    large = bands.where("band is not null")
+    if large.isEmpty():
+        return found
+    more = stash(apart_in_bands(large, found, told), "more-candidates")
+    return found if more.isEmpty() else found.unionByName(verified(more, docs, text, shingle, similarity))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of equal and near texts; all columns as they were."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -174,6 +174,42 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.drop_near_duplicates(docs).columns == docs.columns and neardup.drop_near_duplicates(none).count() == 0
 
 
+def test_near_copies_inside_a_large_family_of_unlike_texts(spark):
+    rng = random.Random(21)
+    form, rows = [f"w{i}" for i in range(300)], []
+    parts = [form[i : i + 10] for i in range(0, 300, 10)]
+    for i in range(600):  # a form whose parts stand in another order each time; of every tenth text a near copy
+        text = " ".join(w for part in rng.sample(parts, len(parts)) for w in part).split(" ")
+        rows.append((i, " ".join(text)))
+        if i % 10 == 0:
+            at = rng.sample(range(300), 4)
+            rows.append((1000 + i, " ".join(f"x{i}" if j in at else w for j, w in enumerate(text))))
+    for i in range(300):  # a common body of 72 to 78 in 100, so that large bands hold texts that aren't copies
+        own = [f"o{i}_{j}" for j in range(95)]
+        rows.append((2000 + i, " ".join([f"b{j}" for j in range(300)] + own)))
+        if i % 10 == 0:
+            rows.append((3000 + i, " ".join([f"b{j}" for j in range(300)] + own[:60] + [f"p{i}_{j}" for j in range(35)])))
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split(" ")] for k in range(len(w) - 4)} for i, t in rows}
+    trees = components.Forest()
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                trees.join(a, b)
+    assert kept == {trees.root(i) for i in sets} and not any(1000 <= i < 2000 or i >= 3000 for i in kept) and len(kept) == 900
+
+
+def test_copies_with_a_fifth_appended_or_cut_off(spark):
+    rng, rows = random.Random(22), []
+    for i in range(600):  # the longer text holds the shorter one; similarity 0.8 to 0.82
+        n = (60, 200, 1000)[i % 3]
+        text = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        cut = text[: n - int(0.2 * (n - 4))]
+        rows += [(2 * i, " ".join(text if i % 2 else cut)), (2 * i + 1, " ".join(cut if i % 2 else text))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect()) == list(range(0, 1200, 2))
+
+
 def test_language_id(spark, none):
     rng = random.Random(4)
     vocab = {"aa": ["river", "stone", "the", "walks"], "bb": ["fluß", "stein", "das", "geht", "über"], "cc": ["río", "piedra", "la", "camina"]}
