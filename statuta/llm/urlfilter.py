@@ -6,9 +6,10 @@ next lower by the number of distinct characters that followed its context (Witte
 the difference of the two log-likelihoods over its length. The threshold is calibrated on labelled hosts that
 the models have not seen, where it makes the two error rates equal.
 
-Counts of contexts are kept in tables of a fixed number of slots, addressed by hash. So the models have one
-size at any corpus size, every task adds up its own rows and only table rows are shuffled, and what is
-broadcast is bounded by `slots`; unlike contexts may share a slot, which makes a count larger than it is.
+Counts are exact: a row for each (kind, context, character) that occurs, in a table that grows with the corpus; a
+context and its character are packed into one number without loss. URLs are scored in blocks of bounded size: a
+block's distinct contexts and characters are joined to the counts, and what is found comes back to the block. So no
+task and not the driver holds the table, and a frequent context is one row of a block, however often it occurs.
 
 Defined cases: a null url or one without `://` has an empty host and path, and the method judges its empty
 text, which scores 0; with no labelled URL of either kind every score is 0 and the verdict is allow; repeated
@@ -22,11 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from statuta.llm.common import stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KINDS = ("allow", "block")
+BLOCK, BLOCK_BYTES = 1000, 200_000
 BINS = 2000
 REACH = 4.0  # of the scores that are told apart when the threshold is set
 
@@ -65,115 +71,108 @@ def longest_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return out
 
 
-def _contexts(urls: list[str], order: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all characters of all urls: url number, the slots of (context, character) and of the context, for orders 0 to `order`."""
+def _contexts(urls: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all characters (bytes) of all urls: url number, and for orders 0 to `order` the (context, character) as one
+    number: nine bits each for the order, the context's characters and, last, the character. The start of a url is 256."""
     raw = [x.encode("utf-8", "surrogatepass") for x in urls]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    pad = b"\0" * order
-    codes = np.frombuffer(pad + b"".join(x + pad for x in raw), np.uint8).astype(np.uint64)
     url = np.repeat(np.arange(len(raw)), sizes)
     at = np.arange(len(url)) + order * (url + 1)
+    codes = np.full(len(url) + order * (len(raw) + 1), 256, np.int64)
+    codes[at] = np.frombuffer(b"".join(raw), np.uint8)
     gram = np.empty((len(at), order + 1), np.int64)
-    context = np.empty_like(gram)
-    h = np.full(len(at), 1469598103934665603, np.uint64)
-    prime, mask = np.uint64(1099511628211), np.uint64(slots - 1)
-    last = codes[at]
+    before = np.zeros(len(at), np.int64)
     for k in range(order + 1):
-        mixed = (h ^ np.uint64(k + 1)) * prime
-        context[:, k] = (mixed ^ mixed >> np.uint64(29)) & mask
-        mixed = (mixed ^ last + np.uint64(256)) * prime
-        gram[:, k] = (mixed ^ mixed >> np.uint64(31)) & mask
+        gram[:, k] = k << 54 | before << 9 | codes[at]
         if k < order:
-            h = (h ^ codes[at - k - 1] + np.uint64(1)) * prime
-    return url, gram, context
+            before |= codes[at - k - 1] << 9 * k
+    return url, gram
 
 
-@dataclass(frozen=True)
-class UrlModels:
-    """For each kind, counts of (context, character) by slot; of a context, its characters and its distinct ones."""
-
-    order: int
-    grams: dict[str, np.ndarray]
-    totals: dict[str, np.ndarray]
-    kinds: dict[str, np.ndarray]
-    threshold: float = 0.0
-
-    def log_likelihood(self, kind: str, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
-        p = np.full(len(gram), 1 / 256)
-        for k in range(self.order + 1):
-            n, t = self.totals[kind][context[:, k]], self.kinds[kind][context[:, k]]
-            p = np.where(n > 0, (np.minimum(self.grams[kind][gram[:, k]], n) + t * p) / np.maximum(n + t, 1), p)
-        return np.log(p)
-
-    def score(self, urls: list[str]) -> np.ndarray:
-        """Log-likelihood as accepted less that as rejected, by character."""
-        out = np.zeros(len(urls))
-        for i in range(0, len(urls), 2000):
-            some = urls[i : i + 2000]
-            url, gram, context = _contexts(some, self.order, len(self.grams["allow"]))
-            if len(url):
-                diff = self.log_likelihood("allow", gram, context) - self.log_likelihood("block", gram, context)
-                n = np.bincount(url, minlength=len(some))
-                out[i : i + 2000] = np.bincount(url, diff, len(some)) / np.maximum(n, 1)
-        return out
-
-
-def _count(urls: DataFrame, order: int, slots: int) -> UrlModels:
-    """Models from rows of url and verdict. Each task sends at most a row for each slot and kind."""
+def _context(gram):
+    """The number of a gram's context: its character is 511."""
+    return gram | 511
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows with a column block: at most BLOCK rows and, but for one long url, BLOCK_BYTES characters of url have one number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number, n, size = TaskContext.get().partitionId(), 0, 0, 0
+        for batch in batches:
+            own = []
+            for length in batch["url"].str.len():
+                if n and (n >= BLOCK or size + length > BLOCK_BYTES):
+                    number, n, size = number + 1, 0, 0
+                n, size = n + 1, size + length
+                own.append(part << 32 | number)
+            yield batch.assign(block=np.array(own, np.int64))
+
+    schema = StructType([*rows.schema.fields, StructField("block", LongType())])
+    return stash(rows.mapInPandas(run, schema), "url-blocks")
+
+
+def _count(urls: DataFrame, order: int) -> DataFrame:
+    """Exact counts from rows of url and verdict. key: a gram or its context; of each kind n, how often it occurs, and t, of a context its distinct characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, dict[int, list]] = {}
         for batch in batches:
             for kind, own in batch.groupby("verdict")["url"]:
                 own = own.tolist()
-                for i in range(0, len(own), 2000):
-                    _, gram, context = _contexts(own[i : i + 2000], order, slots)
-                    pairs, n = np.unique(np.stack([context.ravel(), gram.ravel()], axis=1), axis=0, return_counts=True)
-                    held.setdefault(kind, []).append((pairs, n))
-                    if sum(len(n) for _, n in held[kind]) > 1_000_000:
-                        held[kind] = [_added(held[kind])]
-        for kind, parts in held.items():
-            pairs, n = _added(parts)
-            yield pd.DataFrame({"verdict": kind, "context": pairs[:, 0], "gram": pairs[:, 1], "n": n})
-
-    pairs = urls.mapInPandas(run, "verdict string, context long, gram long, n long").groupBy("verdict", "context", "gram").agg(F.sum("n").alias("n"))
-    by_context = pairs.groupBy("verdict", F.lit(0).alias("what"), F.col("context").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("t"))
-    by_gram = pairs.groupBy("verdict", F.lit(1).alias("what"), F.col("gram").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("t"))
-    tables = by_context.unionByName(by_gram).toPandas()
-    out = UrlModels(order, *({k: np.zeros(slots) for k in KINDS} for _ in range(3)))
-    for kind in KINDS:
-        own = tables[tables["verdict"] == kind]
-        c, g = own[own["what"] == 0], own[own["what"] == 1]
-        out.totals[kind][c["slot"].to_numpy(int)] = c["n"]
-        out.kinds[kind][c["slot"].to_numpy(int)] = c["t"]
-        out.grams[kind][g["slot"].to_numpy(int)] = g["n"]
-    return out
+                for i in range(0, len(own), BLOCK):
+                    key, n = np.unique(_contexts(own[i : i + BLOCK], order)[1], return_counts=True)
+                    yield pd.DataFrame({"verdict": kind, "key": key, "n": n})
 
+    grams = urls.mapInPandas(run, "verdict string, key long, n long").groupBy("verdict", "key").agg(F.sum("n").alias("n"))
+    grams = stash(grams, "url-grams")
+    contexts = grams.groupBy("verdict", F.col("key").bitwiseOR(F.lit(511)).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("t"))
+    every = grams.select("verdict", "key", "n", F.lit(0).cast("long").alias("t")).unionByName(contexts)
+    sums = [F.sum(F.when(F.col("verdict") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in KINDS for c in "nt"]
+    return stash(every.groupBy("key").agg(*sums), "url-counts")
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    pairs, at = np.unique(np.concatenate([p for p, _ in parts]), axis=0, return_inverse=True)
-    return pairs, np.bincount(at.ravel(), np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
 
+def _log_likelihood(gram: np.ndarray, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of each character; keys are sorted, those that are missing occur never."""
 
-def score(url: Column, models: UrlModels, spark) -> Column:
-    sent = spark.sparkContext.broadcast(models)
+    def of(key: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        return np.where(keys[at] == key, values[at], 0) if len(keys) else np.zeros(len(key))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(sent.value.score(batch.fillna("").tolist()))
+    p = np.full(len(gram), 1 / 256)
+    for k in range(gram.shape[1]):
+        total, kinds = of(_context(gram[:, k]), n), of(_context(gram[:, k]), t)
+        p = np.where(total > 0, (of(gram[:, k], n) + kinds * p) / np.maximum(total + kinds, 1), p)
+    return np.log(p)
 
-    return F.pandas_udf(run, "double")(url)
 
+def score(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """rows (with url and block) and score: log-likelihood as accepted less that as rejected, by character."""
 
-def fit(labelled: DataFrame, order: int = 4, slots: int = 1 << 17) -> UrlModels:
-    """Models and threshold from all rows (host, url, verdict). A fifth of the hosts, by hash, is left out of the
-    counts and sets the threshold, from a histogram of BINS bins a kind."""
-    spark = labelled.sparkSession
-    labelled = labelled.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0)
-    models = _count(labelled.where("not held").select("verdict", "url"), order, slots)
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, own in batch.groupby("block")["url"]:
+                gram = np.unique(_contexts(own.tolist(), order)[1])
+                yield pd.DataFrame({"block": block, "key": np.unique(np.concatenate([gram, _context(gram)]))})
+
+    def run(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("key").drop_duplicates("key")
+        keys, out = found["key"].to_numpy(), np.zeros(len(own))
+        url, gram = _contexts(own["url"].tolist(), order)
+        if len(url):
+            a, b = (_log_likelihood(gram, keys, found[f"n_{k}"].to_numpy(), found[f"t_{k}"].to_numpy()) for k in KINDS)
+            out = np.bincount(url, a - b, len(own)) / np.maximum(np.bincount(url, minlength=len(own)), 1)
+        return own.assign(score=out)
+
+    keys = rows.select("block", "url").mapInPandas(asked, "block long, key long")
+    found = keys.join(counts, "key")
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, schema)
+
+
+def threshold(held: DataFrame) -> float:
+    """Where the error rates of held rows (verdict, score) are equal, from a histogram of BINS bins a kind."""
     bins = F.least(F.greatest(((F.col("score") + REACH) / (2 * REACH) * BINS).cast("int"), F.lit(0)), F.lit(BINS - 1))
-    told = labelled.where("held").select("verdict", score(F.col("url"), models, spark).alias("score"))
-    counts = told.groupBy("verdict", bins.alias("bin")).count().toPandas()
+    counts = held.groupBy("verdict", bins.alias("bin")).count().toPandas()
     shares = []
     for kind in KINDS:
         own = counts[counts["verdict"] == kind]
@@ -183,16 +182,20 @@ def fit(labelled: DataFrame, order: int = 4, slots: int = 1 << 17) -> UrlModels:
     gap = np.abs(lost - (1 - caught))
     best = np.flatnonzero(gap == gap.min())
     edge = best[np.abs(best - BINS / 2).argmin()] if lost[-1] and caught[-1] else BINS / 2
-    return UrlModels(models.order, models.grams, models.totals, models.kinds, float(edge / BINS * 2 * REACH - REACH))
+    return float(edge / BINS * 2 * REACH - REACH)
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], order: int = 4, slots: int = 1 << 17) -> DataFrame:
-    """page_id, host, path, rule, verdict and score. The URLs that a rule decides teach the models, which judge the others."""
+def judge(pages: DataFrame, rules: list[UrlRule], order: int = 4) -> DataFrame:
+    """page_id, host, path, rule, verdict and score. The URLs that a rule decides teach the models, which judge the others;
+    a fifth of their hosts, by hash, is left out of the counts and sets the threshold."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rest = F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*(.*)$", 1), F.lit(""))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.concat(host, rest).alias("url"))
-    rows = rows.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    models = fit(rows.where("fit is not null").select("host", "url", "fit.verdict"), order, slots)
-    told = rows.withColumn("score", score(F.col("url"), models, pages.sparkSession))
-    own = F.when(F.col("score") >= models.threshold, "allow").otherwise("block")
-    return told.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "score")
+    fit = longest_rule(F.col("host"), F.col("path"), rules)
+    rows = _blocks(rows.select("*", fit["rule"].alias("rule"), fit["verdict"].alias("fit")))
+    held = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
+    counts = _count(rows.where(F.col("fit").isNotNull() & ~held).select(F.col("fit").alias("verdict"), "url"), order)
+    told = stash(score(rows, counts, order), "url-scores")
+    least = threshold(told.where(F.col("fit").isNotNull() & held).select(F.col("fit").alias("verdict"), "score"))
+    own = F.when(F.col("score") >= least, "allow").otherwise("block")
+    return told.select("page_id", "host", "path", "rule", F.coalesce("fit", own).alias("verdict"), "score")

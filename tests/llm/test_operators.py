@@ -428,6 +428,38 @@ def test_url_filter(spark):
     assert urlfilter.judge(data.where("page_id = 402"), RULES).first().verdict == "allow"
 
 
+def test_url_scores_are_those_of_exact_counts(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-_%éß") for _ in range(rng.randint(20, 60)))
+    urls = [f"http://{rng.randint(0, 99)}.{rng.choice(['example.com/fr', 'pills.net/es', 'other.org'])}/{word()}" for _ in range(2500)]
+    rows = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()}
+    hosts = spark.createDataFrame([(h,) for h in {r.host for r in rows.values()}], "host string")
+    held = {r.host for r in hosts.where(F.pmod(F.xxhash64("host"), F.lit(5)) == 0).collect()}
+    bytes_of = lambda r: [256] * 4 + list((r.host + r.path).encode())
+    grams = {k: Counter() for k in urlfilter.KINDS}
+    for r in rows.values():
+        if r.rule and r.host not in held:
+            x = bytes_of(r)
+            grams[r.verdict].update((tuple(x[i - k : i]), x[i]) for i in range(4, len(x)) for k in range(5))
+    totals, kinds = {k: Counter() for k in grams}, {k: Counter() for k in grams}
+    for k, own in grams.items():
+        for (c, _), n in own.items():
+            totals[k][c] += n
+            kinds[k][c] += 1
+    assert sum(map(len, grams.values())) > 1 << 16
+    for r in list(rows.values())[:300]:
+        x, out = bytes_of(r), 0.0
+        for i in range(4, len(x)):
+            for sign, kind in ((1, "allow"), (-1, "block")):
+                p = 1 / 256
+                for k in range(5):
+                    c = tuple(x[i - k : i])
+                    if n := totals[kind][c]:
+                        p = (grams[kind][c, x[i]] + kinds[kind][c] * p) / (n + kinds[kind][c])
+                out += sign * np.log(p)
+        assert abs(out / (len(x) - 4) - r.score) < 1e-9
+
+
 def test_token_counts(spark):
     store = tokencounts.TokenTotals(spark, tokencounts_path(spark))
     feed = lambda rows: spark.createDataFrame(rows, tokencounts.CHANGE)
