@@ -6,14 +6,18 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from statuta.common import small  # noqa: F401  shared with the rest of the engine
 
 #: The words of every contract: runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_made: list[list[str]] = []  # folders made within scratch() blocks
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; on a local master without one, a temporary folder."""
@@ -39,8 +43,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def internal(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/statuta/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder below the shared one."""
+    path = f"{shared_dir(spark)}/statuta/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
+    return path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -50,11 +63,29 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_stashes(spark: SparkSession) -> None:
+    """Delete all that this application has stashed; DataFrames that read from it are of no more use."""
+    drop_path(spark, f"{shared_dir(spark)}/statuta/{spark.sparkContext.applicationId}")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stashed within the block is deleted at its end. For work whose result has been written elsewhere by then."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made[:] = [x for x in _made if x is not made]
+        for path in made:
+            drop_path(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small(rows: DataFrame, limit: int = 50_000) -> DataFrame:
-    """rows, to be broadcast if a count finds at most `limit` of them; else Spark joins them by a shuffle."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import stash
 
+HUB_SHARE = 1000
+
 
 class Forest:
     """Disjoint sets of ids; the smallest id of a set is its root."""
@@ -56,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for each node of a link (a, b of type long).
 
     Each round writes its links to the shared folder; the rounds end when the links no longer change,
-    which count and checksum tell the driver.
+    which count and checksum tell the driver. A node of more than one in HUB_SHARE of all links would fill one task of a join;
+    there are at most 2 * HUB_SHARE such hubs, and they are broadcast.
     """
     links = stash(contract(links.select("a", "b").where("a <> b")).distinct(), "links")
     seen = None
@@ -66,10 +69,18 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        large = _with_least(both, now["n"]).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = stash(large, "large-stars")
+        lower = _with_least(large, now["n"])
+        small = lower.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
         links = stash(small.distinct(), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """links with m, the smallest b of their a. Hubs are joined by a broadcast, the other nodes by a shuffle."""
+    least = stash(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")), "least")
+    hub = F.col("k") * HUB_SHARE > n
+    hubs = F.broadcast(least.where(hub).drop("k"))
+    rest = links.join(hubs, "a", "left_anti").join(least.where(~hub).drop("k"), "a")
+    return links.join(hubs, "a").unionByName(rest)
