@@ -8,12 +8,14 @@ information log2 P(e|t)/P(e). A term whose P(e|t) and information reach the disc
 `support` different contexts, is generalised (its place holds a label); beyond the higher threshold it is
 removed. Terms are marked wherever they stand, not only near the entity.
 
-Copies give the same context, so they add no support. The rows that are shuffled are those of terms near
+All three counts are of documents, so an entity that one document repeats counts once. Copies give the same context,
+so they add no support. The rows that are shuffled are those of terms near
 entities, the corpus's counts by term (summed in each task first), and the documents' matched terms. The terms, and the documents that hold one, are
 broadcast if they are few enough (`broadcast_rows`, checked by a count) and joined by a shuffle if not.
 
 Defined cases: a null text is an empty one; repeated rows are treated alike and each counts; a null id is a
-value of its own; an empty table gives no rows; a document without spans keeps its text. Texts are read whole.
+value of its own; an empty table gives no rows; a document without spans keeps its text; other columns stay as they
+were, whatever their names. Texts are read whole; the work grows with the text and the entities in it, not their product.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import small, stash
+from statuta.llm.common import internal, small, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Look-behinds only keep the search from starting anew within a run that has failed,
@@ -39,6 +41,8 @@ SPAN = "struct<kind:string,start:int,end:int,found:string>"
 NO_SPANS = f"array<{SPAN}>"
 TERM = r"\p{L}{3,}"
 NO_TERM = r"[^\p{L}]+"
+RUN, PART = 128, 4096  # places and characters that are worked on at a time
+MASK = "\ua015"  # a letter: what stands in place of an entity ends no word and starts none
 
 
 @dataclass(frozen=True)
@@ -53,21 +57,62 @@ class Disclosure:
     broadcast_rows: int = 50_000
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, add) -> Column:
+    """For each place of an array of ints, add() of all values up to it. Arrays are copied when they grow, so the work is
+    done in runs of RUN places and the runs are strung together."""
+    runs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(RUN)), lambda at: F.slice(v, at, RUN))
+
+    def step(done: Column, run: Column) -> Column:
+        start = F.struct(F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0)).alias("at"), F.array().cast("array<int>").alias("out"))
+        own = F.aggregate(run, start, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["out"], add(acc["at"], x)).alias("out")))
+        return F.array_append(done, own)
+
+    done = lambda v: F.aggregate(runs(v), F.array().cast("array<struct<at:int,out:array<int>>>"), step)
+    return _bound(values, lambda v: F.when(F.size(v) > 0, F.flatten(F.transform(done(v), lambda r: r["out"]))).otherwise(F.array().cast("array<int>")))
+
+
 def spans_of(text: Column, pattern: Column, kind: str) -> Column:
     """All leftmost non-overlapping matches with their places in code points: the parts between them and the matches add up."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["gap"]
-        last = first + F.length(x["found"])
-        span = F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), x["found"].alias("found"))
-        return F.struct(last.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: g + F.length(f))
+        span = lambda f, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(f)).alias("start"), e.alias("end"), f.alias("found"))
+        return F.zip_with(found, _running(steps, lambda a, x: a + x), span)
+
+    return F.when(F.regexp_like(text, pattern), _bound(F.regexp_extract_all(text, pattern, F.lit(0)), placed)).otherwise(F.array().cast(NO_SPANS))
+
 
-    each = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
-    spans = F.aggregate(each, start, step, lambda acc: acc["spans"])
-    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(NO_SPANS))
+def _sorted(spans: Column) -> Column:
+    return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+
+
+def replaced(text: Column, spans: Column, label) -> Column:
+    """The text with label(span) in place of each span; overlapping ones become one, under the label of the first.
+    A place in a text is found by a walk from its start, so the text is first cut into parts of PART characters."""
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(PART)), lambda at: F.substring(text, at, F.lit(PART)))
+
+    def between(cut: Column, first: Column, last: Column) -> Column:
+        a, b = F.floor(first / PART).cast("int"), F.floor(last / PART).cast("int")
+        head, tail = F.coalesce(F.get(cut, a), F.lit("")), F.coalesce(F.get(cut, b), F.lit(""))
+        within = F.substring(head, first % PART + 1, last - first)
+        across = F.concat(F.substring(head, first % PART + 1, F.lit(PART)), F.array_join(F.slice(cut, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), last % PART))
+        return F.when(a == b, within).otherwise(across)
+
+    def built(x: Column) -> Column:
+        cut, own, upto = x["cut"], x["spans"], x["upto"]
+        before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(between(cut, before(i), s["start"]), label(s))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(own, piece), ""), between(cut, before(F.size(own)), F.length(text)))
+
+    ends = lambda own: _running(F.transform(own, lambda s: s["end"]), F.greatest)
+    known = lambda own: F.struct(parts.alias("cut"), own.alias("spans"), ends(own).alias("upto"))
+    return _bound(_bound(_sorted(spans), known), built)
 
 
 def _luhn(found: Column) -> Column:
@@ -116,32 +161,35 @@ def _near(text: Column, span: Column, near: int) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
-    """term and disclosure, the greatest P(e|t) of an entity that the term discloses. spans: key, text and base of documents with entities."""
-    held = spans.select("text", F.explode("base").alias("span"))
+    """term and disclosure, the greatest P(e|t) of an entity that the term discloses. spans: doc (a number of the row), text and base of
+    the rows with entities. All counts are of rows: those with t near e, those with t, those with e."""
+    held = spans.select("doc", "text", F.explode("base").alias("span"))
     entity = F.xxhash64("span.kind", F.lower("span.found"))
-    near = held.select(entity.alias("entity"), _near(F.col("text"), F.col("span"), rule.near).alias("context"))
-    near = near.select("entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    contexts = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    joint = contexts.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts")).where(F.col("contexts") >= rule.support)
-    joint = stash(joint, "joint")
-    entities = held.select(entity.alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = held.select("doc", entity.alias("entity"), _near(F.col("text"), F.col("span"), rule.near).alias("context"))
+    near = near.select("doc", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
+    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    often = stash(contexts.where(F.col("contexts") >= rule.support).select("entity", "term"), "often")
+    joint = near.select("entity", "term", "doc").join(small(often, rule.broadcast_rows), ["entity", "term"]).distinct()
+    joint = stash(joint.groupBy("entity", "term").agg(F.count("*").alias("joint")), "joint")
+    entities = held.select(entity.alias("entity"), "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     candidates = stash(joint.select("term").distinct(), "candidates")
     words = docs.select(F.explode(_terms(F.col(text_col))).alias("term"))
     total = words.groupBy("term").agg(F.count("*").alias("n_term")).join(small(candidates, rule.broadcast_rows), "term")
-    n = docs.agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.col("joint") / F.col("n_term"))
-    bits = F.log2(share * F.col("n") / F.col("n_entity"))
-    told = joint.join(total, "term").join(entities, "entity").join(F.broadcast(n))  # n is one row
-    told = told.where((share >= rule.generalise) & (bits >= rule.bits))
+    n = docs.count()
+    share = F.col("joint") / F.col("n_term")
+    bits = F.log2(share * n / F.col("n_entity"))
+    told = joint.join(total, "term").join(entities, "entity").where((share >= rule.generalise) & (bits >= rule.bits))
     return told.groupBy("term").agg(F.max(share).alias("disclosure"))
 
 
 def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each distinct pair of id and text that has spans: key, base (spans of the four kinds) and terms
-    (spans of kind `term`, or `drop` for those to be removed). Documents that are not listed have none."""
+    (spans of kind `term`, or `drop` for those to be removed). Documents that are not listed have none. Terms are
+    sought in what the entities leave of a text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(_key(id_col, text).alias("key"), text.alias("text"))
-    base = stash(rows.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0), "base-spans")
+    base = rows.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+    base = stash(base.withColumn("doc", F.monotonically_increasing_id()), "base-spans")
     terms = stash(disclosing_terms(rows, base, rule), "terms")
     words = rows.select("key", F.explode(_terms(F.col("text"))).alias("term"))
     matched = words.join(small(terms, rule.broadcast_rows), "term").groupBy("key").agg(F.collect_set(F.struct("term", "disclosure")).alias("held"))
@@ -152,13 +200,13 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id
         own = F.transform(F.filter("held", lambda x: (x["disclosure"] >= rule.remove) == drop), lambda x: x["term"])
         return F.when(F.size(own) > 0, F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(own), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(r"(?!)"))
 
-    terms = F.concat(spans_of(F.col("text"), F.col("general"), "term"), spans_of(F.col("text"), F.col("removed"), "drop"))
-    marked = inner.select("key", "text", pattern(False).alias("general"), pattern(True).alias("removed")).select("key", terms.alias("terms"))
-    both = base.select("key", "base").dropDuplicates(["key"]).join(marked, "key", "full_outer")
     none = F.array().cast(NO_SPANS)
-    both = both.select("key", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
-    apart = F.filter("terms", lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return stash(both.select("key", "base", apart.alias("terms")), "spans")
+    inner = inner.select("key", "text", pattern(False).alias("general"), pattern(True).alias("removed"))
+    both = inner.join(base.select("key", "base").dropDuplicates(["key"]), "key", "full_outer").withColumn("base", F.coalesce("base", none))
+    hidden = F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), lambda s: F.repeat(F.lit(MASK), s["end"] - s["start"]))).otherwise(F.col("text"))
+    both = stash(both.select("key", "base", hidden.alias("rest"), "general", "removed"), "hidden")
+    found = F.concat(spans_of(F.col("rest"), F.col("general"), "term"), spans_of(F.col("rest"), F.col("removed"), "drop"))
+    return stash(both.select("key", "base", F.when(F.col("rest").isNull(), none).otherwise(found).alias("terms")), "spans")
 
 
 def _listed(spans: Column) -> Column:
@@ -179,19 +227,11 @@ def report(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns as they were but for the text: entities become [EMAIL], [IP], [CARD] or [PHONE], disclosing
     terms [TERM] or nothing. Spans that overlap become one, under the label of the first. A null text stays null."""
-    found = find(docs, rule, id_col, text_col).select(F.col("key").alias("pii_key"), F.concat("base", "terms").alias("pii_spans"))
-    found = found.where(F.size("pii_spans") > 0)
+    key, spans = internal("key"), internal("spans")
+    found = find(docs.select(id_col, text_col), rule, id_col, text_col).select(F.col("key").alias(key), F.concat("base", "terms").alias(spans))
+    found = found.where(F.size(spans) > 0)
     names, text = docs.columns, F.col(text_col)
-    keyed = docs.withColumn("pii_key", _key(id_col, F.coalesce(text, F.lit(""))))
-    joined = keyed.join(small(found, rule.broadcast_rows), "pii_key", "left")
-    spans = F.array_sort("pii_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    joined = docs.withColumn(key, _key(id_col, F.coalesce(text, F.lit("")))).join(small(found, rule.broadcast_rows), key, "left")
     label = lambda x: F.when(x["kind"] == "drop", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        out = F.when(apart, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), label(x))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("pii_spans").isNull(), text).otherwise(clean)).select(*names)
+    clean = F.when(F.col(spans).isNull(), text).otherwise(replaced(text, F.col(spans), label))
+    return joined.withColumn(text_col, clean).select(*names)
