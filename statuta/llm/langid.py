@@ -6,7 +6,7 @@ n-grams; ties are in order of code points, so the result depends on the rows alo
 
 Defined cases: null or letterless texts, or no learned language at all, give `und` and score 0; rows
 of null language teach nothing; equal distances give the first language by name; repeated rows count
-each time; an empty table gives no rows. Texts are counted whole, in pieces of bounded size.
+each time; an empty table gives no rows. Texts are counted whole, in pieces of bounded size; a long text is cut into several.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from statuta.llm.common import give_back
 UNKNOWN = "und"
 BITS = 21  # of a code point
 END = 1  # marks the end of a word; U+0001 is no letter
-PIECE = 1 << 17  # characters that are counted at a time
+PIECE = 1 << 15  # characters that are counted at a time; fewer than the 65,536 letters that a count tells apart
 
 _letters: np.ndarray | None = None
 
@@ -38,9 +38,9 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams of each text: text number, n-gram, count; sorted by the first two."""
-    low = [f" {x.lower()} " for x in texts]
+def _ngrams(low: list[str], known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text (in lower case, between spaces): text number, n-gram, count; sorted by the first two.
+    known: characters at the start that have been counted, and only lead up to the rest."""
     sizes = np.fromiter(map(len, low), np.int64, len(low))
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
     is_letter = letters()[codes]
@@ -48,13 +48,13 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = np.concatenate([[END], seen]).astype(np.uint64)
     dense = np.zeros(int(seen[-1]) + 1, np.uint16)
     dense[seen[1:].astype(np.int64)] = np.arange(1, len(seen))
-    assert len(seen) < 1 << 16 and len(texts) < 1 << 14
     c = np.where(is_letter, dense[np.where(is_letter, codes, 0)], 0).astype(np.uint64)
     text = np.repeat(np.arange(len(low), dtype=np.uint64), sizes) << np.uint64(50)
     s16, n = np.uint64(16), [np.uint64(k << 48) for k in (0, 1, 2)]
     two, three = c[:-1] << s16 | c[1:], (c[:-2] << s16 | c[1:-1]) << s16 | c[2:]
-    either, middle = is_letter[:-1] | is_letter[1:], is_letter[1:-1]
-    keys = np.concatenate([(text | n[0] | c)[is_letter], (text[1:] | n[1] | two)[either], (text[2:] | n[2] | three)[middle]])
+    alone, either, middle = is_letter.copy(), is_letter[:-1] | is_letter[1:], is_letter[1:-1]
+    alone[:known], either[: max(known - 1, 0)] = False, False
+    keys = np.concatenate([(text | n[0] | c)[alone], (text[1:] | n[1] | two)[either], (text[2:] | n[2] | three)[middle]])
     keys.sort()
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(keys)))
@@ -66,6 +66,21 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys >> np.uint64(50)).astype(np.int64), grams.astype(np.int64), count
 
 
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _ngrams, of texts that _pieces has put together; a long one is counted part by part, each with the two characters before it."""
+    low = [f" {x.lower()} " for x in texts]
+    if len(low) > 1 or len(low[0]) <= PIECE:
+        return _ngrams(low)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(low[0]), PIECE):
+        known = min(at, 2)
+        parts.append(_ngrams([low[0][at - known : at + PIECE]], known)[1:])
+        if len(parts) == 64:
+            parts = [_merged(parts)]
+    grams, n = _merged(parts)
+    return np.zeros(len(grams), np.int64), grams, n
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
     return grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
@@ -97,7 +112,7 @@ def count_ngrams(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
             for name, own in batch.groupby("lang")["text"]:
                 parts = held.setdefault(name, [])
                 for _, texts in _pieces(own.tolist()):
-                    _, grams, n = _ngrams(texts)
+                    _, grams, n = ngrams(texts)
                     parts.append((grams, n))
                     if sum(len(g) for g, _ in parts[1:]) > 500_000:
                         parts[:] = [_merged(parts)]
@@ -124,7 +139,7 @@ def learn(docs: DataFrame, text: Column | None = None, lang: Column | None = Non
     """Profiles of all languages from the counts of all rows; only `size` rows a language come to the driver."""
     counts = count_ngrams(docs, F.col("text") if text is None else text, F.col("lang") if lang is None else lang)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank").toPandas()
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank")).toPandas()
     langs, grams = sorted(top["lang"].unique()), np.unique(top["gram"].to_numpy(np.int64))
     ranks = np.full((len(grams), len(langs)), size, np.int64)
     ranks[np.searchsorted(grams, top["gram"].to_numpy(np.int64)), [langs.index(x) for x in top["lang"]]] = top["rank"]
@@ -135,7 +150,7 @@ def distances(texts: list[str], p: Profiles) -> tuple[np.ndarray, np.ndarray]:
     """Of each text, the out-of-place distance to each profile and the number of its n-grams that take part."""
     out, kept = np.zeros((len(texts), len(p.langs))), np.zeros(len(texts), np.int64)
     for start, some in _pieces(texts):
-        text, grams, n = _ngrams(some)
+        text, grams, n = ngrams(some)
         by = np.argsort((text << 32) - n, kind="stable")
         text, grams = text[by], grams[by]
         first = np.searchsorted(text, np.arange(len(some)))
