@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import give_back, stash
+from statuta.llm.common import give_back, internal, small, stash
 
 WORDS = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -153,22 +153,22 @@ def best_item(text: Column, items: list[tuple[int, str]], min_match: int, spark)
     return F.pandas_udf(run, RESULT)(text)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5, block_chars: int = 8 << 20, text_col: str = "text") -> DataFrame:
-    """docs with one more column, `contamination`: a struct of coverage, item_id, tiles, tiled_words and contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5, block_chars: int = 8 << 20, text_col: str = "text", out: str = "contamination") -> DataFrame:
+    """docs with one more column, named by `out`: a struct of coverage, item_id, tiles, tiled_words and contaminated."""
     spark = docs.sparkSession
     n, block = blocks(benchmark, block_chars)
     if n == 1:
-        found = docs.withColumn("contamination", best_item(F.col(text_col), block(0), min_match, spark))
+        found = docs.withColumn(out, best_item(F.col(text_col), block(0), min_match, spark))
     else:
-        key = F.struct(F.xxhash64(text_col), F.hash(text_col)).alias("contamination_key")
+        same, key = internal("text"), F.md5(F.coalesce(F.col(text_col), F.lit("")))
         every = None
         for k in range(n):
-            each = docs.select(key, best_item(F.col(text_col), block(k), min_match, spark).alias("r")).where("r.coverage is not null")
+            each = docs.select(key.alias(same), best_item(F.col(text_col), block(k), min_match, spark).alias("r")).where("r.coverage is not null")
             each = stash(each.distinct(), "contamination")
             every = each if every is None else every.unionByName(each)
         order = F.struct(F.col("r.coverage").alias("coverage"), (-F.col("r.item_id")).alias("item"))
-        best = every.groupBy("contamination_key").agg(F.max_by("r", order).alias("contamination"))
-        found = docs.withColumn("contamination_key", key).join(best, "contamination_key", "left").drop("contamination_key")
-    r = F.col("contamination")
+        best = stash(every.groupBy(same).agg(F.max_by("r", order).alias(out)), "contamination-best")
+        found = docs.withColumn(same, key).join(small(best), same, "left").select(*docs.columns, out)
+    r = F.col(out)
     coverage = F.coalesce(r["coverage"], F.lit(0.0))
-    return found.withColumn("contamination", F.struct(coverage.alias("coverage"), r["item_id"].alias("item_id"), F.coalesce(r["tiles"], F.lit(0)).alias("tiles"), F.coalesce(r["tiled_words"], F.lit(0)).alias("tiled_words"), (coverage >= threshold).alias("contaminated")))
+    return found.withColumn(out, F.struct(coverage.alias("coverage"), r["item_id"].alias("item_id"), F.coalesce(r["tiles"], F.lit(0)).alias("tiles"), F.coalesce(r["tiled_words"], F.lit(0)).alias("tiled_words"), (coverage >= threshold).alias("contaminated")))

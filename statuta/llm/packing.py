@@ -7,7 +7,9 @@ dot product between what it needs and what is left (Panigrahy et al., "Heuristic
 Packing"). A gap that no example fits is closed by cutting one, if cuts are allowed.
 
 Defined cases: a null text is an empty one (its only id is the end id); repeated rows and repeated
-doc_ids are packed as rows of their own; a null doc_id is kept; an empty table gives no piece.
+doc_ids are packed as rows of their own; a null doc_id is kept, and an id may be of any type; other columns are not
+read; an empty table gives no piece. Where a limit other than tokens keeps half a block from leaving, the block is
+closed with the sequences it has: that costs padding (with cuts, none: they end at powers of two) and loses nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from statuta.llm.common import give_back
@@ -199,7 +202,7 @@ def _schema(df: DataFrame, id_col: str) -> StructType:
 def pack_tokens(df: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[tuple]], limits: Limits, cut: bool, id_col: str) -> DataFrame:
     """encode: from a batch of df to examples (key, ids, mask)."""
     schema = _schema(df, id_col)
-    kind = pa.schema([("doc_id", pa.int64() if schema[0].dataType.typeName() in ("long", "integer") else pa.string())] + [("ids", pa.binary())] + [(f.name, pa.int64()) for f in schema[2:]])
+    kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, rows, held = TaskContext.get().partitionId() << 40, [], 0
