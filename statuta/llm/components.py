@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statuta.llm.common import stash
 
 HUB_SHARE = 1000
+FEW = 50_000
 
 
 class Forest:
@@ -57,9 +58,9 @@ def contract(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for each node of a link (a, b of type long).
 
-    Each round writes its links to the shared folder; the rounds end when the links no longer change,
-    which count and checksum tell the driver. A node of more than one in HUB_SHARE of all links would fill one task of a join;
-    there are at most 2 * HUB_SHARE such hubs, and they are broadcast.
+    Each round writes its links to the shared folder; the rounds end when the links no longer change, which count and
+    checksum tell the driver, or when at most FEW links are left, which one task contracts. A node of more than one in
+    HUB_SHARE of all links would fill one task of a join; there are at most 2 * HUB_SHARE such hubs, and they are broadcast.
     """
     links = stash(contract(links.select("a", "b").where("a <> b")).distinct(), "links")
     seen = None
@@ -67,13 +68,15 @@ def components(links: DataFrame) -> DataFrame:
         now = links.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
         if now == seen or not now["n"]:
             break
+        if now["n"] <= FEW:
+            links = stash(contract(links.coalesce(1)), "links")
+            break
         seen = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, now["n"]).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        large = stash(large, "large-stars")
-        lower = _with_least(large, now["n"])
+        lower = _with_least(stash(large, "large-stars"), now["n"])
         small = lower.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
-        links = stash(small.distinct(), "links")
+        links = stash(contract(small).distinct(), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

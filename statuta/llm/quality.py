@@ -1,21 +1,24 @@
 """Quality rules as a short-circuit cascade, ordered by rejection per cost.
 
-Each rule has a cost and a share of documents it rejects; both are measured on a bounded sample of whole
-documents. For independent rules that each may end the work, the order of falling rejections per second
-gives the least expected cost. The order changes only the time, never the verdict: a document is kept if
-every rule passes it.
-
-Word and line counts of each document are features, made when a rule first asks for one and then kept for
-the document; so a rule's cost is that of the features which no earlier rule needs, and the cascade skips
-the features of the rules behind the first that rejects.
-
-Defined cases: a null text has no words and fails the base rule; repeated rows are judged alike; an empty
-table gives no rows and leaves the rules in the order given. The sample (`sample_rows`, a documented bound)
-is what the order is measured on and nothing else.
+Word and line counts of each document are features, made when a rule first asks for one and then kept for the
+document. So what a rule costs, and how many documents are left for it to reject, depends on the rules before it.
+The order is found greedily on a sample of whole documents: of the rules left, the one that rejects most a second
+among the documents that those chosen so far have passed, with the features that they have made at hand, comes next.
+The cascade then skips all rules behind the first that rejects, and the features that only they need. The order
+changes only the time, never the verdict: a document is kept if every rule passes it.
+
+judge() also returns the base features, which are thus made for every document: they cost its rules nothing more
+(`ready`), and what the cascade can save is the work of the other rules. cascade() makes none but what its rules ask.
+
+Defined cases: a null text has no words and fails the base rule; repeated rows are judged alike; texts are read
+whole; extra columns are kept by cascade() and not read by judge(); an empty table gives no rows and leaves the
+rules in the order given. The sample, each row with the same chance, has about `sample_rows` rows (a documented
+bound); it decides the order and nothing else.
 """
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -92,6 +95,19 @@ class Doc:
     def letters(self) -> int:
         return sum(map(str.isalpha, self.text))
 
+    @cached_property
+    def digits(self) -> int:
+        return sum(map(self.text.count, "0123456789"))
+
+    @cached_property
+    def capitals(self) -> int:
+        return sum(map(self.text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+    @cached_property
+    def most_frequent(self) -> int:
+        """How often the most frequent word occurs."""
+        return int(np.bincount(self.word_ids).max()) if self.words else 0
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,12 +124,16 @@ RULES = (
     Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
     Rule("duplicate_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("letters", lambda d: 2 * d.letters < d.word_chars),
+    Rule("digits", lambda d: 10 * d.digits > 3 * d.word_chars),
+    Rule("capitals", lambda d: 10 * d.capitals > 7 * d.word_chars),
+    Rule("one_word", lambda d: 3 * d.most_frequent > d.n_words),
 )
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Measured:
-    """What the sample says of a rule: seconds a document and the share of documents that it rejects."""
+    """What the sample says of a rule in its place: seconds a document that reaches it and the share of those that it rejects."""
 
     rule: Rule
     cost: float
@@ -124,30 +144,35 @@ class Measured:
         return self.rejected / max(self.cost, 1e-9)
 
 
-def measure(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Measured]:
-    """The rules in the order of falling rejections per second; equal ones stay in the order given."""
-    out = []
-    for rule in rules:
-        docs = [Doc(x) for x in texts]
-        began = time.perf_counter()
-        n = sum(bool(rule.rejects(d)) for d in docs)
-        out.append(Measured(rule, (time.perf_counter() - began) / max(1, len(texts)), n / max(1, len(texts))))
-    return sorted(out, key=lambda m: -m.worth)
-
-
-def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, text_col: str = "text") -> list[Measured]:
-    """Rules in order, measured on at most sample_rows documents. The sample comes from a Bernoulli sample of all
-    rows, so no one file or source decides."""
+def measure(texts: list[str | None], rules: tuple[Rule, ...] = RULES, ready: tuple[str, ...] = ()) -> list[Measured]:
+    """The rules in greedy order; equal ones stay in the order given. ready: features that every document has by then."""
+    docs, left, out = [Doc(x) for x in texts], list(rules), []
+    for d in docs:
+        for name in ready:
+            getattr(d, name)
+    while left:
+        found = []
+        for rule in left:
+            tried = [copy.copy(d) for d in docs]  # with the features made so far
+            began = time.perf_counter()
+            told = [bool(rule.rejects(d)) for d in tried]
+            cost = (time.perf_counter() - began) / max(1, len(docs))
+            found.append((Measured(rule, cost, sum(told) / max(1, len(docs))), [d for d, t in zip(tried, told) if not t]))
+        best, docs = max(found, key=lambda f: f[0].worth)
+        left.remove(best.rule)
+        out.append(best)
+    return out
+
+
+def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, text_col: str = "text", ready: tuple[str, ...] = ()) -> list[Measured]:
+    """Rules in order, measured on a Bernoulli sample of all rows of about sample_rows documents, so no one file or source decides."""
     n = docs.count()
-    share = min(1.0, 2 * sample_rows / max(1, n))
-    some = docs.select(text_col).sample(share, seed=7).limit(sample_rows).collect()
-    return measure([r[0] for r in some], rules)
+    some = docs.select(text_col).sample(min(1.0, sample_rows / max(1, n)), seed=7).collect()
+    return measure([r[0] for r in some], rules, ready)
 
 
 def judge(text: Column, rules: list[Rule]) -> Column:
     """A struct of the base columns, of `kept`, and of the number of rules that were asked."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -159,10 +184,10 @@ def judge(text: Column, rules: list[Rule]) -> Column:
                         kept = False
                         break
                 kept = kept and not d.base_failed
-                rows.append((*(getattr(d, x) for x in names), d.base_failed, kept, asked))
-            yield pd.DataFrame(rows, columns=[*names, "base_failed", "kept", "asked"])
+                rows.append((*(getattr(d, x) for x in BASE), d.base_failed, kept, asked))
+            yield pd.DataFrame(rows, columns=[*BASE, "base_failed", "kept", "asked"])
 
-    schema = ", ".join(f"{x} long" for x in names) + ", base_failed boolean, kept boolean, asked int"
+    schema = ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean, asked int"
     return F.pandas_udf(run, schema)(text)
 
 

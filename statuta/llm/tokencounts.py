@@ -5,23 +5,33 @@ and the group before and after, so it adds -before and +after to two groups at m
 one map-side sum and a shuffle of group totals: no look-up of the document's earlier state. Totals are sums of
 the deltas of all committed batches, so the order of batches doesn't matter.
 
-A store is a folder. A batch writes `batches/<id>`; it counts once Spark's success marker is there, which the
-writer puts last. A batch that broke off is written anew, and one that is committed is left as it is: to send
-it again changes nothing. compact() adds committed batches up into a snapshot that names them; readers take the
-newest whole snapshot and the committed batches that it doesn't name.
+A store is a folder. A batch is written aside and then moved to `batches/<id>` in one step, which fails if that is
+there: of two writers of one id the first wins, a batch that broke off leaves nothing that counts, and to send a
+committed one again changes nothing. compact() adds committed batches up into a snapshot that names them, moved into
+place alike; readers take the newest snapshot and the batches that it doesn't name. The folders of batches that the
+snapshot before named are dropped, so what a reader or writer has to list are the batches since then; whether an id
+was ever committed is asked of the names as a table.
 
 Defined cases: a null source, language or tokenizer is a group of its own; a null count is 0; a row of unknown
 op is an error; repeated rows of a batch each count (each is a change); an empty batch commits and adds
-nothing; a store without batches has no totals.
+nothing; a store without batches has no totals. Changes are built from columns that the caller names, so extra ones
+don't matter.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.llm.common import give_back
+from statuta.llm.packing import tokenizer
+
 GROUP = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 #: op: insert, delete or revise; the fields before are of use to delete and revise, those after to insert and revise.
@@ -58,41 +68,64 @@ class TokenTotals:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.jvm = spark.sparkContext._jvm
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _committed(self, folder: str) -> list[str]:
-        at = lambda *x: self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, folder, *x)))
-        if not self.fs.exists(at()):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(at())]
-        return sorted(n for n in names if self.fs.exists(at(n, "_SUCCESS")))
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._at().getFileSystem(self.conf)
+
+    def _at(self, *names: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def _publish(self, aside: str, *names: str) -> bool:
+        """Move a written folder to its place; False, and the folder is gone, if that is taken."""
+        to = self._at(*names)
+        self.fs.mkdirs(to.getParent())
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.conf)
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(self._at(aside), to, none)
+        except Py4JJavaError:
+            if not self.fs.exists(to):
+                raise
+            self.fs.delete(self._at(aside), True)
+            return False
+        return True
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False if it had been committed before and nothing was done."""
         if not re.fullmatch(r"[A-Za-z0-9-]+", batch_id):
             raise ValueError("a batch id is letters, digits and hyphens")
-        if batch_id in self.batches():
+        if self.committed(batch_id):
             return False
-        deltas(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batches/{batch_id}")
-        return True
-
-    def batches(self) -> set[str]:
-        """All committed batches."""
-        return set(self._committed("batches")) | self._snapshot()[1]
-
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        """The newest snapshot and the batches that it holds; the list of names is a small table beside the totals."""
-        found = self._committed("snapshots")
-        if not found:
-            return None, set()
-        path = f"{self.path}/snapshots/{found[-1]}"
-        return path, {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{path}/of").collect()}
-
-    def totals(self) -> DataFrame:
-        path, held = self._snapshot()
+        aside = f"aside/{batch_id}-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(f"{self.path}/{aside}")
+        return self._publish(aside, "batches", batch_id)
+
+    def committed(self, batch_id: str) -> bool:
+        return self.fs.exists(self._at("batches", batch_id)) or batch_id in self._held([batch_id])
+
+    def _snapshot(self) -> str | None:
+        """The newest snapshot."""
+        found = self._names("snapshots")
+        return f"{self.path}/snapshots/{found[-1]}" if found else None
+
+    def _held(self, ids: list[str]) -> set[str]:
+        """Those of a few ids that the newest snapshot names."""
+        path = self._snapshot()
+        if not path or not ids:
+            return set()
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{path}/of").where(F.col("batch").isin(ids)).collect()}
+
+    def _new(self) -> list[str]:
+        """Batches that the newest snapshot doesn't name."""
+        listed = self._names("batches")
+        held = self._held(listed)
+        return [b for b in listed if b not in held]
+
+    def _rows(self, path: str | None, new: list[str]) -> DataFrame:
         rows = [self.spark.read.schema(TOTALS).parquet(f"{path}/totals")] if path else []
-        new = [b for b in self._committed("batches") if b not in held]
         if new:
             rows.append(self.spark.read.schema(TOTALS).parquet(*(f"{self.path}/batches/{b}" for b in new)))
         if not rows:
@@ -100,13 +133,27 @@ class TokenTotals:
         every = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
         return _added(every).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """A new snapshot of all committed batches. The success marker of its folder comes last, so a snapshot that broke off is passed over."""
-        number = len(self._committed("snapshots"))
-        path, batches = f"{self.path}/snapshots/{number:08d}", sorted(self.batches())
-        self.totals().write.mode("overwrite").parquet(f"{path}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{path}/of")
-        self.fs.create(self.jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"), True).close()
+    def totals(self) -> DataFrame:
+        return self._rows(self._snapshot(), self._new())
+
+    def compact(self) -> bool:
+        """A new snapshot of all committed batches; False if another writer made one meanwhile."""
+        before, new = self._snapshot(), self._new()
+        number = int(before.rsplit("/", 1)[1]) + 1 if before else 0
+        dropped = [b for b in self._names("batches") if b not in new]
+        aside = f"aside/snapshot-{uuid.uuid4().hex}"
+        self._rows(before, new).write.parquet(f"{self.path}/{aside}/totals")
+        names = self.spark.createDataFrame([(b,) for b in new], "batch string").coalesce(1)
+        if before:
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{before}/of"))
+        names.write.parquet(f"{self.path}/{aside}/of")
+        if not self._publish(aside, "snapshots", f"{number:08d}"):
+            return False
+        for b in dropped:
+            self.fs.delete(self._at("batches", b), True)
+        for old in self._names("snapshots")[:-2]:
+            self.fs.delete(self._at("snapshots", old), True)
+        return True
 
 
 def word_count(text: Column) -> Column:
@@ -114,6 +161,15 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def piece_count(text: Column) -> Column:
-    """Runs of ASCII letters or digits, and every other character but the six spaces."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"))
+def bpe_count(text: Column, path: str) -> Column:
+    """Ids of a text by the tokenizer of that vocabulary file; 0 for a null text."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), np.int64)
+        for i in range(0, len(texts), 512):
+            some = [x or "" for x in texts.iloc[i : i + 512]]
+            out[i : i + len(some)] = [len(x) for x in tokenizer(path).encode(some)]
+        give_back()
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "long")(text)

@@ -1,9 +1,13 @@
 """WARC archives with revisit records in place of repeated payloads.
 
 Only headers (id, digest, length) are shuffled to find, for each payload digest, the record that keeps the
-payload. The archives are then written by Spark's text writer, whose line separator is the two line ends that
-close a WARC record; so they go wherever Spark can write, and a lost task is written again. Each record gets
-fresh headers. They are read back as binary files, each parsed by its Content-Length fields.
+payload; a digest that all records share is one sum by task. Payloads stay where they are: the digests that repeat,
+with their responses, are broadcast, if a count finds at most BROADCAST_ROWS of them. Beyond that Spark joins them by a
+shuffle, in which each payload moves once. The archives are then written by Spark's text writer, whose line separator
+is the two line ends that close a WARC record; so they go wherever Spark can write, and a lost task is written again.
+Each record gets fresh headers. A file holds so many records that even the longest would make at most FILE_BYTES (one
+record may be longer). The files are read back as binary files, inflated and parsed as streams by their
+Content-Length fields.
 
 Defined cases: a null payload is an empty one; payloads below `least_bytes` are never replaced; of equal
 payloads the record with the largest id is the response, and so is each of repeated rows of that id; a null
@@ -14,29 +18,41 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import fresh_path
+from statuta.llm.common import fresh_path, small, stash
 
 END = "\r\n\r\n"
+BROADCAST_ROWS = 500_000  # of 28 bytes each
+FILE_BYTES, HEAD_BYTES, FILE_RECORDS = 256 << 20, 4096, 20_000  # of a file before compression; of the headers of a record, as reckoned
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, payload binary"
 
 
-def decide(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, bytes and, for a record whose payload another keeps, refers_to.
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, digest and bytes of the payloads, in the shared folder."""
+    html = F.coalesce("html", F.lit(""))
+    return stash(pages.select("page_id", F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.octet_length(html).cast("long").alias("bytes")), "warc-headers")
+
+
+def owners(heads: DataFrame, least_bytes: int = 1000) -> DataFrame:
+    """digest and owner, the largest id, of each payload that two records or more have."""
+    found = heads.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n"))
+    return stash(found.where("n > 1").select("digest", "owner"), "warc-owners")
+
 
-    Digests that occur once need no decision, so only those of two records or more are joined back.
-    """
+def decide(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """page_id, url, html, digest, bytes and, for a record whose payload another keeps, refers_to."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    owners = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    return rows.join(owners, "digest", "left").select("page_id", "url", "digest", "bytes", F.when(refers.isNull(), F.col("html")).alias("html"), refers.alias("refers_to"))
+    told = rows.join(small(repeated, BROADCAST_ROWS), "digest", "left")
+    return told.select("page_id", "url", F.lower(F.hex("digest")).alias("digest"), "bytes", F.when(refers.isNull(), F.col("html")).alias("html"), refers.alias("refers_to"))
 
 
 def _lines(*fields: tuple[str, Column]) -> Column:
@@ -64,43 +80,81 @@ def record(date: str) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block)
 
 
-def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 1000, records_per_file: int = 20_000) -> None:
+def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 1000, file_bytes: int = FILE_BYTES) -> None:
     """Gzipped archives under path; date: of the crawl, as the table has none."""
-    rows = decide(pages, least_bytes).select(record(date).alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    heads = headers(pages)
+    longest = (heads.agg(F.max("bytes")).first()[0] or 0) + HEAD_BYTES
+    rows = decide(pages, owners(heads, least_bytes)).select(record(date).alias("value"))
+    records = max(1, min(FILE_RECORDS, file_bytes // longest))
+    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 FIELD = re.compile(rb"(?m)^([A-Za-z-]+): (.*?)\r$")
 
 
+class Stream:
+    """The bytes of a gzipped file, of which only what is being read is held inflated."""
+
+    def __init__(self, raw: bytes, step: int = 1 << 20):
+        self.raw, self.step, self.at, self.held = raw, step, 0, bytearray()
+        self.inflate = zlib.decompressobj(47)
+
+    def more(self) -> bool:
+        """Whether there was more to inflate."""
+        while True:
+            part = self.inflate.unconsumed_tail
+            if not part:
+                part, self.at = self.raw[self.at : self.at + self.step], self.at + self.step
+            out = self.inflate.decompress(part, self.step)
+            self.held += out
+            if out or not part:
+                return bool(out)
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        if len(self.held) < n:
+            raise ValueError("an archive ends within a record")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def head(self) -> bytes:
+        """All up to an empty line, with it; nothing at the end of the file."""
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(self.held) - 3)
+            if not self.more():
+                if self.held:
+                    raise ValueError("an archive ends within a header")
+                return b""
+        return self.take(end + 4)
+
+
 def parse(raw: bytes) -> Iterator[tuple]:
-    """Records of an uncompressed archive, as the columns of READ."""
-    at = 0
-    while at < len(raw):
-        body = raw.index(b"\r\n\r\n", at) + 4
-        head = {k.lower(): v.decode() for k, v in FIELD.findall(raw[at : body - 2])}
-        end = body + int(head[b"content-length"])
-        start = raw.index(b"\r\n\r\n", body) + 4
-        http = {k.lower(): v.decode() for k, v in FIELD.findall(raw[body : start - 2])}
-        number = lambda x: int(x[10:-1]) if x and x != "<urn:page:none>" else None
+    """Records of a gzipped archive, as the columns of READ."""
+    stream, number = Stream(raw), lambda x: int(x[10:-1]) if x and x != "<urn:page:none>" else None
+    fields = lambda block: {k.lower(): v.decode() for k, v in FIELD.findall(block)}
+    while lines := stream.head():
+        head = fields(lines)
+        block = stream.take(int(head[b"content-length"]))
+        start = block.index(b"\r\n\r\n") + 4
+        http, payload = fields(block[:start]), block[start:]
         digest, kind = head[b"warc-payload-digest"].removeprefix("sha1:"), head[b"warc-type"]
-        payload = raw[start:end]
         intact = hashlib.sha1(payload).hexdigest() == digest if kind == "response" else None
         yield number(head[b"warc-record-id"]), head.get(b"warc-target-uri"), int(http[b"content-length"]), digest, kind, number(head.get(b"warc-refers-to")), intact, payload
-        if raw[end : end + 4] != b"\r\n\r\n":
+        if stream.take(4) != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its Content-Length says")
-        at = end + 4
 
 
 def read(spark, path: str, payload: bool = True) -> DataFrame:
-    """Records of all archives under path; a file of bounded size at a time is in a task's memory."""
-    import zlib
+    """Records of all archives under path. Of a file a task holds the gzipped bytes and what it has inflated for one record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for raw in batch["content"]:
-                rows = parse(zlib.decompress(raw, 47))
-                while some := [r if payload else (*r[:-1], None) for _, r in zip(range(2000), rows)]:
+                rows = parse(raw)
+                while some := list(_batch(rows, payload)):
                     frame = pd.DataFrame(some, columns=[x.split()[0] for x in READ.split(", ")])
                     yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "intact": "boolean"})
 
@@ -108,6 +162,16 @@ def read(spark, path: str, payload: bool = True) -> DataFrame:
     return files.mapInPandas(run, READ)
 
 
+def _batch(rows: Iterator[tuple], payload: bool, records: int = 2000, size: int = 8 << 20) -> Iterator[tuple]:
+    """The next rows, of bounded number and bytes."""
+    held = 0
+    for k, r in enumerate(rows, 1):
+        held += len(r[-1]) if payload else 0
+        yield r if payload else (*r[:-1], None)
+        if k == records or held > size:
+            return
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """The records of pages, written to fresh archives in the shared folder and read back from them."""
     path = fresh_path(pages.sparkSession, "warc")

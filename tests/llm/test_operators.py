@@ -89,6 +89,44 @@ def test_packing_keeps_to_every_limit():
         assert all(sorted(seen[k]) == list(range(len(m))) for k, _, m in examples)
 
 
+def test_packing_chooses_by_dot_product():
+    """Places of examples that aren't cut, against a plain loop."""
+    rng = random.Random(8)
+    limits = packing.Limits(tokens=100, segments=6, loss=40, block=10_000)
+    sizes = [(rng.randint(1, 60), rng.random()) for _ in range(200)]
+    masks = [np.array([rng.random() < p / 2 for _ in range(n)], np.uint8) for n, p in sizes]
+    masks = [m if m.sum() <= 40 else np.zeros(len(m), np.uint8) for m in masks]
+    got = defaultdict(list)
+    for key, start, ids, loss, n, sequence, at in packing.pack_encoded(((k, np.arange(len(m), dtype="<u4"), m) for k, m in enumerate(masks)), limits, False):
+        assert start == 0 and len(ids) == n and loss == masks[key].sum()
+        got[sequence].append(key)
+    cap = (100, 6, 40)
+    need = {k: (len(m), 1, int(m.sum())) for k, m in enumerate(masks)}
+    weight = [np.mean([v[j] / cap[j] for v in need.values()]) / cap[j] ** 2 for j in range(3)]
+    want = []
+    while need:
+        left, own = list(cap), []
+        while left[0] > 0 and left[1] > 0:
+            fits = [k for k, v in need.items() if v[0] <= left[0] and v[2] <= left[2]]
+            if not fits:
+                break
+            k = max(fits, key=lambda k: (sum(need[k][j] * weight[j] * left[j] for j in range(3)), -k))
+            left = [left[j] - need[k][j] for j in range(3)]
+            own.append(k)
+            del need[k]
+        want.append(own)
+    assert [got[s] for s in sorted(got)] == want
+
+
+def test_packing_keeps_ids_of_any_type(spark):
+    path = packing.public_tokenizer()
+    for kind in ("int", "short", "string", "binary", "decimal(20,0)", "date"):
+        docs = spark.sql(f"SELECT CAST({'DATE \'2024-01-02\'' if kind == 'date' else 7} AS {kind if kind != 'binary' else 'string'}) AS doc_id, 'a text' AS text, 'x' AS ids, 1 AS start UNION ALL SELECT NULL, NULL, 'x', 1")
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        out = packing.pack_documents(docs, path)
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and {str(r.doc_id) for r in out.collect()} == {str(r.doc_id) for r in docs.collect()}
+
+
 def test_conversations_learn_from_one_role(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "good day"), (2, 0, "user", None), (2, 1, None, "x")], "conv_id long, turn long, role string, text string")
     rows = {r.doc_id: r for r in packing.pack_conversations(turns, packing.public_tokenizer()).collect()}
@@ -210,6 +248,81 @@ def test_copies_with_a_fifth_appended_or_cut_off(spark):
     assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect()) == list(range(0, 1200, 2))
 
 
+def jaccard_groups(rows):
+    """The smallest id of each group that links of similarity 0.8 and more make, by brute force over shared shingles."""
+    sets = {i: {tuple(w[k : k + 5]) for w in [re.findall(r"\w+", t.lower())] for k in range(max(1, len(w) - 4))} for i, t in rows}
+    holders, shared, trees = defaultdict(list), Counter(), components.Forest()
+    for i, s in sets.items():
+        for x in s:
+            shared.update((j, i) for j in holders[x])
+            holders[x].append(i)
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in links:
+        trees.join(a, b)
+    return links, {trees.root(i) for i in sets}
+
+
+def edited(rng, words, share, how):
+    n = len(words)
+    k = max(1, round(share * n))
+    if how == "append":
+        return words + [f"z{rng.randrange(10**6)}" for _ in range(k)]
+    if how == "insert":
+        at = rng.randrange(n)
+        return words[:at] + [f"z{rng.randrange(10**6)}" for _ in range(k)] + words[at:]
+    if how == "cut":
+        at = rng.randrange(n - k)
+        return words[:at] + words[at + k :]
+    at = set(rng.sample(range(n), max(1, k // 5)))  # each edit changes five shingles
+    return [f"z{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_recall_of_near_copies_of_each_kind(spark):
+    """Pairs of similarity about 0.8, 0.85 and 0.9, by changes of four kinds, alone and in families of hundreds."""
+    rng, rows, kinds = random.Random(41), [], ("append", "insert", "cut", "edit")
+    for k in range(480):
+        words_ = [f"v{rng.randrange(4000)}" for _ in range(rng.choice((40, 120, 400)))]
+        other = edited(rng, words_, rng.choice((0.1, 0.15, 0.2, 0.24)), kinds[k % 4])
+        rows += [(2 * k, " ".join(words_)), (2 * k + 1, " ".join(other))]
+    base = [f"b{i}" for i in range(200)]
+    for k in range(400):  # most are alike to the base, which isn't the first of them; few to one another
+        rows.append((5000 + k, " ".join(edited(rng, base, rng.choice((0.1, 0.17)), kinds[k % 4]))))
+    rows.append((9000, " ".join(base)))
+    for k in range(12):  # small families
+        base = [f"c{k}_{i}" for i in range(120)]
+        rows += [(10_000 + 100 * k + j, " ".join(edited(rng, base, 0.12, kinds[j % 4]))) for j in range(30)]
+    links, want = jaccard_groups(rows)
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(links) > 1000 and len(kept - want) <= 0.001 * len(rows) and not want - kept
+
+
+def test_blocks_find_what_the_representatives_miss(spark, monkeypatch):
+    """Texts that share half their words in one body are apart in large bands; pairs among them are found in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, rows, body = random.Random(43), [], [f"b{j}" for j in range(150)]
+    for i in range(120):
+        own = [f"o{i}_{j}" for j in range(60)]
+        rows.append((i, " ".join(body + own)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(edited(rng, body + own, 0.1, "edit"))))
+    _, want = jaccard_groups(rows)
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want == set(range(120))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from statuta.llm import components as c
+
+    monkeypatch.setattr(c, "HUB_SHARE", 10)
+    monkeypatch.setattr(c, "FEW", 0)
+    rng, trees = random.Random(3), components.Forest()
+    links = [(i, 500 + i % 3) for i in range(400)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]
+    for a, b in links:
+        trees.join(a, b)
+    out = {r.node: r.root for r in c.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    assert out == {i: trees.root(i) for i in {x for p in links for x in p if p[0] != p[1]}}
+
+
 def test_language_id(spark, none):
     rng = random.Random(4)
     vocab = {"aa": ["river", "stone", "the", "walks"], "bb": ["fluß", "stein", "das", "geht", "über"], "cc": ["río", "piedra", "la", "camina"]}
@@ -236,6 +349,45 @@ def test_language_id(spark, none):
     assert data.select(langid.predict(F.col("text"), empty).alias("r")).where("r.lang_pred <> 'und'").count() == 0
 
 
+def test_language_distances_against_plain_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(langid, "PIECE", 64)  # so that texts are counted in parts
+    vocab = {"aa": ["river", "stone", "the", "walks"], "bb": ["fluß", "stein", "das", "geht"]}
+    texts = {k: [" ".join(rng.choice(v) for _ in range(rng.randint(1, 60))) for _ in range(20)] for k, v in vocab.items()}
+
+    def order(ts, size):
+        n = Counter()
+        for t in ts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                w = f"\1{w}\1"
+                n.update(c for c in w[1:-1])
+                n.update(w[i : i + 2] for i in range(len(w) - 1))
+                n.update(w[i : i + 3] for i in range(len(w) - 2))
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+    profiles = {k: {g: i for i, g in enumerate(order(ts, 50))} for k, ts in texts.items()}
+    data = spark.createDataFrame([(t, k) for k, ts in texts.items() for t in ts], "text string, lang string")
+    p = langid.learn(data, size=50)
+    some = [t for ts in texts.values() for t in ts] + ["stone" * 200, "a", "das river"]
+    far, kept = langid.distances(some, p)
+    for t, d, n in zip(some, far, kept):
+        own = order([t], 50)
+        assert n == len(own)
+        for k, lang in enumerate(p.langs):
+            assert d[k] == sum(abs(profiles[lang][g] - i) if g in profiles[lang] else 50 for i, g in enumerate(own))
+    out = spark.createDataFrame([(t,) for t in some], "text string").coalesce(1).select(langid.predict(F.col("text"), p).alias("r")).collect()
+    for r, d, n in zip(out, far, kept):
+        assert r.r.lang_pred == p.langs[int(d.argmin())] and abs(r.r.score - (1 - d.min() / (50 * n))) < 1e-12
+
+
+def test_language_of_texts_with_very_many_letters(spark):
+    many = "".join(chr(i) for i in range(0x4E00, 0x9FFF)) + "".join(chr(i) for i in range(0x20000, 0x2F000) if chr(i).isalpha())
+    p = langid.learn(spark.createDataFrame([("the river " * 20000, "aa"), (many, "zz")], "text string, lang string"))
+    r = spark.createDataFrame([(many,), ("river",), ("the river " * 9000,)], "text string").coalesce(1).select(langid.predict(F.col("text"), p).alias("r")).collect()
+    assert len(set(many)) > 65536 and [x.r.lang_pred for x in r] == ["zz", "aa", "aa"]
+
+
 def brute_tiles(doc, item, least):
     marked_d, marked_t, tiles = set(), set(), 0
     while True:
@@ -320,6 +472,86 @@ def test_terms_that_reveal_are_found(spark):
     assert pii.report(copies, near).where("n_term > 0").count() == 0
 
 
+def test_disclosure_against_plain_counts(spark):
+    """P(e|t), information and support of all terms of random corpora."""
+    import math
+
+    rng = random.Random(31)
+    names, mails = [f"name{c}" for c in "abcdefgh"], [f"{c}@mail.org" for c in "pqr"]
+    for trial in range(2):
+        texts = []
+        for _ in range(150):
+            parts = [rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(2, 6))]
+            if rng.random() < 0.6:
+                k = rng.randrange(3)
+                for _ in range(rng.randint(1, 4)):  # one document may name an entity more than once
+                    parts += [names[k] if rng.random() < 0.8 else rng.choice(names), f"w{chr(97 + rng.randrange(26)) * 3}", mails[k] if rng.random() < 0.9 else rng.choice(mails)]
+            elif rng.random() < 0.4:
+                parts.append(rng.choice(names))
+            texts.append(" ".join(parts))
+        texts += texts[:5]
+        rule = pii.Disclosure(near=30, support=2, generalise=0.3, bits=0.5)
+        mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+        terms = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3}
+        joint, contexts, has_term, has_entity = defaultdict(set), defaultdict(set), Counter(), Counter()
+        for i, t in enumerate(texts):
+            has_term.update(terms(t))
+            has_entity.update({m.group().lower() for m in mail.finditer(t)})
+            for m in mail.finditer(t):
+                first = max(m.start() - 30, 0)
+                before, after = t[first : m.start()], t[m.end() : m.end() + 30]
+                before = re.sub(r"^[^\W\d_]+", "", before) if first else before
+                after = re.sub(r"[^\W\d_]+$", "", after) if len(after) == 30 else after
+                context = before + " " + after
+                for w in terms(context):
+                    joint[m.group().lower(), w].add(i)
+                    contexts[m.group().lower(), w].add(context)
+        want = {}
+        for (e, w), found in joint.items():
+            p = len(found) / has_term[w]
+            if len(contexts[e, w]) >= 2 and p >= 0.3 and math.log2(p * len(texts) / has_entity[e]) >= 0.5:
+                want[w] = max(want.get(w, 0), p)
+        data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        base = data.select(F.col("doc_id").alias("doc"), "text", pii.base_spans(F.col("text")).alias("base")).where("size(base) > 0")
+        got = {r.term: r.disclosure for r in pii.disclosing_terms(data, base, rule).collect()}
+        assert want and got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_a_term_that_is_seldom_near_stays(spark):
+    mail = "someone@mail.org "
+    rows = [(i, f"{'plumber ' + mail * 5 if i < 2 else 'plumber'} context{chr(97 + i) * 3}") for i in range(8)]
+    rows += [(100 + i, f"other text number{chr(97 + i % 26) * 3}") for i in range(60)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "plumber" in out[0] and "plumber" in out[5] and "@" not in out[0]
+
+
+def test_spans_of_a_text_with_very_many_entities(spark):
+    n = 20_000
+    text = " ".join(f"é{i} u{i}@mail.org +49 30 {1000000 + i} x" for i in range(n))
+    data = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, key string")
+    r = pii.report(data).first()
+    assert (r.n_email, r.n_phone) == (n, n)
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert r.spans.split(",")[:n] == want
+    clean = pii.sanitise(data).first()
+    assert clean.text == " ".join(f"é{i} [EMAIL] [PHONE] x" for i in range(n)) and clean.key == "a"
+
+
+def test_replacement_of_overlapping_spans(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        text = "".join(rng.choice("abcdé\U0001f600 ") for _ in range(9000))
+        spans = sorted({(s, min(len(text), s + rng.randint(1, 60))) for s in (rng.randrange(len(text)) for _ in range(200))})
+        want, at = [], 0
+        for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if s >= at:
+                want += [text[at:s], f"<{e - s}>"]
+            at = max(at, e)
+        data = spark.createDataFrame([(text, [("k", s, e, "") for s, e in spans]), ("", [])], f"t string, s array<{pii.SPAN}>").coalesce(1)
+        got = data.select(pii.replaced(F.col("t"), F.col("s"), lambda x: F.concat(F.lit("<"), x["end"] - x["start"], F.lit(">")))).collect()
+        assert [g[0] for g in got] == ["".join(want) + text[at:], ""]
+
+
 def test_quality(spark, docs, none):
     def brute(t):
         w = words(t)
@@ -354,11 +586,46 @@ def test_cascade_order_is_by_rejection_per_cost():
     assert [m.rule.name for m in quality.measure(["a", "bb"] * 10, (never, slow, cheap))] == ["cheap", "slow", "never"]
 
 
+def test_cascade_costs_are_those_of_what_is_left(spark):
+    """A rule that shares a costly feature with one before it costs little after it, and one whose documents are all rejected by then rejects nothing."""
+    import time
+
+    class Slow(quality.Doc):
+        @property
+        def size(self):
+            if "size" not in self.__dict__:
+                time.sleep(0.002)
+                self.__dict__["size"] = len(self.text)
+            return self.__dict__["size"]
+
+    rules = (
+        quality.Rule("all_but_long", lambda d: Slow.size.fget(d) < 5),
+        quality.Rule("same_feature", lambda d: Slow.size.fget(d) > 6),
+        quality.Rule("subset", lambda d: time.sleep(0.0005) or d.text == "a"),
+    )
+    out = quality.measure(["a"] * 8 + ["aaaaa"] * 4 + ["aaaaaaaa"] * 2, rules)
+    assert [m.rule.name for m in out] == ["subset", "all_but_long", "same_feature"] or [m.rule.name for m in out][-1] == "subset"
+    told = {m.rule.name: m for m in out}
+    first, second = sorted((told["all_but_long"], told["same_feature"]), key=out.index)
+    assert second.cost < first.cost / 5
+    if out[-1].rule.name == "subset":
+        assert told["subset"].rejected == 0
+    data = spark.createDataFrame([(1, "too few words"), (2, " ".join(f"w{i}" for i in range(20)).replace("w", "word"))], "doc_id int, text string")
+    asked = {r.doc_id: r.q.asked for r in data.select("doc_id", quality.judge(F.col("text"), list(quality.RULES)).alias("q")).collect()}
+    assert asked == {1: 1, 2: len(quality.RULES)}
+
+
+def test_cascade_skips_features():
+    d, seen = quality.Doc("no prose"), []
+    rules = [quality.Rule("base", lambda d: d.base_failed), quality.Rule("late", lambda d: seen.append(d) or d.letters > 0)]
+    assert any(r.rejects(d) for r in rules) and not seen and "letters" not in d.__dict__
+
+
 def test_sharding(spark, docs, none):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(1500)] + [(5000 + i, "the same text " * 20) for i in range(700)] + [(9000 + i, None) for i in range(20)]
     data = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    out = sharding.shard(data, 6, 64).collect()
+    out = sharding.shard(data, 6).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
     text = dict(rows)
     load, slots, of = Counter(), defaultdict(list), defaultdict(set)
@@ -375,6 +642,57 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none).count() == 0 and sharding.shard(docs).count() == docs.count()
 
 
+def test_sharding_is_best_fit_decreasing(spark):
+    """Against a plain loop over all groups, one by one, with a list of rooms."""
+    rng = random.Random(12)
+    rows = [(i, "x" * rng.choice([0, 1, 3, 40, 41, 300, 900])) for i in range(900)]
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 8
+    rows += [(1000 + i, f"{i:04d}" * rng.randint(1, 300)) for i in range(700)]
+    for _, t in rows[900:]:
+        groups[t] += len(t) + 8
+    total = sum(groups.values())
+    room = [-(-total // 5)] * 5
+    assert max(groups.values()) <= room[0]
+    for size in sorted(groups.values(), reverse=True):
+        fits = [(r, b) for b, r in enumerate(room) if r >= size]
+        b = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room))[1]
+        room[b] -= size
+    load = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5).collect():
+        load[r.shard] += r.size
+    assert sorted(load.values()) == sorted(-(-total // 5) - r for r in room)
+
+
+def test_rooms_are_those_of_a_sorted_list():
+    rng, rooms, plain = random.Random(4), sharding.Rooms(), []
+    for step in range(2000):
+        if plain and rng.random() < 0.5:
+            size = rng.randint(0, 120)
+            fits = [x for x in plain if x[0] >= size]
+            found = rooms.tightest(size)
+            assert found == (min(fits) if fits else None)
+            if found is None:
+                found = rooms.widest()
+                assert found == max(plain)
+            plain.remove(found)
+        else:
+            x = (rng.randint(0, 100), step)
+            rooms.put(*x)
+            plain.append(x)
+
+
+def test_size_classes(spark):
+    sizes = sorted({*range(0, 70000, 7), *(2**k + d for k in range(16, 40) for d in (-1, 0, 1, 2 ** (k - 3), 2 ** (k - 11)))})
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "s long").coalesce(1).select(sharding.size_class(F.col("s"))).collect()]
+    assert found == sorted(found) and all(c < sharding.n_classes(x) for x, c in zip(sizes, found))
+    ends = {}
+    for x, c in zip(sizes, found):
+        ends.setdefault(c, [x, x])[1] = x
+    assert all(b - a <= a / 1000 for a, b in ends.values()) and all(a == b for c, (a, b) in ends.items() if c < 1 << 16)
+
+
 def test_best_fit_decreasing():
     rng = random.Random(0)
     sizes = [(rng.randint(1, 60), i) for i in range(200)]
@@ -402,6 +720,15 @@ def test_warc(spark):
         assert got[i].payload_bytes == len(raw) and got[i].payload_digest == hashlib.sha1(raw).hexdigest()
         assert bytes(got[i].payload) == (raw if got[i].record_type == "response" else b"") and got[i].intact in (True, None)
     assert got[3].url is None and got[1].url == "http://a/1"
+    path = warc.fresh_path(spark, "t")
+    warc.write(pages.repartition(1), path, file_bytes=3 * 6000)  # the longest record makes about 5800 bytes
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    assert len(files) == 3 and sum(1 for f in files for _ in warc.parse(bytes(f.content))) == len(rows)
+    whole = bytes(files[0].content)
+    many = warc.Stream(whole, 7)  # inflated a few bytes at a time
+    assert many.head().startswith(b"WARC/1.1\r\n")
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.parse(whole[: len(whole) // 2]))
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
@@ -475,7 +802,38 @@ def test_token_counts(spark):
     assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "t", 1, 12)]
     with pytest.raises(Exception, match="unknown op"):
         store.commit("b5", feed([("upsert", a, b)]))
-    assert "b5" not in store.batches() and [tuple(r) for r in store.totals().collect()] == [("s", "en", "t", 1, 12)]
+    assert not store.committed("b5") and store.committed("b1") and store.committed("b4") and [tuple(r) for r in store.totals().collect()] == [("s", "en", "t", 1, 12)]
+
+
+def test_token_totals_over_many_snapshots(spark):
+    store = tokencounts.TokenTotals(spark, tokencounts_path(spark))
+    feed = lambda n: spark.createDataFrame([("insert", None, ("s", "en", "t", n))], tokencounts.CHANGE)
+    for k in range(4):
+        assert store.commit(f"b{k}", feed(1)) and store.compact()
+    assert not any(store.commit(f"b{k}", feed(1)) for k in range(4)) and store._names("batches") == ["b3"] and len(store._names("snapshots")) == 2
+    other = tokencounts.TokenTotals(spark, store.path)
+    spark.createDataFrame([], tokencounts.TOTALS).write.parquet(f"{store.path}/aside/late")
+    assert not other._publish("aside/late", "batches", "b3")  # the slower of two writers of one batch
+    assert [tuple(r) for r in other.totals().collect()] == [("s", "en", "t", 4, 4)]
+
+
+def test_token_counts_query(spark):
+    """The query's totals, against counts by the tokenizer itself."""
+    from statuta.llm import queries
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    t = Tokenizer.from_file(packing.public_tokenizer())
+    t.encode_special_tokens = True
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = len(words(r.text))
+        if n >= 10:
+            for name, k in (("words-1", n), ("byte_bpe_50k", len(t.encode(r.text, add_special_tokens=False).ids))):
+                want[r.source, r.lang, name][0] += 1
+                want[r.source, r.lang, name][1] += k
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in queries.op3_token_counts(spark, sf).collect()}
+    assert got == dict(want)
 
 
 def tokencounts_path(spark):
