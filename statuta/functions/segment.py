@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.functions.text import py_strip
+from statuta.functions.text import py_strip, scan
 from statuta.refdata import LOOKBACK, MAX_CHARS
 
+# The patterns that tell chapters, articles and citations.
 CHAPTER = r"(?iu)^(?U:\s*)Ch(?:ươ|uơ)ng(?U:\s+)([IVXLCDM]+|\d+)\.?(?U:\s*)(.*)$"
 ARTICLE = r"(?iu)^(?U:\s*)Điều(?U:\s+)(\d+)\.?(?U:\s*)(.*)$"
 INLINE_CHAPTER = r"(?iu)(?<!\n)(Ch(?:ươ|uơ)ng(?U:\s+)(?:[IVXLCDM]+|\d+)\.?)"
@@ -52,19 +53,16 @@ def break_articles(text: Column) -> Column:
     """
     parts = F.split(text, r"(?=Điều(?U:\s+)\d+)", -1)
     number = lambda p: F.nullif(F.regexp_extract(p, r"^Điều(?U:\s+)(\d+)", 1), F.lit("")).try_cast("decimal(38,0)")
-    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("last"), F.lit("").alias("tail"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("last"), F.lit("").alias("tail"))
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> tuple[Column, Column]:
         n, before = number(p), acc["tail"]
-        heading = n.isNotNull() & (n > acc["last"]) & ~F.regexp_like(before, F.lit(CITED))
+        heading = F.coalesce(n > acc["last"], F.lit(False)) & ~F.regexp_like(before, F.lit(CITED))
         cut = heading & (before != "") & ~before.endswith("\n")
-        return F.struct(
-            F.when(heading, n).otherwise(acc["last"]).alias("last"),
-            F.right(F.concat(before, p), F.lit(LOOKBACK)).alias("tail"),
-            F.array_append(acc["out"], F.when(cut, F.concat(F.lit("\n"), p)).otherwise(p)).alias("out"),
-        )
+        after = F.struct(F.when(heading, n).otherwise(acc["last"]).alias("last"), F.right(F.concat(before, p), F.lit(LOOKBACK)).alias("tail"))
+        return after, F.when(cut, F.concat(F.lit("\n"), p)).otherwise(p)
 
-    return F.aggregate(parts, start, step, lambda acc: F.array_join(acc["out"], ""))
+    return F.when(text.isNotNull(), F.array_join(scan(parts, "struct<last:decimal(38,0),tail:string>", "string", start, step), ""))
 
 
 def normalize_markdown(text: Column) -> Column:
@@ -76,35 +74,6 @@ def lines_of(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
 
 
-ARTICLE_ROW = "struct<chapter_number:string,chapter_title:string,article_number:string,article_title:string,lines:array<string>>"
-
-
-def parse_articles(text: Column) -> Column:
-    """Articles in order, in the row: a fold over the lines. Text before the first article of a document or chapter is dropped."""
-    none = F.lit(None).cast("string")
-    open_ = F.lit(None).cast(ARTICLE_ROW)
-    start = F.struct(none.alias("number"), none.alias("title"), open_.alias("open"), F.array().cast(f"array<{ARTICLE_ROW}>").alias("out"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"].isNotNull(), F.array_append(acc["out"], acc["open"])).otherwise(acc["out"])
-
-    def step(acc: Column, line: Column) -> Column:
-        chapter, article = F.regexp_like(line, F.lit(CHAPTER)), F.regexp_like(line, F.lit(ARTICLE))
-        begun = F.struct(
-            acc["number"].alias("chapter_number"), acc["title"].alias("chapter_title"), F.regexp_extract(line, ARTICLE, 1).alias("article_number"),
-            py_strip(F.regexp_extract(line, ARTICLE, 2)).alias("article_title"), F.array().cast("array<string>").alias("lines"),
-        )
-        more = F.struct(*(acc["open"][c].alias(c) for c in ("chapter_number", "chapter_title", "article_number", "article_title")), F.array_append(acc["open"]["lines"], line).alias("lines"))
-        return F.struct(
-            F.when(chapter, F.regexp_extract(line, CHAPTER, 1)).otherwise(acc["number"]).alias("number"),
-            F.when(chapter, py_strip(F.regexp_extract(line, CHAPTER, 2))).otherwise(acc["title"]).alias("title"),
-            F.when(chapter, open_).when(article, begun).when(acc["open"].isNotNull(), more).otherwise(open_).alias("open"),
-            F.when(chapter | article, closed(acc)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(lines_of(text), start, step, closed)
-
-
 def articles(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     """A row for each article of docs (doc_id, title, text), by windows over the lines: documents of any length.
 

@@ -47,6 +47,26 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def scan(values: Column, state: str, value: str, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], run: int = 128) -> Column:
+    """An array of the values that step(state, x) gives, with the next state, for each x of an array in turn. state and
+    value are their types. An array is copied whenever it grows, so the work is done in runs and the runs are strung together."""
+    none = F.array().cast(f"array<{value}>")
+
+    def own(at: Column, xs: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            new, out = step(acc["state"], x)
+            return let(F.struct(new.alias("state"), out.alias("value")), lambda r: F.struct(r["state"].cast(state).alias("state"), F.array_append(acc["out"], r["value"].cast(value)).alias("out")))
+
+        return F.aggregate(xs, F.struct(at.cast(state).alias("state"), none.alias("out")), one)
+
+    def strung(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(run)), lambda at: F.slice(v, at, run))
+        done = F.aggregate(runs, F.array().cast(f"array<struct<state:{state},out:array<{value}>>>"), lambda acc, xs: F.array_append(acc, own(F.coalesce(F.get(acc, F.size(acc) - 1)["state"], start), xs)))
+        return F.when(F.size(v) > 0, F.flatten(F.transform(done, lambda r: r["out"]))).otherwise(none)
+
+    return let(values, strung)
+
+
 def tokenize(x: Column) -> Column:
     """Lower-case words at white space, then each occurrence's form without marks where no word has that form."""
     words = F.filter(F.split(F.lower(x), r"(?U)\s+"), lambda t: t != "")

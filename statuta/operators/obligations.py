@@ -62,9 +62,14 @@ def gaps(queries: DataFrame, corpus: DataFrame, rows: DataFrame) -> DataFrame:
         "query_id", F.lit("unresolved_consolidation").alias("kind"), "doc_name", "title",
         F.concat(F.lit("The current version could not be established (chain so far: "), F.array_join("chain", " -> "), F.lit(").")).alias("reason"), "candidate",
     )
-    empty = corpus.where(~F.coalesce(F.regexp_like("markdown", F.lit(r"(?U)\S")), F.lit(False))).join(small(queries))
+    empty = corpus.where(~F.coalesce(F.regexp_like("markdown", F.lit(r"(?U)\S")), F.lit(False))).drop("markdown", "structure_json")
+    same = queries.withColumn("asked", F.xxhash64(F.coalesce("province", F.lit("\0")), F.to_json("keywords")))
+    asked = same.select("asked", "province", "keywords").dropDuplicates(["asked"])  # questions of one province and the same keywords share their documents
     may = classify.in_jurisdiction(F.col("scope"), F.col("issuing_authority"), F.col("province")) & ((classify.legal_area_boost(F.col("legal_area"), F.col("keywords")) > 0) | ~classify.is_tagged(F.col("legal_area")))
-    bodyless = empty.where(may).select("query_id", F.lit("null_markdown_match").alias("kind"), "doc_name", "title", F.lit("The document has no body text and cannot be reached by search; it needs review.").alias("reason"), F.col("doc_name").alias("candidate"))
+    matched = empty.join(small(asked), may).select("asked", "doc_name", "title")
+    bodyless = matched.join(same.select("asked", "query_id"), "asked").select(
+        "query_id", F.lit("null_markdown_match").alias("kind"), "doc_name", "title", F.lit("Without a body, the document is out of reach of any search; it needs review.").alias("reason"), F.col("doc_name").alias("candidate")
+    )
     every = low.unionByName(open_).unionByName(bodyless)
     return first_of(every, ["query_id", "kind", "doc_name"], ["candidate"]).drop("candidate")
 

@@ -4,24 +4,33 @@ queries: query_id, category, query_text, entity_type, province. chunks: chunk_id
 province_scope, text. What a query may see depends on its category, entity type and province. Corpus statistics
 are sums over chunks, so they are taken once for each cell of (category, entity_type, province_scope) and added
 up over the cells that a query sees; queries of one view share them.
+
+Both searches are exact and shuffle no pairs of query and chunk but the best: queries travel to the tasks in blocks of
+bounded number, their words weighed and their vectors made beforehand; a task scores its own chunks against a block by
+one product of matrices a batch, and keeps the best of each query.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta import refdata as R
-from statuta.common import small
+from statuta.common import small, stash
 from statuta.functions.classify import entity_visible, province_visible
 from statuta.functions.text import hashing_vectors, tokenize
 
 CELL = ["category", "entity_type", "province_scope"]
-QUERY_BLOCK = 20_000  # queries whose vectors a task holds at a time
+QUERY_BLOCK = 5_000  # queries that a task holds at a time
+AT_ONCE = 250  # of them in one product
+CHUNKS_AT_ONCE = 1_000
 
 
 def _cells(chunks: DataFrame) -> DataFrame:
@@ -38,95 +47,178 @@ def _sees(q: str, c: str) -> Column:
 
 def views(queries: DataFrame) -> DataFrame:
     """The distinct views of the queries; few, as they don't depend on who asks."""
-    return queries.select("category", "entity_type", "province").distinct().withColumn("view", F.xxhash64("category", "entity_type", F.coalesce("province", F.lit("\0"))))
+    return with_view(queries.select("category", "entity_type", "province").distinct())
 
 
 def with_view(queries: DataFrame) -> DataFrame:
     return queries.withColumn("view", F.xxhash64("category", "entity_type", F.coalesce("province", F.lit("\0"))))
 
 
-def corpus_statistics(chunks: DataFrame, views_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per view: n, avgdl, floor (what replaces a negative idf); and per view and token: idf."""
-    own = _cells(chunks).select(*CELL, tokenize(F.col("text")).alias("tokens"))
-    sizes = own.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("dl"))
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """chunk_id, cell and tokens of the chunks, worked out once."""
+    return stash(_cells(chunks).select("chunk_id", *CELL, tokenize(F.col("text")).alias("tokens")), "chunk-tokens")
+
+
+def corpus_statistics(own: DataFrame, views_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of tokenized chunks, per view: n, avgdl; and per view and token: idf, where 0.25 of the mean replaces what is negative."""
+    sizes = stash(own.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("dl")), "cell-sizes")
     frequency = own.select(*CELL, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*CELL, "token").agg(F.count("*").alias("df"))
-    seen = views_.alias("q").join(F.broadcast(sizes.alias("c")), _sees("q", "c")).groupBy("view").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
-    df = frequency.alias("c").join(F.broadcast(views_.alias("q")), _sees("q", "c")).groupBy("view", "token").agg(F.sum("df").alias("df"))
-    raw = df.join(F.broadcast(seen), "view").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    seen = small(sizes).alias("c").join(views_.alias("q"), _sees("q", "c")).groupBy("view").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    seen = stash(seen, "view-sizes")
+    df = frequency.alias("c").join(small(views_).alias("q"), _sees("q", "c")).groupBy("view", "token").agg(F.sum("df").alias("df"))
+    raw = stash(df.join(small(seen), "view").select("view", "token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "view-words")
     floor = raw.groupBy("view").agg((R.BM25_FLOOR * F.avg("raw")).alias("floor"))
-    idf = raw.join(F.broadcast(floor), "view").select("view", "token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    idf = raw.join(small(floor), "view").select("view", "token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return seen, idf
 
 
+def _blocks(rows: DataFrame, n: int) -> Iterator[DataFrame]:
+    """rows by a hash of query_id, in blocks of about QUERY_BLOCK of n queries."""
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    for k in range(blocks):
+        yield rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+
+
+class _Best:
+    """The best chunks of some queries so far: by falling score, then by id."""
+
+    def __init__(self, top_n: int):
+        self.top_n, self.scores, self.ids = top_n, None, None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: a row a chunk, a column a query, -inf where the query may not see it; the ids are in order."""
+        place = np.argsort(-scores, axis=0, kind="stable")[: self.top_n]
+        scores, ids = np.take_along_axis(scores, place, axis=0), ids[place]
+        if self.scores is not None:
+            scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+            by_id = np.argsort(ids, axis=0, kind="stable")
+            scores, ids = np.take_along_axis(scores, by_id, axis=0), np.take_along_axis(ids, by_id, axis=0)
+            place = np.argsort(-scores, axis=0, kind="stable")[: self.top_n]
+            scores, ids = np.take_along_axis(scores, place, axis=0), np.take_along_axis(ids, place, axis=0)
+        self.scores, self.ids = scores, ids
+
+    def rows(self, queries: list) -> Iterator[tuple]:
+        for j, q in enumerate(queries):
+            for s, i in zip(self.scores[:, j].tolist(), self.ids[:, j].tolist()):
+                if s != -np.inf:
+                    yield q, i, s
+
+
+def _ranked(found: DataFrame, score: str, top_n: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+
+
+def _kind(queries: DataFrame) -> str:
+    return queries.schema["query_id"].dataType.simpleString()
+
+
 def bm25_top(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N) -> DataFrame:
-    """query_id, chunk_id, bm25 and rank of the best chunks of each query.
+    """query_id, chunk_id, bm25 and rank of the best chunks of each query, of all that it may see.
 
-    Chunks without a query word score 0 and still take places behind positive scores, in the order of their ids. Only
-    chunks with a query word are scored; as places are at most top_n, twice as many first chunks of a view are enough
-    to fill them. Scores are rounded to nine digits before they are ranked.
+    A chunk without a query word scores 0, whatever the others score. Scores are rounded to nine digits before they are
+    ranked; ties are in the order of ids.
     """
-    asked, chunks = with_view(queries), _cells(chunks)
-    views_ = views(queries)
-    seen, idf = corpus_statistics(chunks, views_)
-    words = asked.select("query_id", *CELL[:2], "province", "view", F.explode(tokenize(F.col("query_text"))).alias("token"))
-    words = words.groupBy("query_id", "category", "entity_type", "province", "view", "token").agg(F.count("*").alias("times"))
-    weighed = words.join(idf, ["view", "token"]).join(F.broadcast(seen), "view")
-    vocabulary = words.select("token").distinct()
-    postings = chunks.select("chunk_id", *CELL, tokenize(F.col("text")).alias("tokens"))
-    postings = postings.select("chunk_id", *CELL, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    postings = postings.join(small(vocabulary), "token", "left_semi").groupBy("chunk_id", *CELL, "dl", "token").agg(F.count("*").alias("tf"))
-    hits = postings.alias("c").join(weighed.alias("q"), (F.col("c.token") == F.col("q.token")) & _sees("q", "c"))
-    norm = F.col("tf") + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / norm
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
-    first = chunks.alias("c").join(F.broadcast(views_.alias("q")), _sees("q", "c")).select("view", "chunk_id")
-    first = first.withColumn("k", F.row_number().over(Window.partitionBy("view").orderBy("chunk_id"))).where(F.col("k") <= 2 * top_n)
-    zero = asked.select("query_id", "view").join(first, "view").select("query_id", "chunk_id").join(scored, ["query_id", "chunk_id"], "left_anti")
-    every = scored.unionByName(zero.withColumn("bm25", F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    asked, views_ = with_view(queries), stash(views(queries), "views")
+    own = tokenized(chunks)
+    seen, idf = corpus_statistics(own, views_)
+    words = asked.select("query_id", "view", F.explode(tokenize(F.col("query_text"))).alias("token")).groupBy("query_id", "view", "token").agg(F.count("*").alias("times"))
+    weighed = idf.join(small(words), ["view", "token"]).groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("times") * F.col("idf")).alias("w"))).alias("words"))
+    told = asked.join(small(seen), "view").join(small(weighed), "query_id", "left").select("query_id", "category", "entity_type", "province", "avgdl", "words")
+    told, out = stash(told, "weighed-queries"), None
+    for block in _blocks(told, told.count()):
+        sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
+        part = own.mapInArrow(lambda batches, sent=sent: _bm25(batches, sent.value, top_n), f"query_id {_kind(queries)}, chunk_id string, bm25 double")
+        out = part if out is None else out.unionByName(part)
+    return _ranked(out, "bm25", top_n)
+
+
+def _bm25(batches: Iterator[pa.RecordBatch], queries: list[tuple], top_n: int) -> Iterator[pa.RecordBatch]:
+    by_view = defaultdict(list)
+    for query_id, *view, words in queries:
+        by_view[tuple(view)].append((query_id, words or []))
+    sets = []
+    for (category, entity, province, avgdl), asked in by_view.items():
+        for i in range(0, len(asked), AT_ONCE):
+            some = asked[i : i + AT_ONCE]
+            vocab = sorted({w["token"] for _, words in some for w in words})
+            place, weights = {t: k for k, t in enumerate(vocab)}, np.zeros((len(vocab), len(some)))
+            for j, (_, words) in enumerate(some):
+                for w in words:
+                    weights[place[w["token"]], j] = w["w"]
+            sets.append((category, entity, province, avgdl, [q for q, _ in some], pa.array(vocab, pa.string()), weights, _Best(top_n)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+            some = batch.slice(at, CHUNKS_AT_ONCE)
+            ids, category, entity, scope = (some.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            tokens, sizes = some.column(4).flatten(), np.asarray(pc.fill_null(pc.list_value_length(some.column(4)), 0))
+            row = np.repeat(np.arange(len(ids)), sizes)
+            for c, e, p, avgdl, _, vocab, weights, best in sets:
+                mine = np.flatnonzero((category == c) & ((entity == "both") | (entity == e)) & ((scope == "national") | ((scope == p) if p is not None else False)))
+                if not len(mine):
+                    continue
+                mine = mine[np.argsort(ids[mine], kind="stable")]
+                scores = np.zeros((len(mine), weights.shape[1]))
+                if len(vocab):
+                    word = pc.index_in(tokens, value_set=vocab).to_numpy(zero_copy_only=False)
+                    hit = ~np.isnan(word) if word.dtype.kind == "f" else np.ones(len(word), bool)
+                    tf = np.bincount(row[hit] * len(vocab) + word[hit].astype(np.int64), minlength=len(ids) * len(vocab)).reshape(len(ids), -1)[mine]
+                    norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * sizes[mine] / avgdl)
+                    scores = np.round((tf * (R.BM25_K1 + 1) / (tf + norm[:, None])) @ weights, 9) + 0.0
+                best.add(scores, ids[mine])
+    for *_, queries_, _, _, best in sets:
+        if best.scores is not None and (rows := list(best.rows(queries_))):
+            yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "chunk_id", "bm25"), map(list, zip(*rows)))))
 
 
 def vector_top(queries: DataFrame, chunks: DataFrame, top_n: int, embed=hashing_vectors) -> DataFrame:
     """query_id, chunk_id, similarity and rank of the nearest chunks of each query's category, exactly.
 
-    embed: from texts to unit vectors. Queries travel to the tasks in blocks of bounded number; a task keeps the
-    best of each query among its own chunks, so no pair of query and chunk beyond those is shuffled.
+    embed: from texts to unit vectors. Each query is embedded once, in a task, and each chunk once a block of queries.
     """
-    asked = queries.select("query_id", "category", "query_text")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    spark, out = queries.sparkSession, None
-    for k in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            by: dict[str, tuple[list, np.ndarray]] = {}
-            for c in {c for _, c, _ in sent.value}:
-                own = [(i, t) for i, x, t in sent.value if x == c]
-                by[c] = [i for i, _ in own], embed([t for _, t in own])
-            best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for c, rows in batch.groupby("category"):
-                    if c not in by:
-                        continue
-                    ids = rows["chunk_id"].to_numpy(object)
-                    near = np.round(embed(rows["text"].tolist()) @ by[c][1].T, 9) + 0.0
-                    for j, q in enumerate(by[c][0]):
-                        held = best.get((c, q))
-                        sims, names = near[:, j], ids
-                        if held is not None:
-                            sims, names = np.concatenate([held[0], sims]), np.concatenate([held[1], names])
-                        order = np.lexsort((names.astype(str), -sims))[:top_n]
-                        best[c, q] = sims[order], names[order]
-            for (_, q), (sims, names) in best.items():
-                yield pd.DataFrame({"query_id": q, "chunk_id": names, "similarity": sims})
-
-        kind = dict(queries.dtypes)["query_id"]
-        part = chunks.select("chunk_id", "category", "text").mapInPandas(run, f"query_id {kind}, chunk_id string, similarity double")
+    vector = F.pandas_udf(lambda texts: pd.Series(list(embed(texts.tolist()))) if len(texts) else pd.Series([], dtype=object), "array<double>")
+    asked = stash(queries.select("query_id", "category", vector(F.coalesce("query_text", F.lit(""))).alias("vector")), "query-vectors")
+    own, out = chunks.select("chunk_id", "category", F.coalesce("text", F.lit("")).alias("text")), None
+    for block in _blocks(asked, asked.count()):
+        sent = queries.sparkSession.sparkContext.broadcast([(r["query_id"], r["category"], np.array(r["vector"])) for r in block.collect()])
+        made = lambda rows: embed(rows["text"].tolist())
+        part = own.mapInPandas(lambda batches, sent=sent: _nearest(batches, sent.value, top_n, made), f"query_id {_kind(queries)}, chunk_id string, similarity double")
+        out = part if out is None else out.unionByName(part)
+    return _ranked(out, "similarity", top_n)
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, top_n: int) -> DataFrame:
+    """vector_top for vectors that are stored: queries of query_id, category, vector, rows of chunk_id, category, vector, unit vectors all. Where
+    category is null on both sides, all rows are searched."""
+    asked, out = queries.select("query_id", F.coalesce("category", F.lit("")).alias("category"), "vector"), None
+    own = rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("category", F.lit("")).alias("category"), "vector")
+    for block in _blocks(asked, asked.count()):
+        sent = queries.sparkSession.sparkContext.broadcast([(r["query_id"], r["category"], np.array(r["vector"])) for r in block.collect()])
+        made = lambda rows: np.stack(rows["vector"].to_numpy())
+        part = own.mapInPandas(lambda batches, sent=sent: _nearest(batches, sent.value, top_n, made), f"query_id {_kind(queries)}, chunk_id string, similarity double")
         out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    return _ranked(out, "similarity", top_n)
+
+
+def _nearest(batches: Iterator[pd.DataFrame], queries: list[tuple], top_n: int, vectors) -> Iterator[pd.DataFrame]:
+    by_category, sets = defaultdict(list), defaultdict(list)
+    for query_id, category, vector in queries:
+        by_category[category].append((query_id, vector))
+    for c, asked in by_category.items():
+        for i in range(0, len(asked), AT_ONCE):
+            some = asked[i : i + AT_ONCE]
+            sets[c].append(([q for q, _ in some], np.stack([v for _, v in some]).T, _Best(top_n)))
+    for batch in batches:
+        for c, rows in batch.groupby("category"):
+            for at in range(0, len(rows) if c in sets else 0, CHUNKS_AT_ONCE):
+                some = rows.iloc[at : at + CHUNKS_AT_ONCE].sort_values("chunk_id", kind="stable")
+                ids, near = some["chunk_id"].to_numpy(object), np.asarray(vectors(some))
+                for _, matrix, best in sets[c]:
+                    best.add(np.round(near @ matrix, 9) + 0.0, ids)
+    for some in sets.values():
+        for names, _, best in some:
+            if best.scores is not None:
+                yield pd.DataFrame(list(best.rows(names)), columns=["query_id", "chunk_id", "similarity"])
 
 
 def rrf(lists: DataFrame, *keys: str) -> DataFrame:
@@ -162,26 +254,39 @@ def retrieve_full(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N, e
 def retrieve_pruned(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N, pool: int = R.POOL, embed=hashing_vectors) -> DataFrame:
     """For embedders that do: the nearest `pool` chunks of the category, filtered, are all that BM25 sees; all of them are fused."""
     near = visible(queries, chunks, vector_top(queries, chunks, pool, embed))
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    near = stash(near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))), "pool")
     return _fused(bm25_in_pool(queries, near, chunks, top_n), near)
 
 
 def bm25_in_pool(queries: DataFrame, pool: DataFrame, chunks: DataFrame, top_n: int) -> DataFrame:
-    """bm25_top with each query's own pool (query_id, chunk_id) of bounded size as the corpus."""
-    rows = pool.select("query_id", "chunk_id", F.col("rank").alias("place")).join(chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens")), "chunk_id")
-    seen = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    tf = rows.select("query_id", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("query_id", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("query_id", "token").agg(F.count("*").alias("df")).join(seen, "query_id")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.groupBy("query_id").agg((R.BM25_FLOOR * F.avg("raw")).alias("floor"))
-    words = queries.select("query_id", F.explode(tokenize(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighed = words.join(raw, ["query_id", "token"]).join(floor, "query_id")
-    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
-    part = F.col("times") * idf * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weighed, ["query_id", "token"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("bm25"))
-    every = rows.select("query_id", "chunk_id", "place").join(scored, ["query_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "place")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("query_id", "chunk_id", "bm25", "rank")
+    """bm25_top with each query's own pool (query_id, chunk_id, rank) as the corpus. A chunk is tokenised once, whatever pools it is in;
+    its tokens travel as hashes of 64 bits. A pool has a bounded number of chunks, and is one group."""
+    hashed = lambda text: F.transform(tokenize(F.col(text)), lambda t: F.xxhash64(t))
+    needed = stash(pool.select("chunk_id").distinct(), "pooled-chunks")
+    own = stash(chunks.join(small(needed), "chunk_id").select("chunk_id", hashed("text").alias("tokens")), "pooled-tokens")
+    asked = stash(queries.select("query_id", hashed("query_text").alias("words")), "query-words")
+    rows = pool.select("query_id", "chunk_id", F.col("rank").alias("place")).join(own, "chunk_id").join(small(asked), "query_id")
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place", kind="stable")
+        dl = group["tokens"].str.len().to_numpy()
+        token, code = np.unique(np.concatenate(group["tokens"].to_numpy()), return_inverse=True)
+        pair, tf = np.unique(np.repeat(np.arange(len(group)), dl) * max(1, len(token)) + code, return_counts=True)
+        df = np.bincount(pair % max(1, len(token)), minlength=len(token))
+        raw = np.log(len(group) - df + 0.5) - np.log(df + 0.5)
+        idf = np.where(raw < 0, R.BM25_FLOOR * raw.mean(), raw) if len(raw) else raw
+        words, times = np.unique(np.asarray(group["words"].iloc[0], np.int64), return_counts=True)
+        at = np.minimum(np.searchsorted(token, words), max(len(token) - 1, 0))
+        known = token[at] == words if len(token) else np.zeros(len(words), bool)
+        weight = np.zeros(len(token))
+        weight[at[known]] = times[known] * idf[at[known]]
+        row, word = pair // max(1, len(token)), pair % max(1, len(token))
+        norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * dl / max(dl.mean(), 1e-300))
+        scores = np.round(np.bincount(row, weight[word] * tf * (R.BM25_K1 + 1) / (tf + norm[row]), len(group)), 9) + 0.0
+        best = np.argsort(-scores, kind="stable")[:top_n]
+        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "chunk_id": group["chunk_id"].to_numpy()[best], "bm25": scores[best], "rank": np.arange(1, len(best) + 1, dtype=np.int32)})
+
+    return rows.groupBy("query_id").applyInPandas(score, f"query_id {_kind(queries)}, chunk_id string, bm25 double, rank int")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, is_semantic: bool, top_n: int = R.TOP_N, embed=hashing_vectors) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta import refdata as R
+from statuta.common import stash
 from statuta.functions import citations, classify, segment, text
-from statuta.operators import consolidation, obligations
+from statuta.operators import consolidation, obligations, retrieval
+from statuta.plans import retrieval_queries as R_Q
 from statuta.plans import views as V
 from statuta.registry import query
 from statuta.sources import corpus as S
@@ -49,7 +51,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         CAST(part_index AS INT) AS part_index, CAST(len(texts) AS INT) AS part_count, sha256(texts[part_index + 1]) AS content_hash FROM expected""",
 )
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table of the whole corpus."""
+    """The chunk table of the whole corpus."""
     good, _ = S.validated(documents(spark, sf_dir))
     return S.chunks_of(good).select("chunk_id", "document_id", "law_name", "category", "province_scope", "chapter_number", "article_number", "article_title", "part_index", "part_count", "content_hash")
 
@@ -69,16 +71,16 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s9_upsert_diff",
-    f"""WITH {V.CORPUS_SQL}, {ARTICLES_SQL},
-    c AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN n % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM expected)
-    SELECT change, count(*) AS n FROM c GROUP BY 1""",
+    f"""WITH {V.CORPUS_SQL}, {ARTICLES_SQL}
+    SELECT 'vbpl-hf-' || doc_name || ':dieu' || n || CASE WHEN split THEN ':part' || part_index ELSE '' END AS chunk_id, sha256(texts[part_index + 1]) AS content_hash,
+        CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN n % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM expected""",
 )
 def upsert_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus against a store that lacks some documents and has other texts of some articles."""
+    """A corpus against a store that lacks some documents and has other texts of some articles."""
     chunks = S.chunks_of(documents(spark, sf_dir))
     number = F.regexp_extract("document_id", r"(\d+)$", 1).cast("long")
     old = chunks.where(number % 4 != 0).withColumn("content_hash", F.when(F.col("article_number").cast("int") % 5 == 0, F.md5("text")).otherwise(F.col("content_hash")))
-    return store.diff(chunks, old).groupBy("change").agg(F.count("*").alias("n"))
+    return store.diff(chunks, old).select("chunk_id", "content_hash", "change")
 
 
 @query(
@@ -132,7 +134,7 @@ def hashing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, CAST(len(l) AS INT) AS lines, md5(array_to_string(l, chr(10))) AS text, left(regexp_replace(l[1], '\\s+', ' ', 'g'), 200) AS title FROM c""",
 )
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as lines, and the title they suggest."""
+    """Pages as lines, and the title they suggest."""
     p = V.table(spark, sf_dir, "pages").select("page_id", segment.html_to_lines(F.coalesce("html", F.lit(""))).alias("t"))
     return p.select("page_id", F.size(F.split("t", "\n")).alias("lines"), F.md5("t").alias("text"), segment.guess_title(F.col("t")).alias("title"))
 
@@ -156,7 +158,7 @@ WALK_SQL = """
     SELECT doc_name, effective, chain, round(confidence, 9) AS confidence, used_pointer, unresolved FROM consolidated""",
 )
 def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document in force for every document."""
+    """The document in force for every document."""
     out = consolidation.consolidate(V.corpus(spark, sf_dir).select("doc_name", "pointer"), V.refs(spark, sf_dir))
     return out.withColumn("chain", F.array_join("chain", " -> ")).withColumn("confidence", F.round("confidence", 9))
 
@@ -175,25 +177,38 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_name", F.col("a.dieu_number").alias("first_number"), F.col("b.dieu_number").alias("second_number"), F.col("b.span_start").alias("second_start"), F.col("c.dieu_number").alias("around"))
 
 
-# Questions to documents: the words of a title, its category's documents and the provinces of users.
-ASKED_SQL = """
-    asked AS (SELECT item_id AS query_id, n_name AS province, text AS q FROM benchmark JOIN nation ON item_id % 25 = n_nationkey),
-    kw AS (SELECT query_id, province, ['thuế', 'lao động'][query_id % 2 + 1] AS keyword FROM asked),
-    lex AS (SELECT query_id, doc_name, ((c.doc_id * 7 + query_id) % 11) / 10.0 AS score FROM asked, corpus c WHERE (c.doc_id + query_id) % 37 = 0 AND has_body),
-    vec AS (SELECT query_id, doc_name, ((c.doc_id * 3 + query_id) % 14 - 2) / 10.0 AS score FROM asked, corpus c WHERE (c.doc_id + 2 * query_id) % 41 = 0 AND has_body),
+# Questions to documents: a provision of the benchmark, the province of its user and a keyword; the best twenty documents by words and by vectors.
+BEST = 20
+ASKED_SQL = f"""
+    kw AS (SELECT item_id AS query_id, n_name AS province, ['thuế', 'lao động'][item_id % 2 + 1] AS keyword FROM benchmark JOIN nation ON item_id % 25 = n_nationkey),
+    chunks AS (SELECT 'd' || doc_id AS chunk_id, 'all' AS category, 'both' AS entity_type, 'national' AS province_scope, text FROM documents WHERE doc_id % 14 <> 0 AND text IS NOT NULL),
+    q AS (SELECT item_id AS query_id, 'all' AS category, text AS query_text, 'individual' AS entity_type, NULL::VARCHAR AS province FROM benchmark), {R_Q.BM25_SQL}, {R_Q.VECTOR_SQL},
+    terms AS (SELECT query_id, list_filter(string_split_regex(lower(query_text), '\\s+'), lambda t: t <> '') AS w FROM q),
+    lex AS (SELECT query_id, chunk_id AS doc_name, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda t: contains(lower(c.text), t))) / len(w) ELSE 0.0 END AS score FROM bm JOIN terms USING (query_id) JOIN chunks c USING (chunk_id) WHERE rank <= {BEST}),
+    vec AS (SELECT query_id, chunk_id AS doc_name, similarity AS score FROM near WHERE rank <= {BEST}),
     cand AS (SELECT query_id, doc_name, greatest(coalesce(l.score, 0), 0) AS lexical, CASE WHEN v.score IS NOT NULL THEN greatest(0, least(1, v.score)) END AS embedding FROM lex l FULL JOIN vec v USING (query_id, doc_name))"""
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Questions, the corpus, and scores of candidates by words and by vectors, which stand for any search."""
-    n = V.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("province"))
-    q = V.table(spark, sf_dir, "benchmark").join(n, F.col("item_id") % 25 == F.col("n_nationkey")).select(F.col("item_id").alias("query_id"), "province", F.array(V.pick(["thuế", "lao động"], F.col("item_id") % 2)).alias("keywords"))
-    c = V.corpus(spark, sf_dir)
-    some = c.where("markdown is not null").select("doc_id", "doc_name")
-    at = lambda step, m: q.select("query_id").withColumn("r", F.pmod(-step * F.col("query_id"), F.lit(m))).join(some.withColumn("r", F.pmod("doc_id", F.lit(m))), "r")
-    lex = at(1, 37).select("query_id", "doc_name", (F.pmod(F.col("doc_id") * 7 + F.col("query_id"), F.lit(11)) / 10).alias("score"))
-    vec = at(2, 41).select("query_id", "doc_name", ((F.pmod(F.col("doc_id") * 3 + F.col("query_id"), F.lit(14)) - 2) / 10).alias("score"))
-    return q, c, lex, vec
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions: query_id, query_text, province, keywords."""
+    n = F.broadcast(V.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("province")))  # 25 rows
+    return V.table(spark, sf_dir, "benchmark").join(n, F.col("item_id") % 25 == F.col("n_nationkey")).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "province", F.array(V.pick(["thuế", "lao động"], F.col("item_id") % 2)).alias("keywords")
+    )
+
+
+def found(spark: SparkSession, sf_dir: str, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits and gaps of the questions: candidates are the best documents by words, scored by the share of the question's words that they hold, and by vectors."""
+    corpus = V.corpus(spark, sf_dir)
+    body = V.table(spark, sf_dir, "documents").where("doc_id % 14 <> 0 and text is not null").select(
+        F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.lit("all").alias("category"), F.lit("both").alias("entity_type"), F.lit("national").alias("province_scope"), "text"
+    )
+    q = questions.select("query_id", F.lit("all").alias("category"), "query_text", F.lit("individual").alias("entity_type"), F.lit(None).cast("string").alias("province"))
+    words = retrieval.bm25_top(q, body, BEST).select("query_id", "chunk_id").join(q.select("query_id", "query_text"), "query_id").join(body.select("chunk_id", "text"), "chunk_id")
+    lex = words.select("query_id", F.col("chunk_id").alias("doc_name"), text.lexical_overlap(F.col("query_text"), F.col("text")).alias("score"))
+    vec = retrieval.vector_top(q, body, BEST).select("query_id", F.col("chunk_id").alias("doc_name"), F.col("similarity").alias("score"))
+    known = consolidation.consolidate(corpus.select("doc_name", "pointer"), V.refs(spark, sf_dir))
+    return obligations.retrieve_obligations(questions, corpus, stash(lex, "lexical"), stash(vec, "embedding"), stash(known, "consolidated"))
 
 
 ROWS_SQL = f"""
@@ -212,24 +227,21 @@ ROWS_SQL = f"""
         (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hierarchy_rank, coverage_total DESC, candidate) AS rank FROM rows) WHERE rank <= 10""",
 )
 def obligation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for each question, by authority and then by coverage."""
-    q, c, lex, vec = _asked(spark, sf_dir)
-    known = consolidation.consolidate(c.select("doc_name", "pointer"), V.refs(spark, sf_dir))
-    hits, _ = obligations.retrieve_obligations(q, c, lex, vec, known)
+    """Documents for each question, by authority and then by coverage."""
+    hits, _ = found(spark, sf_dir, asked(spark, sf_dir))
     return hits.select("query_id", "rank", "candidate", "doc_name", "hierarchy_rank", "chain", "unresolved", "coverage_total")
 
 
-@query(
-    "g1_gaps",
-    f"""WITH RECURSIVE {V.CORPUS_SQL}, {V.REFS_SQL}, {WALK_SQL}, {ASKED_SQL}, {ROWS_SQL}
-    SELECT DISTINCT query_id, kind, doc_name, title FROM (
+# What a reviewer has to look at.
+GAPS_SQL = f"WITH RECURSIVE {V.CORPUS_SQL}, {V.REFS_SQL}, {WALK_SQL}, {ASKED_SQL}, {ROWS_SQL}"
+GAPS_SELECT = """SELECT DISTINCT query_id, kind, doc_name, title FROM (
         SELECT query_id, 'low_coverage' AS kind, doc_name, title FROM rows WHERE coverage_total < 0.6 UNION ALL SELECT query_id, 'unresolved_consolidation', doc_name, title FROM rows WHERE unresolved
         UNION ALL SELECT query_id, 'null_markdown_match', doc_name, title FROM corpus, kw WHERE (NOT has_body OR len(l) = 0) AND (scope = 'trung_uong' OR (scope = 'dia_phuong' AND contains(lower(issuing_authority), lower(province))))
-            AND (legal_area IS NULL OR legal_area = 'Chưa phân loại' OR contains(lower(legal_area), keyword)))""",
-)
+            AND (legal_area IS NULL OR legal_area = 'Chưa phân loại' OR contains(lower(legal_area), keyword)))"""
+
+
+@query("g1_gaps", f"{GAPS_SQL} {GAPS_SELECT}")
 def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reviewer has to look at."""
-    q, c, lex, vec = _asked(spark, sf_dir)
-    known = consolidation.consolidate(c.select("doc_name", "pointer"), V.refs(spark, sf_dir))
-    _, found = obligations.retrieve_obligations(q, c, lex, vec, known)
-    return found.select("query_id", "kind", "doc_name", "title")
+    _, gaps = found(spark, sf_dir, asked(spark, sf_dir))
+    return gaps.select("query_id", "kind", "doc_name", "title")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statuta.common import small, stash
 from statuta.functions import text
 from statuta.operators import retrieval
 from statuta.plans import views as V
@@ -21,19 +22,19 @@ def tokens_sql(name: str, rel: str, key: str, column: str) -> str:
 # q: query_id, category, query_text, entity_type, province.
 BM25_SQL = f"""
     {tokens_sql("ct", "chunks", "chunk_id", "text")}, {tokens_sql("qt", "q", "query_id", "query_text")},
-    cand AS MATERIALIZED (SELECT q.query_id, c.chunk_id FROM q JOIN chunks c ON {SEES}),
+    seen_pairs AS MATERIALIZED (SELECT q.query_id, c.chunk_id FROM q JOIN chunks c ON {SEES}),
     key AS (SELECT query_id, row_number() OVER (PARTITION BY category, entity_type, province ORDER BY query_id) = 1 AS first, min(query_id) OVER (PARTITION BY category, entity_type, province) AS k FROM q),
-    kc AS MATERIALIZED (SELECT k, chunk_id FROM cand JOIN key USING (query_id) WHERE first),
+    kc AS MATERIALIZED (SELECT k, chunk_id FROM seen_pairs JOIN key USING (query_id) WHERE first),
     seen AS MATERIALIZED (SELECT k, count(*) AS n, sum(len(tokens)) / count(*) AS avgdl FROM kc JOIN ct USING (chunk_id) GROUP BY k),
-    tf AS MATERIALIZED (SELECT chunk_id, token, len(any_value(tokens)) AS dl, count(*) AS tf FROM (SELECT chunk_id, tokens, unnest(tokens) AS token FROM ct) GROUP BY 1, 2),
+    tf AS MATERIALIZED (SELECT chunk_id, token, dl, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS token FROM ct) GROUP BY 1, 2, 3),
     df AS MATERIALIZED (SELECT k, token, count(*) AS df FROM kc JOIN tf USING (chunk_id) GROUP BY 1, 2),
     raw AS MATERIALIZED (SELECT k, token, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN seen USING (k)),
     fl AS (SELECT k, 0.25 * avg(raw) AS floor FROM raw GROUP BY k),
     idf AS MATERIALIZED (SELECT k, token, CASE WHEN raw < 0 THEN floor ELSE raw END AS idf FROM raw JOIN fl USING (k)),
     qw AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(tokens) AS token FROM qt) GROUP BY 1, 2),
-    sc AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
-        FROM qw JOIN key USING (query_id) JOIN idf USING (k, token) JOIN seen USING (k) JOIN tf USING (token) JOIN cand USING (query_id, chunk_id) GROUP BY 1, 2),
-    bm AS MATERIALIZED (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, chunk_id) AS rank FROM cand LEFT JOIN sc USING (query_id, chunk_id))"""
+    sc AS MATERIALIZED (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
+        FROM qw JOIN key USING (query_id) JOIN idf USING (k, token) JOIN seen USING (k) JOIN tf USING (token) JOIN seen_pairs USING (query_id, chunk_id) GROUP BY 1, 2),
+    bm AS MATERIALIZED (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, chunk_id) AS rank FROM seen_pairs LEFT JOIN sc USING (query_id, chunk_id))"""
 
 
 def vector_sql(rel: str, key: str, column: str, name: str) -> str:
@@ -43,7 +44,7 @@ def vector_sql(rel: str, key: str, column: str, name: str) -> str:
 
 VECTOR_SQL = f"""
     {vector_sql("chunks", "chunk_id", "text", "cv")}, {vector_sql("q", "query_id", "query_text", "qv")},
-    dot AS MATERIALIZED (SELECT query_id, chunk_id, sum(cv.w * qv.w) AS s FROM cv JOIN qv USING (bucket) GROUP BY 1, 2),
+    dot AS MATERIALIZED (SELECT query_id, chunk_id, sum(a.w * b.w) AS s FROM (SELECT cv.*, category FROM cv JOIN chunks USING (chunk_id)) a JOIN (SELECT qv.*, category FROM qv JOIN q USING (query_id)) b USING (bucket, category) GROUP BY 1, 2),
     near AS MATERIALIZED (SELECT q.query_id, c.chunk_id, {SEES.replace("c.category = q.category AND ", "")} AS sees, round(coalesce(s, 0), 9) AS similarity,
         row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(s, 0), 9) DESC, c.chunk_id) AS rank FROM q JOIN chunks c USING (category) LEFT JOIN dot ON dot.query_id = q.query_id AND dot.chunk_id = c.chunk_id)"""
 
@@ -82,12 +83,13 @@ POOL_BM25_SQL = f"""
     {tokens_sql("ct", "chunks", "chunk_id", "text")}, {tokens_sql("qt", "q", "query_id", "query_text")},
     v AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 100 AND sees),
     seen AS MATERIALIZED (SELECT query_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM v JOIN ct USING (chunk_id) GROUP BY 1),
-    tf AS MATERIALIZED (SELECT query_id, chunk_id, token, len(any_value(tokens)) AS dl, count(*) AS tf FROM (SELECT query_id, chunk_id, tokens, unnest(tokens) AS token FROM v JOIN ct USING (chunk_id)) GROUP BY 1, 2, 3),
-    raw AS MATERIALIZED (SELECT query_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN seen USING (query_id) GROUP BY 1, 2),
+    once AS (SELECT DISTINCT chunk_id FROM v), ctf AS MATERIALIZED (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS token FROM once JOIN ct USING (chunk_id)) GROUP BY 1, 2),
+    size AS MATERIALIZED (SELECT chunk_id, len(tokens) AS dl FROM once JOIN ct USING (chunk_id)),
+    raw AS MATERIALIZED (SELECT query_id, token, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM v JOIN ctf USING (chunk_id) JOIN seen USING (query_id) GROUP BY 1, 2),
     fl AS (SELECT query_id, 0.25 * avg(raw) AS floor FROM raw GROUP BY 1),
     qw AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(tokens) AS token FROM qt) GROUP BY 1, 2),
-    sc AS (SELECT query_id, chunk_id, sum(times * CASE WHEN raw < 0 THEN floor ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
-        FROM qw JOIN raw USING (query_id, token) JOIN fl USING (query_id) JOIN seen USING (query_id) JOIN tf USING (query_id, token) GROUP BY 1, 2),
+    sc AS MATERIALIZED (SELECT query_id, chunk_id, sum(times * CASE WHEN raw < 0 THEN floor ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
+        FROM qw JOIN raw USING (query_id, token) JOIN fl USING (query_id) JOIN seen USING (query_id) JOIN v USING (query_id) JOIN ctf USING (chunk_id, token) JOIN size USING (chunk_id) GROUP BY 1, 2),
     bm AS MATERIALIZED (SELECT query_id, chunk_id, round(coalesce(s, 0), 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, v.rank) AS rank FROM v LEFT JOIN sc USING (query_id, chunk_id))"""
 
 
@@ -119,39 +121,46 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x9_dense_similarity",
-    """WITH e AS (SELECT vec_id, embedding, label FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
-            / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS similarity
-        FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 50 = 0)
-    SELECT query_id, count(*) AS n, max(similarity) AS nearest, round(avg(similarity), 4) AS mean FROM s WHERE query_id <> chunk_id GROUP BY 1""",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+    s AS (SELECT a.vec_id AS query_id, 'v' || lpad(CAST(b.vec_id AS VARCHAR), 12, '0') AS neighbour, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+    SELECT query_id, neighbour, round(least(1, greatest(0, s)), 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbour) AS rank FROM s) WHERE rank <= 10""",
 )
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored vectors of every fiftieth row against all of its label."""
-    e = V.table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), "label"))
-    s = e.join(q, "label").where("query_id <> vec_id").select("query_id", F.round(text.cosine(F.col("v"), F.col("embedding")), 6).alias("s"))
-    return s.groupBy("query_id").agg(F.count("*").alias("n"), F.max("s").alias("nearest"), F.round(F.avg("s"), 4).alias("mean"))
+    """Of stored vectors, the ten nearest rows of every fiftieth, among all rows."""
+    norm = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+    own = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    own = stash(own.select("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("chunk_id"), F.lit(None).cast("string").alias("category"), norm(F.col("e")).alias("vector")), "unit-vectors")
+    asked = own.where(F.col("vec_id") % 50 == 0).withColumn("query_id", F.col("vec_id"))
+    near = retrieval.nearest_vectors(asked, own, 11).join(small(asked.select("query_id", F.col("chunk_id").alias("self"))), "query_id").where("chunk_id <> self")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    near = near.select("query_id", F.col("chunk_id").alias("neighbour"), F.round(text.clip01(F.col("similarity")), 6).alias("similarity"), F.row_number().over(order).alias("rank"))
+    return near.where("rank <= 10")
 
 
 @query(
     "o4_rerank",
-    """WITH d AS (SELECT item_id AS query_id, unnest(range(1, 8)) AS rank FROM benchmark), t AS (SELECT query_id, 'c' || rank AS chunk_id, rank, CASE rank WHEN 6 THEN 0 WHEN 2 THEN 2 WHEN 7 THEN 4 END AS place FROM d),
-    o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place NULLS LAST, rank) AS r FROM t) SELECT query_id, chunk_id, CAST(r AS INT) AS rank FROM o WHERE r <= 5""",
+    f"""WITH {V.CHUNKS_SQL}, {V.QUESTIONS_SQL}, {Q_SQL}, {BM25_SQL}, {VECTOR_SQL},
+    v AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 5 AND sees), {FUSED_SQL},
+    hits AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, br NULLS LAST, vr NULLS LAST) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM fused),
+    o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 2 = 0 THEN n - rank END NULLS LAST, rank) AS r FROM hits)
+    SELECT query_id, chunk_id, CAST(r AS INT) AS rank FROM o WHERE r <= 5""",
 )
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentioned chunks first, unknown and repeated ids passed over, the rest behind."""
-    q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    hits = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("rank")).withColumn("chunk_id", F.concat(F.lit("c"), "rank"))
-    ranked = q.withColumn("ranked_chunk_ids", F.array(*map(F.lit, ["c6", "unknown", "c2", "c6", "c7"])))
-    return retrieval.rerank(hits, ranked).select("query_id", "chunk_id", "rank")
+    """The hits of every question, re-ranked by an order that names every other one from behind, one twice and an unknown one; the rest stay behind."""
+    hits = stash(retrieval.retrieve_full(V.questions(spark, sf_dir), V.chunks(spark, sf_dir)), "hits")
+    listed = hits.where(F.col("rank") % 2 == 0).groupBy("query_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))).alias("r"))
+    ids = F.transform("r", lambda x: x["chunk_id"])
+    ranked = listed.select("query_id", F.concat(F.array(F.lit("unknown")), ids, F.slice(ids, 1, 1)).alias("ranked_chunk_ids"))
+    return retrieval.rerank(hits.select("query_id", "chunk_id", "rank"), ranked).select("query_id", "chunk_id", "rank")
 
 
 @query(
     "x11_scalar_functions",
     """SELECT doc_id, CASE WHEN doc_id % 3 > 1 THEN 'Law ' || (doc_id % 10) || ', Điều ' || (doc_id % 40) || ' (part ' || (doc_id % 3) || '/' || (doc_id % 3) || ')' ELSE 'Law ' || (doc_id % 10) || ', Điều ' || (doc_id % 40) END AS citation,
         md5(regexp_replace(substring(text, 6, 600), '^\\s+|\\s+$', '', 'g')) AS excerpt,
-        len(list_filter(string_split_regex(substring(text, 1, 200), '[\\s,.;:!?()\\[\\]"'']+'), lambda t: length(t) >= 3)) AS keywords,
+        len(list_filter(string_split_regex(text, '[\\s,.;:!?()\\[\\]"'']+'), lambda t: length(t) >= 3)) AS keywords,
         round((CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'zzz') THEN 1 ELSE 0 END) / 2.0, 6) AS overlap,
-        len(string_split(lower(text), 'the')) - 1 AS times, 'query: ' || left(text, 5) AS prompt, nfc_normalize(left(text, 50)) AS form_c FROM documents WHERE text IS NOT NULL""",
+        len(string_split(lower(text), 'the')) - 1 AS times, md5('query: ' || text) AS prompt, md5(nfc_normalize(text)) AS form_c FROM documents WHERE text IS NOT NULL""",
 )
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar text functions."""
@@ -159,6 +168,6 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents").where("text is not null")
     return d.select(
         "doc_id", text.citation(F.concat(F.lit("Law "), i % 10), (i % 40).cast("string"), (i % 3 - 1).cast("int"), (i % 3).cast("int")).alias("citation"), F.md5(text.excerpt(t, F.lit(5), F.lit(5000))).alias("excerpt"),
-        F.size(text.default_keywords(F.substring(t, 1, 200))).cast("long").alias("keywords"), F.round(text.lexical_overlap(F.lit("THE zzz"), t), 6).alias("overlap"),
-        text.keyword_vector(t, ["the"])[0].cast("long").alias("times"), text.task_prompt("multilingual-e5-small", F.left(t, F.lit(5)), "query").alias("prompt"), text.nfc(F.left(t, F.lit(50))).alias("form_c"),
+        F.size(text.default_keywords(t)).cast("long").alias("keywords"), F.round(text.lexical_overlap(F.lit("THE zzz"), t), 6).alias("overlap"),
+        text.keyword_vector(t, ["the"])[0].cast("long").alias("times"), F.md5(text.task_prompt("multilingual-e5-small", t, "query")).alias("prompt"), F.md5(text.nfc(t)).alias("form_c"),
     )

@@ -11,6 +11,8 @@ from statuta import refdata as R
 from statuta.functions import deadlines
 from statuta.operators import checklist, profiles
 from statuta.plans import views as V
+from statuta.plans.retrieval_queries import BM25_SQL, FUSED_SQL, VECTOR_SQL
+from statuta.plans.views import LINES_SQL
 from statuta.registry import query
 from statuta.sources import corpus as S
 
@@ -40,12 +42,17 @@ def sorted_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIGGERS = ", ".join(f"('{c}', {'NULL' if t is None else V._list(t)}, '{R.QUERY_TEMPLATES[c]}')" for c, t in R.TRIGGERS.items())
 
 
+QUERIES_SQL = f"""
+    t AS (SELECT user_id, list(DISTINCT tag) AS tags FROM traits GROUP BY 1), g(category, triggers, template) AS (VALUES {_TRIGGERS}),
+    m AS (SELECT user_id, category, template, tags, list_sort(list_filter(tags, lambda x: list_contains(coalesce(triggers, []), x))) AS matched, list_sort(list_filter(tags, lambda x: starts_with(x, 'business_sector_'))) AS sectors
+        FROM t, g WHERE triggers IS NULL OR list_has_any(tags, triggers))"""
+ASKED_TEXT = "template || CASE WHEN len(matched) + len(sectors) > 0 THEN ' đối với ' || array_to_string(list_concat(matched, sectors), ', ') ELSE '' END"
+
+
 @query(
     "d8_category_queries",
-    f"""WITH {V.PROFILES_SQL}, {TRAITS_SQL}, t AS (SELECT user_id, list(DISTINCT tag) AS tags FROM traits GROUP BY 1), g(category, triggers, template) AS (VALUES {_TRIGGERS}),
-    m AS (SELECT user_id, category, template, tags, list_sort(list_filter(tags, lambda x: list_contains(coalesce(triggers, []), x))) AS matched, list_sort(list_filter(tags, lambda x: starts_with(x, 'business_sector_'))) AS sectors
-        FROM t, g WHERE triggers IS NULL OR list_has_any(tags, triggers))
-    SELECT user_id || '|' || category AS query_id, user_id, category, template || CASE WHEN len(matched) + len(sectors) > 0 THEN ' đối với ' || array_to_string(list_concat(matched, sectors), ', ') ELSE '' END AS query_text,
+    f"""WITH {V.PROFILES_SQL}, {TRAITS_SQL}, {QUERIES_SQL}
+    SELECT user_id || '|' || category AS query_id, user_id, category, {ASKED_TEXT} AS query_text,
         array_to_string(matched, ',') AS matched_traits, CASE WHEN list_contains(tags, 'small_business_owner') THEN 'business' ELSE 'individual' END AS entity_type FROM m""",
 )
 def category_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +134,7 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, coalesce(m, 'No pending checklist items due within 10 days.') AS message FROM (SELECT DISTINCT c_custkey AS user_id FROM customer) LEFT JOIN t USING (user_id)""",
 )
 def status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's pending items as text."""
+    """Each user's pending items as text."""
     users = V.profiles(spark, sf_dir).select("user_id")
     return checklist.status_text(users, items(spark, sf_dir), F.lit(TODAY).cast("date"), 10)
 
@@ -146,7 +153,7 @@ def mark_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "h5_replace_checklist",
-    f"""WITH {ITEMS_SQL} SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS renewed, CAST(sum(CASE WHEN user_id % 3 <> 0 AND title = 'pay 2' THEN 1 ELSE 0 END) AS BIGINT) AS done FROM items GROUP BY 1""",
+    f"""WITH {ITEMS_SQL} SELECT user_id, id, title, user_id % 3 = 0 AS renewed, CASE WHEN user_id % 3 <> 0 AND title = 'pay 2' THEN 'done' ELSE 'pending' END AS status FROM items""",
 )
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of some users made anew, those of others updated; updates of unknown status are refused."""
@@ -155,7 +162,7 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, _ = checklist.update_status(new.withColumn("description", F.lit("old")), updates)
     some = new.where(F.col("user_id") % 3 == 0)
     out = checklist.replace_items(stored, some.select("user_id"), some)
-    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("description") != "old").alias("renewed"), F.count_if(F.col("status") == "done").alias("done"))
+    return out.select("user_id", "id", "title", (F.col("description") != "old").alias("renewed"), "status")
 
 
 # Each field's value at an event is the last that was sent up to it.
@@ -178,7 +185,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h2_profile_history", f"WITH {V.PROFILES_SQL}, {HISTORY_SQL} SELECT user_id, CAST(version AS INT) AS version, changed_fields, age, dependents, occupation_type FROM history")
 def profile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every version of every profile."""
+    """Every version of every profile."""
     return history(spark, sf_dir).withColumn("changed_fields", F.array_join("changed_fields", ",")).drop("ts")
 
 
@@ -201,8 +208,10 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s4_detail_documents",
-    """WITH d AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Hết hiệu lực toàn bộ' WHEN page_id % 4 = 1 THEN 'Còn hiệu lực' WHEN page_id % 4 = 2 THEN '' ELSE 'other' END AS st, page_id % 5 = 0 AS empty FROM pages)
-    SELECT coalesce(reason, 'document') AS outcome, count(*) AS n FROM (SELECT CASE WHEN st <> '' AND st <> 'Còn hiệu lực' THEN 'status' WHEN empty THEN 'no content' END AS reason FROM d) GROUP BY 1""",
+    f"""WITH regions AS (SELECT page_id, html AS part, CASE WHEN page_id % 4 = 0 THEN 'Hết hiệu lực toàn bộ' WHEN page_id % 4 = 1 THEN 'Còn hiệu lực' WHEN page_id % 4 = 2 THEN '' ELSE 'other' END AS st, page_id % 5 = 0 AS empty FROM pages),
+    {LINES_SQL}, d AS (SELECT *, CASE WHEN st <> '' AND st <> 'Còn hiệu lực' THEN 'status' WHEN empty OR part IS NULL OR part = '' THEN 'no content' WHEN len(l) = 0 THEN 'no text' END AS reason FROM c)
+    SELECT coalesce(reason, 'document') AS outcome, CASE WHEN reason IS NULL THEN 'vbpl-' ELSE '' END || page_id AS doc_id, 'Luật thuế ' || page_id AS title, CASE WHEN reason IS NULL THEN 'Luật thuế ' || page_id || ' (' || page_id || '/ND)' END AS law_name,
+        CASE WHEN reason IS NULL THEN 'tax' END AS category, CASE WHEN reason IS NULL THEN '2024-01-01' END AS effective_from, CASE WHEN reason IS NULL THEN md5(array_to_string(l, chr(10))) END AS text FROM d""",
 )
 def detail_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail records of several spellings; those out of force or without content are told apart."""
@@ -217,18 +226,22 @@ def detail_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.when(n % 3 == 1, body).alias("content")).alias("documentContent"), body.alias("content"),
     )
     docs, rest = S.documents_of_details(S.detail_fields(rows))
-    return docs.select(F.lit("document").alias("outcome")).unionByName(rest.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    good = docs.select(F.lit("document").alias("outcome"), "doc_id", "title", "law_name", "category", "effective_from", F.md5("raw_text").alias("text"))
+    return good.unionByName(rest.select(F.col("reason").alias("outcome"), F.col("id").alias("doc_id"), "title"), allowMissingColumns=True)
 
 
-# Of each user's queries only the choice of chunks needs retrieval; the SQL checks that every user of a category that has chunks gets items of it.
 @query(
     "z5_generate_checklist",
-    f"""WITH {V.PROFILES_SQL}, {TRAITS_SQL}, {V.CHUNKS_SQL}, u AS (SELECT DISTINCT user_id FROM traits)
-    SELECT category, count(DISTINCT user_id) AS users, TRUE AS dated FROM u, (SELECT DISTINCT category FROM chunks) GROUP BY 1""",
+    f"""WITH {V.PROFILES_SQL}, {TRAITS_SQL}, {V.CHUNKS_SQL}, {QUERIES_SQL}, asks AS (SELECT m.*, {ASKED_TEXT} AS query_text, CASE WHEN list_contains(tags, 'small_business_owner') THEN 'business' ELSE 'individual' END AS entity_type, p.province FROM m JOIN profiles p USING (user_id)),
+    q AS (SELECT DISTINCT category || '|' || query_text || '|' || entity_type || '|' || coalesce(province, '') AS query_id, category, query_text, entity_type, province FROM asks WHERE category IN (SELECT category FROM chunks)), {BM25_SQL}, {VECTOR_SQL},
+    v AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM near WHERE rank <= 5 AND sees), {FUSED_SQL},
+    h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, br NULLS LAST, vr NULLS LAST) AS rank FROM fused)
+    SELECT user_id, a.category, chunk_id AS source_chunk_id, 'Law ' || (CAST(chunk_id[2:] AS BIGINT) % 100) AS law, '2024-07-20' AS due_date FROM asks a
+        JOIN h ON h.query_id = a.category || '|' || a.query_text || '|' || a.entity_type || '|' || coalesce(a.province, '') JOIN chunks c USING (chunk_id) WHERE rank <= 3 AND regexp_matches(c.text, 'ar')""",
 )
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checklists of all users from their profiles, by the extractor that needs no model."""
+    """Checklists of all users from their profiles, by the extractor that needs no model: a sentence with the letters `ar` is a duty."""
     p = V.profiles(spark, sf_dir)
     users = profiles.sorted_traits(profiles.trait_rows(p)).join(p.select("user_id", "province"), "user_id")
-    new = checklist.generate_for_users(profiles.category_queries(users), V.chunks(spark, sf_dir), F.lit(TODAY).cast("date"), extractor=partial(checklist.rule_extractor, duty=r"\w"))
-    return new.groupBy("category").agg(F.count_distinct("user_id").alias("users"), F.bool_and(F.col("due_date") == F.lit("2024-07-20").cast("date")).alias("dated"))
+    new = checklist.generate_for_users(profiles.category_queries(users), V.chunks(spark, sf_dir), F.lit(TODAY).cast("date"), extractor=partial(checklist.rule_extractor, duty="ar"))
+    return new.select("user_id", "category", "source_chunk_id", F.regexp_extract("source_citation", r"^(.*?),", 1).alias("law"), F.col("due_date").cast("string").alias("due_date"))

@@ -156,3 +156,10 @@ RULES_SQL = """
     rules AS (SELECT o_orderkey AS rule_id, ['fixed', 'recurring', 'event_triggered', 'other'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 10 <> 3 THEN 1 + o_orderkey % 12 END AS m,
         CASE WHEN o_orderkey % 11 <> 5 THEN 1 + o_orderkey % 31 END AS d, CASE WHEN o_orderkey % 13 <> 4 THEN o_orderkey % 7 END AS p, CASE WHEN o_orderkey % 6 <> 1 THEN o_orderkey % 90 END AS n,
         CASE WHEN o_orderkey % 9 <> 2 THEN CAST(o_orderdate AS DATE) END AS e FROM orders)"""
+
+
+# Pages as lines, from rows of `regions` with the HTML in `part`: in `l` of `c`.
+LINES_SQL = """
+    a AS (SELECT *, regexp_replace(regexp_replace(coalesce(part, ''), '<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '<[A-Za-z/][^>]*>', chr(10), 'gs') AS x FROM regions),
+    b AS (SELECT * EXCLUDE (x), replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM a),
+    c AS (SELECT * EXCLUDE (x), list_filter(list_transform(string_split(x, chr(10)), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), lambda t: t <> '') AS l FROM b)"""

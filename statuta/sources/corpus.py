@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta import refdata as R
+from statuta.common import small
 from statuta.functions import classify, segment
 from statuta.functions.text import py_strip
 
@@ -65,7 +66,7 @@ def documents_of_details(fields: DataFrame, overrides: DataFrame | None = None,
         .when(F.col("raw_text") == "", "no text")
     )
     rows = rows.withColumn("reason", reason)
-    rows = rows.withColumn("override", F.lit(None).cast("string")) if overrides is None else rows.join(F.broadcast(overrides.select(F.col("doc_id").alias("id"), F.col("category").alias("override"))), "id", "left")
+    rows = rows.withColumn("override", F.lit(None).cast("string")) if overrides is None else rows.join(small(overrides.select(F.col("doc_id").alias("id"), F.col("category").alias("override"))), "id", "left")
     law = F.when(F.col("doc_num") != "", F.concat("title", F.lit(" ("), "doc_num", F.lit(")"))).otherwise(F.col("title"))
     docs = rows.where("reason is null").select(
         F.concat(F.lit("vbpl-"), "id").alias("doc_id"), "title", "raw_text", law.alias("law_name"),
@@ -104,9 +105,10 @@ def law_name(legal_type: Column, numbers: Column, title: Column) -> Column:
 def documents_of_corpus(corpus: DataFrame, overrides: DataFrame | None = None, max_documents: int | None = None, excluded: list[str] = R.EXCLUDED_DOC_TYPES) -> DataFrame:
     """Documents of corpus rows; max_documents counts those that pass, in the order of their names."""
     rows = usable(corpus, excluded)
-    rows = rows.withColumn("override", F.lit(None).cast("string")) if overrides is None else rows.join(F.broadcast(overrides.select("doc_name", F.col("category").alias("override"))), "doc_name", "left")
+    rows = rows.withColumn("override", F.lit(None).cast("string")) if overrides is None else rows.join(small(overrides.select("doc_name", F.col("category").alias("override"))), "doc_name", "left")
     if max_documents is not None:
-        rows = rows.orderBy("doc_name").limit(max_documents)
+        first = rows.select("doc_name").orderBy("doc_name").limit(max_documents)  # of the names alone, the bodies stay where they are
+        rows = rows.join(small(first), "doc_name", "left_semi")
     return rows.select(
         F.concat(F.lit("vbpl-hf-"), "doc_name").alias("doc_id"), "title", segment.normalize_markdown(F.col("markdown")).alias("raw_text"),
         law_name(F.col("legal_type"), F.col("doc_number"), F.col("title")).alias("law_name"), classify.category(F.col("title"), F.col("legal_area"), F.col("override")).alias("category"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from statuta.operators import profiles
@@ -10,40 +11,63 @@ from statuta.sources import corpus
 from statuta.sources.store import ChunkStore
 
 
-def ingest(docs: DataFrame, store: ChunkStore) -> dict[str, int]:
-    """Documents to the chunk table: articles, written, skipped, total."""
-    good, _ = corpus.validated(docs)
-    chunks = corpus.chunks_of(good)
-    return store.upsert(chunks)
+def ingest(docs: DataFrame, store: ChunkStore) -> tuple[dict[str, int], DataFrame]:
+    """Documents to the chunk table: the counts of chunks written, skipped and in all, and the documents that the taxonomy refuses."""
+    good, refused = corpus.validated(docs)
+    return store.upsert(corpus.chunks_of(good)), refused
+
+
+def apply_rows(rows: DataFrame, store: ChunkStore, overrides: DataFrame | None = None) -> DataFrame:
+    """Corpus rows to the chunk table; gives those that made no document, with the reason: `body` (or no name, title or wanted type) or `taxonomy`."""
+    _, refused = ingest(corpus.documents_of_corpus(rows, overrides), store)
+    refused = refused.select(F.regexp_replace("doc_id", "^vbpl-hf-", "").alias("doc_name"), F.lit("taxonomy").alias("reason"))
+    unusable = rows.join(corpus.usable(rows).select("doc_name"), "doc_name", "left_anti").select(*rows.columns, F.lit("body").alias("reason"))
+    return unusable.unionByName(rows.join(refused, "doc_name"))
 
 
 def ingest_stream(spark: SparkSession, path: str, checkpoint: str, store: ChunkStore, quarantine: str | None = None) -> StreamingQuery:
     """Corpus files not yet read, in one run that resumes where the last ended. A batch that comes again writes nothing, as its chunks are unchanged.
 
-    Rows that give no document go to the quarantine table, so a skip isn't taken for a failure.
+    Rows that give no document go to the quarantine table with the reason, so a skip isn't taken for a failure; retry() takes them up again.
     """
     rows = spark.readStream.schema(corpus.CORPUS).parquet(path)
 
     def apply(batch: DataFrame, number: int) -> None:
-        docs = corpus.documents_of_corpus(batch)
-        ingest(docs, store)
+        failed = apply_rows(batch, store)
         if quarantine:
-            kept = corpus.usable(batch).select("doc_name")
-            batch.join(kept, "doc_name", "left_anti").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+            failed.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retry(spark: SparkSession, quarantine: str, store: ChunkStore, mended: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Ingest again what was put aside, in the form of `mended` (corpus rows) where that has the document; gives what fails still."""
+    held = spark.read.parquet(quarantine).drop("batch", "reason").dropDuplicates(["doc_name"])
+    new = mended.join(held.select("doc_name"), "doc_name", "left_semi")
+    return apply_rows(new.unionByName(held.join(new.select("doc_name"), "doc_name", "left_anti")), store, overrides)
+
+
 def profile_stream(changes: DataFrame, base: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """A feed of profile changes to versions of the history, one folder a batch; base holds the profiles at version 1.
+    """A feed of profile changes to versions of the history; base holds the profiles at version 1.
 
-    Earlier batches are part of the fold, so a version's number doesn't depend on how the feed was cut.
+    Each batch adds its new versions (`history/batch=N`) and writes the state after it, a row a user (`state/N`), from
+    which the next goes on; earlier batches are not read again. A batch that comes again is written again alike. The
+    changes of a user are taken in the order of their times within a batch, and one that comes late counts when it comes.
     """
     spark = base.sparkSession
+    fields = [f for f in profiles.FIELDS if f in base.columns]
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
-        every = spark.read.schema(batch.schema).option("basePath", f"{out}/changes").parquet(*(f"{out}/changes/batch={k}" for k in range(number + 1)))
-        profiles.apply_changes(base, every).write.mode("overwrite").parquet(f"{out}/history/batch={number}")
+        if number:
+            state = spark.read.parquet(f"{out}/state/{number - 1}")
+        else:
+            state = base.select("user_id", F.lit(1).alias("version"), *fields)
+        fold = profiles.apply_changes(state.select("user_id", *fields), batch, fields)
+        told = fold.join(state.select("user_id", F.col("version").alias("at")), "user_id")
+        first = F.col("version") > 1 if number else F.lit(True)  # the state itself is a version of its own only at the start
+        new = told.where(first).withColumn("version", F.col("version") + F.col("at") - 1).drop("at")
+        new.write.mode("overwrite").parquet(f"{out}/history/batch={number}")
+        last = profiles.current(spark.read.parquet(f"{out}/history/batch={number}")).select("user_id", "version", *fields)
+        state.join(last, "user_id", "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{out}/state/{number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

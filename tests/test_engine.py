@@ -162,9 +162,9 @@ def test_ingest_is_idempotent(spark):
     seen = []
     store = ChunkStore(spark, tempfile.mkdtemp(dir="/tmp", prefix="spark-"), embed=lambda rows: seen.append(rows.count()) or models.hashing(rows), sync_deletes=True)
     first = docs(spark, ("d", "Điều 1. a\nx\nĐiều 2. b\ny"))
-    assert ingest.ingest(first, store) == {"written": 2, "skipped": 0, "total": 2} and store.count() == 2
-    assert ingest.ingest(first, store) == {"written": 0, "skipped": 2, "total": 2}
-    assert ingest.ingest(docs(spark, ("d", "Điều 1. a\nx\nĐiều 2. b\nz"), ("e", "Điều 1. q\nr")), store) == {"written": 2, "skipped": 1, "total": 3}
+    assert ingest.ingest(first, store)[0] == {"written": 2, "skipped": 0, "total": 2} and store.count() == 2
+    assert ingest.ingest(first, store)[0] == {"written": 0, "skipped": 2, "total": 2}
+    assert ingest.ingest(docs(spark, ("d", "Điều 1. a\nx\nĐiều 2. b\nz"), ("e", "Điều 1. q\nr")), store)[0] == {"written": 2, "skipped": 1, "total": 3}
     assert store.count() == 3 and seen == [2, 2] and len(store.chunks().first().embedding) == 256
     ingest.ingest(docs(spark, ("d", "Điều 1. a\nx")), store)
     assert {r.chunk_id for r in store.chunks().collect()} == {"d:dieu1", "e:dieu1"}
@@ -187,6 +187,9 @@ def test_streams_resume(spark):
     run()
     run()
     assert store.count() == 3
+    assert [r.reason for r in spark.read.parquet(root + "/bad").collect()] == ["body"]
+    still = ingest.retry(spark, root + "/bad", store, spark.createDataFrame([row("b", "Điều 1. now"), row("zz", "Điều 1. not asked for")], corpus.CORPUS))
+    assert still.count() == 0 and store.count() == 4
     base = spark.createDataFrame([("u", 1)], "user_id string, age int")
     schema = "user_id string, ts timestamp, changes map<string,string>"
     rest = [F.lit(None).cast("string").alias(f) for f in profiles.FIELDS if f != "age"]
@@ -194,7 +197,8 @@ def test_streams_resume(spark):
     for k, age in ((1, "2"), (2, "2"), (3, "5")):
         spark.createDataFrame([("u", dt.datetime(2024, 1, k), {"age": age})], schema).write.mode("append").parquet(root + "/feed")
         ingest.profile_stream(spark.readStream.schema(schema).parquet(root + "/feed"), base, root + "/out", root + "/ck2").awaitTermination()
-    last = spark.read.parquet(root + "/out/history/batch=2")
+    last = spark.read.parquet(root + "/out/history")
+    assert spark.read.parquet(root + "/out/history/batch=1").count() == 0 and spark.read.parquet(root + "/out/history/batch=2").count() == 1
     assert [(r.version, r.age) for r in last.orderBy("version").collect()] == [(1, 1), (2, 2), (3, 5)]
 
 

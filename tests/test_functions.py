@@ -50,15 +50,34 @@ def test_without_normalising_there_are_no_headings(spark):
     assert parse(spark, "Lời nói Điều 1. Một Điều 2. Ba", normalise=False) == []
 
 
-def test_the_fold_and_the_windows_agree(spark):
+def test_articles_against_a_plain_loop(spark):
     rng = random.Random(0)
     lines = ["Chương I A", "Điều 1. b", "  điều 2 c", "text", "", "1. x", "chương 3", "Điều 1. b"]
     rows = [(str(i), "t", "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    want = {}
+    for i, _, raw in rows:
+        chapter, found = (None, None), []
+        for line in raw.split("\n"):
+            if m := re.match(r"(?i)\s*chương\s+([ivx]+|\d+)\.?\s*(.*)$", line):
+                chapter = (m[1], m[2].strip())
+                found.append(None)
+            elif m := re.match(r"(?i)\s*điều\s+(\d+)\.?\s*(.*)$", line):
+                found.append([*chapter, m[1], m[2].strip(), []])
+            elif found and found[-1]:
+                found[-1][4].append(line)
+        for k, x in enumerate(x for x in found if x):
+            want[i, k] = (*x[:4], "\n".join(x[4]).strip())
     d = spark.createDataFrame(rows, "doc_id string, title string, raw_text string")
-    fold = d.select("doc_id", F.posexplode(segment.parse_articles(F.col("raw_text"))).alias("article_seq", "a"))
-    a = {(r.doc_id, r.article_seq): (r.a.chapter_number, r.a.chapter_title, r.a.article_number, r.a.article_title, "\n".join(r.a.lines).strip()) for r in fold.collect()}
-    b = {(r.doc_id, r.article_seq): (r.chapter_number, r.chapter_title, r.article_number, r.article_title, r.body) for r in segment.articles(d).collect()}
-    assert a == b and len(a) > 50
+    assert {(r.doc_id, r.article_seq): (r.chapter_number, r.chapter_title, r.article_number, r.article_title, r.body) for r in segment.articles(d).collect()} == want and len(want) > 50
+
+
+def test_scan_over_long_arrays(spark):
+    n = 10_000
+    total = text.scan(F.sequence(F.lit(1), F.lit(n)), "bigint", "bigint", F.lit(0).cast("bigint"), lambda at, x: (at + x, at + x))
+    assert one(spark, total) == [k * (k + 1) // 2 for k in range(1, n + 1)]
+    assert one(spark, text.scan(F.array().cast("array<int>"), "bigint", "bigint", F.lit(0), lambda at, x: (at + x, at))) == []
+    raw = " ".join(f"Điều {k}. a" for k in range(1, 3000))
+    assert one(spark, segment.break_articles(F.lit(raw))) == "\n".join(f"Điều {k}. a " for k in range(1, 3000)).rstrip()
 
 
 def test_chunks_keep_clauses_whole(spark):
