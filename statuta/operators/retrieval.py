@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from statuta import refdata as R
 from statuta.common import small, stash
@@ -126,14 +127,15 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N) -> Dat
     weighed = idf.join(small(words), ["view", "token"]).groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("times") * F.col("idf")).alias("w"))).alias("words"))
     told = asked.join(small(seen), "view").join(small(weighed), "query_id", "left").select("query_id", "category", "entity_type", "province", "avgdl", "words")
     told, out = stash(told, "weighed-queries"), None
+    kind = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("chunk_id", pa.string()), ("bm25", pa.float64())])
     for block in _blocks(told, told.count()):
         sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
-        part = own.mapInArrow(lambda batches, sent=sent: _bm25(batches, sent.value, top_n), f"query_id {_kind(queries)}, chunk_id string, bm25 double")
+        part = own.mapInArrow(lambda batches, sent=sent: _bm25(batches, sent.value, top_n, kind), f"query_id {_kind(queries)}, chunk_id string, bm25 double")
         out = part if out is None else out.unionByName(part)
     return _ranked(out, "bm25", top_n)
 
 
-def _bm25(batches: Iterator[pa.RecordBatch], queries: list[tuple], top_n: int) -> Iterator[pa.RecordBatch]:
+def _bm25(batches: Iterator[pa.RecordBatch], queries: list[tuple], top_n: int, kind: pa.Schema) -> Iterator[pa.RecordBatch]:
     by_view = defaultdict(list)
     for query_id, *view, words in queries:
         by_view[tuple(view)].append((query_id, words or []))
@@ -168,7 +170,7 @@ def _bm25(batches: Iterator[pa.RecordBatch], queries: list[tuple], top_n: int) -
                 best.add(scores, ids[mine])
     for *_, queries_, _, _, best in sets:
         if best.scores is not None and (rows := list(best.rows(queries_))):
-            yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "chunk_id", "bm25"), map(list, zip(*rows)))))
+            yield pa.RecordBatch.from_pydict(dict(zip(kind.names, map(list, zip(*rows)))), schema=kind)
 
 
 def vector_top(queries: DataFrame, chunks: DataFrame, top_n: int, embed=hashing_vectors) -> DataFrame:

@@ -5,7 +5,9 @@ import json
 import math
 import random
 import tempfile
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,74 @@ def test_retrieval_paths(spark, chunks):
     assert told[1].startswith("Source: L") and "\n\n---\n\n" in told[1] and told[2].startswith("No relevant")
 
 
+def plain_bm25(query, texts):
+    """Scores of the texts (id to text) for a query, by the formula."""
+    import math
+
+    docs = {i: (t or "").lower().split() for i, t in texts.items()}
+    n, avgdl = len(docs), sum(map(len, docs.values())) / max(1, len(docs))
+    df = Counter(w for d in docs.values() for w in set(d))
+    idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df.items()}
+    floor = 0.25 * sum(idf.values()) / max(1, len(idf))
+    out = {}
+    for i, d in docs.items():
+        tf = Counter(d)
+        out[i] = round(sum((floor if idf[w] < 0 else idf[w]) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(d) / avgdl)) for w in query.lower().split() if tf[w]), 9)
+    return out
+
+
+CHUNK = "chunk_id string, category string, entity_type string, province_scope string, text string"
+ASK = "query_id int, category string, query_text string, entity_type string, province string"
+
+
+def test_a_chunk_without_a_query_word_stands_before_negative_scores(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "tax", "both", None, "x") for i in range(3)] + [("d", "tax", None, "national", "")], CHUNK)
+    queries = spark.createDataFrame([(1, "tax", "x", "individual", None)], ASK)
+    assert [(r.chunk_id, r.bm25) for r in retrieval.bm25_top(queries, chunks, 1).collect()] == [("d", 0.0)]
+
+
+def test_bm25_against_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", 7)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 3)
+    rng = random.Random(17)
+    word = lambda: rng.choice("abcdefg")
+    rows = [(f"c{i:02d}", rng.choice(["tax", "labor_insurance"]), rng.choice(["both", "individual", "business", None]), rng.choice(["national", None, "P1", "P2"]), " ".join(word() for _ in range(rng.choice((0, 1, 2, 9))))) for i in range(60)]
+    asks = [(i, rng.choice(["tax", "labor_insurance"]), " ".join([word(), word(), "zz"][: rng.randint(0, 3)]), rng.choice(["individual", "business"]), rng.choice(["P1", "P2", None])) for i in range(24)]
+    chunks, queries = spark.createDataFrame(rows, CHUNK).repartition(3), spark.createDataFrame(asks, ASK)
+    got = {}
+    for r in retrieval.bm25_top(queries, chunks, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.bm25))
+    for i, category, text_, entity, province in asks:
+        seen = {c: t for c, cat, e, p, t in rows if cat == category and e in ("both", None, entity) and (p in ("national", None) or p == province)}
+        want = sorted(plain_bm25(text_, seen).items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert [(k, c, pytest.approx(s)) for k, (c, s) in enumerate(want, 1)] == sorted(got.get(i, []))
+    pool = queries.select("query_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.struct(F.concat(F.lit("c"), F.lpad(((k * 7 + F.col("query_id")) % 60).cast("string"), 2, "0")).alias("chunk_id"), (k + 1).cast("int").alias("rank")))).alias("p")).select("query_id", "p.*")
+    texts, pooled = {r[0]: r[4] for r in rows}, {}
+    for r in retrieval.bm25_in_pool(queries, pool, chunks, 4).collect():
+        pooled.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.bm25))
+    for i, _, text_, _, _ in asks:
+        own = [f"c{(k * 7 + i) % 60:02d}" for k in range(30)]
+        scores = plain_bm25(text_, {c: texts[c] for c in own})
+        want = sorted(own, key=lambda c: (-scores[c], own.index(c)))[:4]
+        assert [(k, c, pytest.approx(scores[c])) for k, c in enumerate(want, 1)] == sorted(pooled[i])
+
+
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", 11)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 4)
+    v = np.random.default_rng(5).normal(size=(90, 6))
+    v[40:50] = v[3]  # ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"v{i:02d}", None, v[i].tolist()) for i in range(90)], "chunk_id string, category string, vector array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, None, v[i].tolist()) for i in range(0, 90, 9)], "query_id int, category string, vector array<double>")
+    got = {}
+    for r in retrieval.nearest_vectors(asked, rows, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    for i in range(0, 90, 9):
+        near = np.round(v @ v[i], 9)
+        assert [c for _, c in sorted(got[i])] == [f"v{j:02d}" for j in sorted(range(90), key=lambda j: (-near[j], j))[:5]]
+
+
 def test_fusion_and_reranking(spark):
     lists = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "y")], "list_id int, rank int, chunk_id string")
     got = dict(retrieval.rrf(lists, "chunk_id").collect())
