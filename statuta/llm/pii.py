@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.functions.text import let
 from statuta.llm.common import internal, small, stash
 
 KINDS = ("email", "ip", "card", "phone")
@@ -57,11 +58,6 @@ class Disclosure:
     broadcast_rows: int = 50_000
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _running(values: Column, add) -> Column:
     """For each place of an array of ints, add() of all values up to it. Arrays are copied when they grow, so the work is
     done in runs of RUN places and the runs are strung together."""
@@ -73,7 +69,7 @@ def _running(values: Column, add) -> Column:
         return F.array_append(done, own)
 
     done = lambda v: F.aggregate(runs(v), F.array().cast("array<struct<at:int,out:array<int>>>"), step)
-    return _bound(values, lambda v: F.when(F.size(v) > 0, F.flatten(F.transform(done(v), lambda r: r["out"]))).otherwise(F.array().cast("array<int>")))
+    return let(values, lambda v: F.when(F.size(v) > 0, F.flatten(F.transform(done(v), lambda r: r["out"]))).otherwise(F.array().cast("array<int>")))
 
 
 def spans_of(text: Column, pattern: Column, kind: str) -> Column:
@@ -85,34 +81,38 @@ def spans_of(text: Column, pattern: Column, kind: str) -> Column:
         span = lambda f, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(f)).alias("start"), e.alias("end"), f.alias("found"))
         return F.zip_with(found, _running(steps, lambda a, x: a + x), span)
 
-    return F.when(F.regexp_like(text, pattern), _bound(F.regexp_extract_all(text, pattern, F.lit(0)), placed)).otherwise(F.array().cast(NO_SPANS))
+    return F.when(F.regexp_like(text, pattern), let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)).otherwise(F.array().cast(NO_SPANS))
 
 
 def _sorted(spans: Column) -> Column:
     return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
 
-def replaced(text: Column, spans: Column, label) -> Column:
-    """The text with label(span) in place of each span; overlapping ones become one, under the label of the first.
-    A place in a text is found by a walk from its start, so the text is first cut into parts of PART characters."""
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(PART)), lambda at: F.substring(text, at, F.lit(PART)))
+def _parts(text: Column) -> Column:
+    """A text in parts of PART characters: a place in a text is found by a walk from its start, one in a part by a short one."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(PART)), lambda at: F.substring(text, at, F.lit(PART)))
+
+
+def _between(parts: Column, first: Column, last: Column) -> Column:
+    a, b = F.floor(first / PART).cast("int"), F.floor(last / PART).cast("int")
+    head, tail = F.coalesce(F.get(parts, a), F.lit("")), F.coalesce(F.get(parts, b), F.lit(""))
+    within = F.substring(head, first % PART + 1, last - first)
+    across = F.concat(F.substring(head, first % PART + 1, F.lit(PART)), F.array_join(F.slice(parts, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), last % PART))
+    return F.when(a == b, within).otherwise(across)
 
-    def between(cut: Column, first: Column, last: Column) -> Column:
-        a, b = F.floor(first / PART).cast("int"), F.floor(last / PART).cast("int")
-        head, tail = F.coalesce(F.get(cut, a), F.lit("")), F.coalesce(F.get(cut, b), F.lit(""))
-        within = F.substring(head, first % PART + 1, last - first)
-        across = F.concat(F.substring(head, first % PART + 1, F.lit(PART)), F.array_join(F.slice(cut, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), last % PART))
-        return F.when(a == b, within).otherwise(across)
+
+def replaced(text: Column, spans: Column, label) -> Column:
+    """The text with label(span) in place of each span; overlapping ones become one, under the label of the first."""
 
     def built(x: Column) -> Column:
         cut, own, upto = x["cut"], x["spans"], x["upto"]
         before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
-        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(between(cut, before(i), s["start"]), label(s))).otherwise(F.lit(""))
-        return F.concat(F.array_join(F.transform(own, piece), ""), between(cut, before(F.size(own)), F.length(text)))
+        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(_between(cut, before(i), s["start"]), label(s))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(own, piece), ""), _between(cut, before(F.size(own)), F.length(text)))
 
     ends = lambda own: _running(F.transform(own, lambda s: s["end"]), F.greatest)
-    known = lambda own: F.struct(parts.alias("cut"), own.alias("spans"), ends(own).alias("upto"))
-    return _bound(_bound(_sorted(spans), known), built)
+    known = lambda own: F.struct(_parts(text).alias("cut"), own.alias("spans"), ends(own).alias("upto"))
+    return let(let(_sorted(spans), known), built)
 
 
 def _luhn(found: Column) -> Column:
@@ -150,28 +150,30 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), NO_TERM), lambda w: F.length(w) >= 3))
 
 
-def _near(text: Column, span: Column, near: int) -> Column:
-    """The words wholly within `near` characters of a span; a word that the edge cuts is left out."""
-    first = F.greatest(span["start"] - near, F.lit(0))
-    before = F.substring(text, first + 1, span["start"] - first)
-    before = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(near))
-    after = F.when(F.length(after) == near, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    return F.concat_ws(" ", before, after)
+def _contexts(text: Column, spans: Column, near: int) -> Column:
+    """entity, a hash of kind and value, and context of each span: the words wholly within `near` characters of it; a word that the edge cuts is left out."""
+
+    def context(x: Column, s: Column) -> Column:
+        first, last = F.greatest(s["start"] - near, F.lit(0)), F.least(s["end"] + near, x["n"])
+        before, after = _between(x["parts"], first, s["start"]), _between(x["parts"], s["end"], last)
+        before = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
+        after = F.when(last - s["end"] == near, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
+        return F.struct(F.xxhash64(s["kind"], F.lower(s["found"])).alias("entity"), F.concat_ws(" ", before, after).alias("context"))
+
+    return let(F.struct(_parts(text).alias("parts"), F.length(text).alias("n")), lambda x: F.transform(spans, lambda s: context(x, s)))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
     """term and disclosure, the greatest P(e|t) of an entity that the term discloses. spans: doc (a number of the row), text and base of
     the rows with entities. All counts are of rows: those with t near e, those with t, those with e."""
-    held = spans.select("doc", "text", F.explode("base").alias("span"))
-    entity = F.xxhash64("span.kind", F.lower("span.found"))
-    near = held.select("doc", entity.alias("entity"), _near(F.col("text"), F.col("span"), rule.near).alias("context"))
-    near = near.select("doc", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
+    near = spans.select("doc", _contexts(F.col("text"), F.col("base"), rule.near).alias("c"))
+    near = stash(near.select("doc", F.explode("c").alias("c")).select("doc", "c.*"), "contexts")
+    held, near = near, near.select("doc", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     often = stash(contexts.where(F.col("contexts") >= rule.support).select("entity", "term"), "often")
     joint = near.select("entity", "term", "doc").join(small(often, rule.broadcast_rows), ["entity", "term"]).distinct()
     joint = stash(joint.groupBy("entity", "term").agg(F.count("*").alias("joint")), "joint")
-    entities = held.select(entity.alias("entity"), "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = held.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     candidates = stash(joint.select("term").distinct(), "candidates")
     words = docs.select(F.explode(_terms(F.col(text_col))).alias("term"))
     total = words.groupBy("term").agg(F.count("*").alias("n_term")).join(small(candidates, rule.broadcast_rows), "term")
