@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,32 +74,54 @@ class Items:
         ids, at = self.shared(text)
         if not len(at):
             return None
-        hashes = sum_windows(ids, at, self.min)
-        low, high = np.searchsorted(self.seeds, hashes), np.searchsorted(self.seeds, hashes, "right")
-        n = high - low
-        doc = np.repeat(at, n)
-        pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, test = self.item[pick], self.at[pick]
         results = []
-        order = np.lexsort((doc, doc - test, item))
-        doc, test, item = doc[order], test[order], item[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (np.diff(item) != 0) | (np.diff(doc - test) != 0) | (np.diff(doc) != 1)
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(doc))) + self.min - 1
-        runs = defaultdict(list)
-        for k, d, t, size in zip(item[first].tolist(), doc[first].tolist(), test[first].tolist(), length.tolist()):
-            if np.array_equal(ids[d : d + size], self.tokens[k][t : t + size]):  # hashes may collide; words decide
-                runs[k].append((-size, t, d))
-        for k, matches in runs.items():
-            tiles, covered = tile(matches, len(self.tokens[k]), self.min)
-            results.append((-covered / len(self.tokens[k]), self.ids[k], tiles, covered))
+        for item, test, doc in self.shared_seeds(ids, at):
+            order = np.lexsort((doc, doc - test, item))
+            doc, test, item = doc[order], test[order], item[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (np.diff(item) != 0) | (np.diff(doc - test) != 0) | (np.diff(doc) != 1)
+            first = np.flatnonzero(new)
+            length = np.diff(np.append(first, len(doc))) + self.min - 1
+            runs = defaultdict(list)
+            for k, d, t, size in zip(item[first].tolist(), doc[first].tolist(), test[first].tolist(), length.tolist()):
+                if np.array_equal(ids[d : d + size], self.tokens[k][t : t + size]):  # hashes may collide; words decide
+                    runs[k].append((-size, t, d))
+            for k, matches in runs.items():
+                tiles, covered = tile(matches, len(self.tokens[k]), self.min)
+                results.append((-covered / len(self.tokens[k]), self.ids[k], tiles, covered))
         if not results:
             return None
         share, item_id, tiles, covered = min(results)
         return -share, item_id, tiles, covered
 
 
+    def shared_seeds(self, ids: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Item, place in it and place in the document of all shared seeds, some items at a time: of a passage that many items hold and
+        the document repeats, there are as many as the product. What is held are about `most` of them, or those of one item."""
+        hashes = sum_windows(ids, at, self.min)
+        order = np.argsort(hashes, kind="stable")
+        seeds, first, times = np.unique(hashes[order], return_index=True, return_counts=True)
+        at = at[order]
+        low, high = np.searchsorted(self.seeds, seeds), np.searchsorted(self.seeds, seeds, "right")
+        n = high - low
+        seed = np.repeat(np.arange(len(seeds)), n)
+        pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        by_item = np.argsort(self.item[pick], kind="stable")
+        seed, pick = seed[by_item], pick[by_item]
+        item, many = self.item[pick], times[seed]
+        ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))
+        upto = np.cumsum(many)
+        start = 0
+        while start < len(item):
+            done = upto[start - 1] if start else 0
+            fits = ends[(ends > start) & (upto[ends - 1] - done <= most)]
+            end = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, start, "right")])
+            k = many[start:end]
+            doc = at[np.repeat(first[seed[start:end]] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            yield np.repeat(item[start:end], k), np.repeat(self.at[pick[start:end]], k), doc
+            start = end
+
+
 def sum_windows(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
     for k in range(size):

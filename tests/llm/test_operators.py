@@ -552,6 +552,21 @@ def test_replacement_of_overlapping_spans(spark):
         assert [g[0] for g in got] == ["".join(want) + text[at:], ""]
 
 
+def test_seeds_of_a_passage_in_many_items_and_places():
+    rng = random.Random(71)
+    passage = [f"p{i}" for i in range(12)]
+    items = [(k, " ".join([f"q{k}_{i}" for i in range(3)] + passage + [rng.choice("xyz")])) for k in range(40)]
+    text = " ".join(w for _ in range(30) for w in [*passage, rng.choice("uvw")])
+    made = decontaminate.Items(items, 5)
+    ids, at = made.shared(text)
+    every = [tuple(map(int, x)) for part in made.shared_seeds(ids, at, 10**9) for x in zip(*part)]
+    parts = list(made.shared_seeds(ids, at, 500))
+    assert len(parts) > 10 and all(len(set(p[0])) == 1 or len(p[0]) <= 500 for p in parts)
+    assert sorted(tuple(map(int, x)) for p in parts for x in zip(*p)) == sorted(every) and len(every) == 40 * 30 * 8
+    share, item, tiles, covered = made.best(text)
+    assert (item, tiles, covered) == (0, 1, 12) and share == 12 / 16
+
+
 def test_quality(spark, docs, none):
     def brute(t):
         w = words(t)
