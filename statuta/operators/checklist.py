@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta import refdata as R
@@ -98,7 +98,7 @@ def status_text(users: DataFrame, stored: DataFrame, today: Column, days_ahead:
     """user_id and the pending items as lines, or a message."""
     line = F.concat(F.lit("- ["), "category", F.lit("] "), "title", F.lit(" — due "), F.coalesce(F.col("due_date").cast("string"), F.lit("None")), F.lit(" — "), "source_citation")
     lines = pending(stored, today, days_ahead).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("l"))
-    none = "No pending checklist items" + (f" due within {days_ahead} days." if days_ahead is not None else ".")
+    none = R.NO_PENDING if days_ahead is None else R.NO_PENDING_WITHIN.format(days_ahead)
     return users.select("user_id").join(lines, "user_id", "left").select("user_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit(none)).alias("message"))
 
 
@@ -124,15 +124,10 @@ def mark_done(stored: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFr
     )
     titles = F.array_join(F.transform("found", lambda x: x["title"]), "; ")
     message = (
-        F.when(F.col("n") == 0, F.concat(F.lit("No checklist item found matching '"), "title_contains", F.lit("'.")))
-        .when(F.col("n") > 1, F.concat(F.lit("Multiple items match '"), "title_contains", F.lit("': "), titles, F.lit(". Please be more specific.")))
-        .otherwise(F.concat(F.lit("Marked '"), titles, F.lit("' as done.")))
+        F.when(F.col("n") == 0, F.format_string(R.NONE_MATCHES, "title_contains"))
+        .when(F.col("n") > 1, F.format_string(R.MANY_MATCH, "title_contains", titles))
+        .otherwise(F.format_string(R.MARKED, titles))
     )
     done = told.where("n = 1").select("user_id", F.get("found", F.lit(0))["id"].alias("id")).distinct().withColumn("done", F.lit("done"))
     out = stored.join(done, ["user_id", "id"], "left").withColumn("status", F.coalesce("done", "status")).select(*stored.columns)
     return out, told.select("request_id", "n", message.alias("message"))
-
-
-def top_items(rows: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
-    """The first k rows of each group."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")

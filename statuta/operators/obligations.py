@@ -56,11 +56,11 @@ def gaps(queries: DataFrame, corpus: DataFrame, rows: DataFrame) -> DataFrame:
     """query_id, kind, doc_name, title, reason: low coverage, unresolved consolidation, and documents without a body that may matter."""
     low = rows.where(F.col("coverage_total") < R.TRUSTED_COVERAGE).select(
         "query_id", F.lit("low_coverage").alias("kind"), "doc_name", "title",
-        F.format_string("Combined coverage score %.2f is below the %.2f trust threshold.", "coverage_total", F.lit(R.TRUSTED_COVERAGE)).alias("reason"), "candidate",
+        F.format_string("Coverage is %.2f, and %.2f is trusted.", "coverage_total", F.lit(R.TRUSTED_COVERAGE)).alias("reason"), "candidate",
     )
     open_ = rows.where("unresolved").select(
         "query_id", F.lit("unresolved_consolidation").alias("kind"), "doc_name", "title",
-        F.concat(F.lit("The current version could not be established (chain so far: "), F.array_join("chain", " -> "), F.lit(").")).alias("reason"), "candidate",
+        F.concat(F.lit("What is in force is open after: "), F.array_join("chain", " -> ")).alias("reason"), "candidate",
     )
     empty = corpus.where(~F.coalesce(F.regexp_like("markdown", F.lit(r"(?U)\S")), F.lit(False))).drop("markdown", "structure_json")
     same = queries.withColumn("asked", F.xxhash64(F.coalesce("province", F.lit("\0")), F.to_json("keywords")))

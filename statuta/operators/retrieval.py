@@ -320,4 +320,4 @@ def answer_text(hits: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFra
     block = F.concat(F.lit("Source: "), F.coalesce("law_name", F.lit("unknown source")), F.lit(", Điều "), F.coalesce("article_number", F.lit("?")), F.lit("\n"), F.col("text"))
     blocks = hits.join(chunks, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
     joined = F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n")
-    return asked.select("query_id").join(blocks, "query_id", "left").select("query_id", F.coalesce(joined, F.lit("No relevant legal information found in the knowledge base.")).alias("answer"))
+    return asked.select("query_id").join(blocks, "query_id", "left").select("query_id", F.coalesce(joined, F.lit(R.NOTHING_FOUND)).alias("answer"))

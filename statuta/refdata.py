@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Categories, kinds of user, and statuses of documents and items.
 CATEGORIES = ["tax", "contracts_signing", "labor_insurance", "residence_civil", "business_licensing", "property_vehicles", "family_civil", "test_fixture"]
 TEST_CATEGORY = "test_fixture"
 ENTITY_TYPES = ["individual", "business", "both"]
@@ -69,3 +70,11 @@ TRUSTED_COVERAGE = 0.6
 RRF_K, TOP_N, POOL = 60, 5, 100
 BM25_K1, BM25_B, BM25_FLOOR = 1.5, 0.75, 0.25
 MAX_CHARS, EXCERPT_CHARS, LOOKBACK = 1500, 600, 40
+
+# The messages that users get.
+NO_PENDING = "No pending checklist items."
+NO_PENDING_WITHIN = "No pending checklist items due within {} days."
+NONE_MATCHES = "No checklist item found matching '%s'."
+MANY_MATCH = "Multiple items match '%s': %s. Please be more specific."
+MARKED = "Marked '%s' as done."
+NOTHING_FOUND = "No relevant legal information found in the knowledge base."

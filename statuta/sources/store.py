@@ -26,12 +26,6 @@ def counters(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count_if(F.col("change") != "unchanged").alias("written"), F.count_if(F.col("change") == "unchanged").alias("skipped"), F.count("*").alias("total"))
 
 
-def merged(stored: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table after a diff: changed rows replaced, new ones added."""
-    written = changes.where("change <> 'unchanged'").select(*stored.columns)
-    return stored.join(written.select("chunk_id"), "chunk_id", "left_anti").unionByName(written)
-
-
 class ChunkStore:
     """A folder with one parquet table a version. sync_deletes: chunks that a document no longer has go, too."""
 
