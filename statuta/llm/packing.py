@@ -244,16 +244,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     return pack_tokens(docs.select(id_col, text_col), encode, limits, cut, id_col)
 
 
-def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 0, learn: str = "assistant") -> DataFrame:
+def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 0, learn: str = "assistant", turns_at_once: int = 1024) -> DataFrame:
     """Whole conversations (conv_id, turn, role, text) as examples; only the turns of the role `learn` bear loss.
 
-    One conversation is one row of text and so lies in one task; none is cut unless it is longer than a sequence.
+    A conversation is one example, and none is cut unless it is longer than a sequence; but one of more than `turns_at_once`
+    turns is several, one after another, so that no row holds a conversation without end.
     """
     end = np.array([end_id], "<u4")
     told = turns.select(
         F.col("conv_id").alias("doc_id"),
         F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"),
-    ).groupBy("doc_id").agg(F.array_sort(F.collect_list("said")).alias("said"))
+        F.floor(F.coalesce(F.col("turn"), F.lit(0)) / turns_at_once).alias("part"),
+    ).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list("said")).alias("said")).drop("part")
 
     def encode(batch: pa.RecordBatch) -> Iterator[tuple]:
         for key, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
