@@ -277,6 +277,10 @@ def test_sources(spark):
     with open(root + "/law.txt", "w", encoding="utf-8") as f:
         f.write("Luật A\nĐiều 1. b")
     assert [tuple(r) for r in corpus.read_texts(spark, root + "/law.txt").collect()] == [("law", "Luật A", "Luật A\nĐiều 1. b")]
+    with open(root + "/details.json", "w", encoding="utf-8") as f:
+        f.write(json.dumps({"docId": "7", "docName": "Luật thuế", "effectStatus": "Còn hiệu lực", "documentContent": {"content": "<p>a</p>"}}) + "\n" + json.dumps({"id": "8", "title": "T", "content": "<p>b</p>", "effStatus": "other"}) + "\n")
+    docs_, rest = corpus.documents_of_details(corpus.detail_fields(corpus.read_details(spark, root + "/details.json")))
+    assert [(r.doc_id, r.title, r.raw_text, r.category) for r in docs_.collect()] == [("vbpl-7", "Luật thuế", "a", "tax")] and [(r.id, r.reason) for r in rest.collect()] == [("8", "status")]
     pages = spark.createDataFrame([(None, [(1, None), (None, "x"), (None, None)]), ([("7", "8")], None)], "items array<struct<id:string,docId:string>>, data array<struct<id:string,docId:string>>")
     assert sorted(r[0] for r in corpus.listing_ids(pages).collect()) == ["1", "7", "x"]
     specs = spark.createDataFrame([("u1", "d1", "article", None), ("u2", "d2", "article", None), ("u3", "d3", None, "tax")], "url string, doc_id string, region string, category string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("title", "law_name", "entity_type", "province_scope", "effective_from", "effective_to")))
