@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import stash
+from statuta.llm.common import give_back, stash
 
 HUB_SHARE = 1000
 FEW = 50_000
@@ -51,6 +51,8 @@ def contract(links: DataFrame) -> DataFrame:
             for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
                 forest.join(a, b)
         yield forest.links()
+        forest.up.clear()
+        give_back()
 
     return links.mapInPandas(run, "a long, b long")
 

@@ -37,7 +37,7 @@ WORDS = re.compile(r"\w+")
 BANDS, ROWS = 40, 6
 AGREE = 163  # of 240 places of two signatures; at similarity 0.8 the mean is 192, the deviation 6.2
 BLOCK, BLOCK_BYTES = 1000, 8 << 20  # of texts that one task compares with as many others
-NARROW = 200_000  # rows of two or three hashes that may be broadcast
+NARROW = 50_000  # rows of two or three hashes that may be broadcast
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,25 +47,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-class _Words(dict):
-    """Hashes of words, kept while a worker goes through its texts."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_words = _Words()
-
-
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Hashes of the distinct shingles of a text, sorted; of the whole sequence if it is shorter; none without words."""
     found = WORDS.findall((text or "").lower())
     if not found:
         return np.zeros(0, np.uint64)
-    words = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    known = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(found)}
+    words = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     n = max(1, len(words) - size + 1)
     out = words[:n].copy()
     for k in range(1, min(size, len(words))):

@@ -72,6 +72,7 @@ class Tokens:
             return None
         import tiktoken
 
+        del spec, model, merged
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks={bytes(map(byte.__getitem__, w)): vocab[w] for w in ordered}, special_tokens={})
 

@@ -36,7 +36,7 @@ _index: np.ndarray | None = None
 
 
 def golay_index() -> np.ndarray:
-    """For every word of 23 bits, the message of its nearest codeword; made once a worker."""
+    """For every word of 23 bits, the message of its nearest codeword; made once a task, see drop_index()."""
     global _index
     if _index is None:
         message = np.arange(4096, dtype=np.uint32)
@@ -54,6 +54,13 @@ def golay_index() -> np.ndarray:
     return _index
 
 
+def drop_index() -> None:
+    """Workers live on after a task, and need the index no more."""
+    global _index
+    _index = None
+    give_back()
+
+
 def bit_majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Of consecutive groups of 64-bit hashes, the word of the bits that more than half of a group set."""
     out, some = np.zeros(len(sizes), np.uint64), sizes > 0
@@ -184,6 +191,7 @@ def print_links(prints: DataFrame) -> DataFrame:
                 own = batch.column(0).slice(i, 4096).to_numpy().view(np.uint64)
                 row, key = golay_keys(own)
                 yield _batch({"key": key, "fp": own[row].view(np.int64)})
+        drop_index()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Forest()
@@ -196,6 +204,7 @@ def print_links(prints: DataFrame) -> DataFrame:
                         b.append(q)
             if a:
                 yield _batch({"a": np.array(a), "b": np.array(b)})
+        give_back()
 
     rows = prints.select("fp").mapInArrow(keys, "key long, fp long")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(links, "a long, b long")
