@@ -1,13 +1,14 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import decontaminate, langid, packing, pii, quality, sharding, simhash, tokencounts, urlfilter, warc
+from statuta.llm import chat, decontaminate, langid, packing, periodic, pii, quality, sharding, simhash, spelling, tokencounts, urlfilter, warc
 from statuta.llm.common import fresh_path, stash, table
 
 
@@ -84,6 +85,46 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"contamination.{c}" for c in ("contaminated", "item_id", "coverage", "tiles", "tiled_words")))
 
 
+def planted(doc_id: Column, text: Column) -> Column:
+    """Every tenth text, by a checksum of its id, repeats a stretch of its words from some word on to its end; the others are as they were."""
+
+    def repeating(h: int | None, text: str | None) -> str | None:
+        words = periodic.WORDS.findall(text or "") if not pd.isna(h) and h % 10 == 0 else []
+        if not words:
+            return text
+        n, g = len(words), int(h) // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return " ".join([*words[:a], *(words[a + i % p] for i in range(n - a))])
+
+    run = F.pandas_udf(lambda h, t: pd.Series([repeating(*x) for x in zip(h, t)], dtype=object), "string")
+    return run(F.crc32(doc_id.cast("string").cast("binary")), text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    told = docs.select("doc_id", periodic.periodic(F.col("text")).alias("p"))
+    told = told.select("doc_id", F.col("p.runs").alias("runs"), F.col("p.collapsed").alias("collapsed"), periodic.longest(F.col("p.runs")).alias("top"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(docs, spelling.dropped_letter))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like the template."""
+    marks = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(turns.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -95,9 +136,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_chat_format": op13_chat_format,
 }
 
-#: SQL of the same rows. What operators 1, 2, 3 (a tokenizer), 5, 6, 7, 9 and 10 do can't be put in SQL: they are tested against brute force.
+#: SQL of the same rows. What operators 1, 2, 3 (a tokenizer), 5, 6, 7, 9, 10, 11, 12 (checksums of words) and 13 (escapes) do can't be put in SQL: they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
