@@ -5,10 +5,9 @@ first. The prefix of a word are its three first grams and all that equal the thi
 pivots: those of the least sum of frequencies, by dynamic programming over the places. One edit changes at most one
 of two pivots that don't overlap, so of two words one edit apart, the one whose prefix ends no later in the order has a
 pivot that the other holds too, and there it lies within the prefix, since the prefix holds all grams up to its end. Pivots
-are therefore joined to prefixes. An edit before a gram moves it by as much as it changes the word's length, so a pivot is
-sought at a place and in a length: where it is in words as long, and there or one further in words one longer, there
-or one before in words one shorter. These five are one equi-join of (gram, place, length), without a residual; what it
-gives is verified by the edit distance itself.
+are therefore joined to prefixes. The edit lies after the pivot or before it, which limits its place: either the words are
+equal from their begin to the end of the gram, or from its begin to their end. These two stretches are the keys of one
+equi-join. What it gives is verified: by the lengths, which differ by one at most, and by the edit distance itself.
 
 Frequent words have no more rows than rare ones: all this is done on the vocabulary. Its counts are summed in the tasks
 before they are shuffled. Grams are of two letters of the alphabet below, so there are at most its square of them, which
@@ -125,7 +124,7 @@ def chosen(word: str, order: dict[str, tuple[int, int]]) -> tuple[list[tuple[int
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """a, n_a, b, n_b: pairs of words (word, n) of at least four letters of which a pivot of a stands in the prefix of b where one edit may have put it."""
+    """a, n_a, b, n_b: pairs of words (word, n) of at least four letters of which a pivot of a stands in the prefix of b, with all before it or all after it alike."""
     spark = words.sparkSession
     gram = F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))"))
     counted = words.select(gram.alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # of two letters: at most 90 * 90
@@ -135,24 +134,30 @@ def candidates(words: DataFrame) -> DataFrame:
         prefixes, own = [], []
         for word in batch:
             prefix, pivot = chosen(word, sent.value)
-            prefixes.append([{"gram": g, "place": i} for i, _, g in prefix])
-            own.append([{"gram": g, "place": i} for i, _, g in pivot])
+            prefixes.append([i for i, _, _ in prefix])
+            own.append([i for i, _, _ in pivot])
         return pd.DataFrame({"prefix": prefixes, "pivots": own})
 
-    kind = "array<struct<gram:string,place:int>>"
-    told = stash(words.select("word", "n", F.length("word").alias("size"), F.pandas_udf(run, f"prefix {kind}, pivots {kind}")("word").alias("g")), "word-grams")
-    held = told.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "size", F.explode("g.prefix").alias("g")).select("b", "n_b", "size", "g.gram", "g.place")
-    moves = F.array(*(F.struct(F.lit(longer).alias("longer"), F.lit(further).alias("further")) for longer, further in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))))
-    sought = told.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "size", F.explode("g.pivots").alias("g")).withColumn("move", F.explode(moves))
-    sought = sought.select("a", "n_a", (F.col("size") + F.col("move.longer")).alias("size"), "g.gram", (F.col("g.place") + F.col("move.further")).alias("place"))
-    return sought.join(held, ["gram", "place", "size"]).select("a", "n_a", "b", "n_b")
+    told = stash(words.select("word", "n", F.pandas_udf(run, "prefix array<int>, pivots array<int>")("word").alias("g")), "word-grams")
+    place = F.col("place")
+    to_gram = F.xxhash64(F.lit("to"), F.substring("word", F.lit(1), place + 2))  # a number sorts faster than the stretch itself; what collides is verified
+    from_gram = F.xxhash64(F.lit("from"), F.substring("word", place + 1, F.length("word")))
+
+    def keyed(grams: str, name: str) -> DataFrame:
+        rows = told.select("word", "n", F.length("word").alias("size"), F.explode(f"g.{grams}").alias("place"))
+        return rows.select(F.explode(F.array(to_gram, from_gram)).alias("key"), F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.col("size").alias(f"size_{name}"))
+
+    met = keyed("pivots", "a").join(keyed("prefix", "b"), "key")
+    return met.where((F.abs(F.col("size_a") - F.col("size_b")) <= EDITS) & (F.col("a") != F.col("b"))).select("a", "n_a", "b", "n_b")
 
 
 def near(words: DataFrame) -> DataFrame:
     """word, n, other, n_other: all words of which each differs from the other by one letter put in, left out or replaced, both ways round."""
-    pairs = stash(candidates(words).where(F.levenshtein("a", "b", EDITS) == EDITS), "near-words")
-    other = pairs.select(F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
-    return pairs.unionByName(other).distinct().toDF("word", "n", "other", "n_other")
+    found = candidates(words).where(F.levenshtein("a", "b", EDITS) == EDITS)
+    one, two = F.struct(F.col("a").alias("word"), F.col("n_a").alias("n")), F.struct(F.col("b").alias("word"), F.col("n_b").alias("n"))
+    pairs = stash(found.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct(), "near-words")
+    both = pairs.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"))
+    return both.select("p.x.word", "p.x.n", F.col("p.y.word").alias("other"), F.col("p.y.n").alias("n_other"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
