@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import give_back, small, stash
@@ -37,6 +37,7 @@ AT_ONCE = 1 << 18  # distinct words that a task counts before it hands them on
 PIECE = 1 << 20  # characters of a text that are cut into words at a time
 EDITS = 1
 PREFIX = 2 * EDITS + 1
+SHORT = 3  # letters of a stretch
 NARROW = 50_000
 
 
@@ -139,15 +140,19 @@ def candidates(words: DataFrame) -> DataFrame:
         return pd.DataFrame({"prefix": prefixes, "pivots": own})
 
     told = stash(words.select("word", "n", F.pandas_udf(run, "prefix array<int>, pivots array<int>")("word").alias("g")), "word-grams")
-    place = F.col("place")
-    to_gram = F.xxhash64(F.lit("to"), F.substring("word", F.lit(1), place + 2))  # a number sorts faster than the stretch itself; what collides is verified
-    from_gram = F.xxhash64(F.lit("from"), F.substring("word", place + 1, F.length("word")))
+    to_gram = F.struct(F.lit("to").alias("side"), F.substring("word", F.lit(1), F.col("place") + 2).alias("part"))
+    from_gram = F.struct(F.lit("from").alias("side"), F.substring("word", F.col("place") + 1, F.length("word")).alias("part"))
 
-    def keyed(grams: str, name: str) -> DataFrame:
+    def keyed(grams: str, name: str, sizes: list[Column]) -> DataFrame:
+        """A number for each stretch sorts faster than the stretch itself; what collides is verified. Short ones, which many words share, are told apart by the length of b."""
         rows = told.select("word", "n", F.length("word").alias("size"), F.explode(f"g.{grams}").alias("place"))
-        return rows.select(F.explode(F.array(to_gram, from_gram)).alias("key"), F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.col("size").alias(f"size_{name}"))
+        rows = rows.select("word", "n", "size", F.explode(F.array(to_gram, from_gram)).alias("key"))
+        of = F.explode(F.when(F.length("key.part") <= SHORT, F.array(*sizes)).otherwise(F.array(F.lit(0))))
+        rows = rows.select("word", "n", "size", "key", of.alias("of"))
+        return rows.select(F.xxhash64("key.side", "key.part", "of").alias("key"), F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.col("size").alias(f"size_{name}"))
 
-    met = keyed("pivots", "a").join(keyed("prefix", "b"), "key")
+    size = F.col("size")
+    met = keyed("pivots", "a", [size - 1, size, size + 1]).join(keyed("prefix", "b", [size]), "key")
     return met.where((F.abs(F.col("size_a") - F.col("size_b")) <= EDITS) & (F.col("a") != F.col("b"))).select("a", "n_a", "b", "n_b")
 
 
