@@ -1,7 +1,10 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin matching (Wise, "YAP3").
 
 A document and a test item are compared if they share a seed, a run of `min_match` words found by its rolling
-hash. Shared seeds along one diagonal join into maximal matches; the longest free match is marked as a tile
+hash. A shared seed whose words before differ begins a maximal match; where they are alike the match began earlier. So
+of words that both repeat, pairs of places are not listed, only those where a match begins: of two texts of one word as many
+as both have words. How far a match goes is found by bisection with Karp-Rabin hashes of any stretch, and the words
+themselves are compared before it counts. The longest free match is marked as a tile
 again and again, its tokens free no more, until no match of `min_match` words is left. Tiles may stand in any
 order, so a passage whose parts were moved about is still covered. A document is contaminated if the tiles
 cover at least `threshold` of some item's words.
@@ -11,14 +14,15 @@ the benchmark than a block: one block is one pass over the documents, more block
 each document's best result is kept.
 
 Defined cases: null and empty texts and items of fewer than min_match words match nothing; of equal coverage
-the smallest item_id counts; repeated rows come out as often; an empty table of either kind gives no match.
+the smallest item_id counts; repeated rows come out as often; an empty table of either kind gives no match; texts of
+any length are searched whole, at 24 bytes a word besides its number; extra columns are kept, whatever their names, and
+only one of the name that `out` gives is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ from statuta.llm.common import give_back, internal, small, stash
 
 WORDS = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BEGIN, UNKNOWN, FIRST = -1, -2, -3  # in place of a word before: the begin of a document, a word that no item has, the begin of an item
 RESULT = "coverage double, item_id long, tiles long, tiled_words long"
 
 
@@ -45,6 +50,39 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2 to the 64, kept by a worker."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ h >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Stretches:
+    """Karp-Rabin hashes of all stretches of a sequence: equal words have equal hashes, wherever they stand and in whatever sequence."""
+
+    def __init__(self, ids: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(ids) * powers(len(ids) + 1)[0][: len(ids)], dtype=np.uint64)])
+
+    def hashes(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * powers(len(self.sums))[1][at]
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), then those from first[1] on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Items:
     """Test items with their words as numbers and their seeds, ready to be searched for."""
 
@@ -57,6 +95,11 @@ class Items:
         seeds = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.item, self.at = seeds[order], item[order], at[order]
+        flat = np.concatenate([*self.tokens, np.zeros(0, np.int64)])
+        self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(items))
+        self.base = np.cumsum(self.sizes) - self.sizes
+        self.stretches = Stretches(flat)
+        self.left = np.where(self.at > 0, flat[np.maximum(self.base[self.item] + self.at - 1, 0)], FIRST) if len(self.at) else self.at
 
     def shared(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Of a document, the numbers of its words and the windows whose words all stand in the benchmark and whose hash is a seed's."""
@@ -74,53 +117,61 @@ class Items:
         ids, at = self.shared(text)
         if not len(at):
             return None
-        results = []
-        for item, test, doc in self.shared_seeds(ids, at):
-            order = np.lexsort((doc, doc - test, item))
-            doc, test, item = doc[order], test[order], item[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (np.diff(item) != 0) | (np.diff(doc - test) != 0) | (np.diff(doc) != 1)
-            first = np.flatnonzero(new)
-            length = np.diff(np.append(first, len(doc))) + self.min - 1
-            runs = defaultdict(list)
-            for k, d, t, size in zip(item[first].tolist(), doc[first].tolist(), test[first].tolist(), length.tolist()):
-                if np.array_equal(ids[d : d + size], self.tokens[k][t : t + size]):  # hashes may collide; words decide
-                    runs[k].append((-size, t, d))
-            for k, matches in runs.items():
-                tiles, covered = tile(matches, len(self.tokens[k]), self.min)
-                results.append((-covered / len(self.tokens[k]), self.ids[k], tiles, covered))
+        own, results = Stretches(ids), []
+        for item, test, doc in self.starts(ids, at):
+            size = self.reach(own, len(ids), item, test, doc)
+            cuts = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
+            for i, j in zip(cuts, cuts[1:]):
+                k = int(item[i])
+                tiles, covered = tile(size[i:j], test[i:j], doc[i:j], self.tokens[k], ids, self.min)
+                if covered:
+                    results.append((-covered / len(self.tokens[k]), self.ids[k], tiles, covered))
         if not results:
             return None
         share, item_id, tiles, covered = min(results)
         return -share, item_id, tiles, covered
 
-
-    def shared_seeds(self, ids: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Item, place in it and place in the document of all shared seeds, some items at a time: of a passage that many items hold and
-        the document repeats, there are as many as the product. What is held are about `most` of them, or those of one item."""
+    def starts(self, ids: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Item, place in it and place in the document where maximal matches begin, by item, some items at a time: about `most` of them, or those of one item."""
         hashes = sum_windows(ids, at, self.min)
-        order = np.argsort(hashes, kind="stable")
-        seeds, first, times = np.unique(hashes[order], return_index=True, return_counts=True)
-        at = at[order]
+        left = np.where(at > 0, ids[np.maximum(at - 1, 0)], BEGIN)
+        left[left == 0] = UNKNOWN
+        order = np.lexsort((left, hashes))
+        at, hashes, left = at[order], hashes[order], left[order]
+        seeds, first, times = np.unique(hashes, return_index=True, return_counts=True)
         low, high = np.searchsorted(self.seeds, seeds), np.searchsorted(self.seeds, seeds, "right")
-        n = high - low
-        seed = np.repeat(np.arange(len(seeds)), n)
-        pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        seed, pick = np.repeat(np.arange(len(seeds)), high - low), spread(low, high - low)
         by_item = np.argsort(self.item[pick], kind="stable")
         seed, pick = seed[by_item], pick[by_item]
-        item, many = self.item[pick], times[seed]
-        ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))
-        upto = np.cumsum(many)
+        item, width = self.item[pick], len(self.vocab) + 4  # of words before, those of the document are sorted within a seed
+        keys, key = np.repeat(np.arange(len(seeds)), times) * width + left + 3, seed * width + self.left[pick] + 3
+        low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")  # there the words before are alike
+        before, after = low - first[seed], first[seed] + times[seed] - high
+        upto, ends = np.cumsum(before + after), np.append(np.flatnonzero(np.diff(item)) + 1, len(item))
         start = 0
         while start < len(item):
             done = upto[start - 1] if start else 0
             fits = ends[(ends > start) & (upto[ends - 1] - done <= most)]
             end = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, start, "right")])
-            k = many[start:end]
-            doc = at[np.repeat(first[seed[start:end]] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-            yield np.repeat(item[start:end], k), np.repeat(self.at[pick[start:end]], k), doc
+            some = slice(start, end)
+            n = before[some] + after[some]
+            doc = spread(first[seed[some]], n)  # places after those before jump over what is alike
+            jump = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) >= np.repeat(before[some], n)
+            doc += np.where(jump, np.repeat(high[some] - low[some], n), 0)
+            if len(doc):
+                yield np.repeat(item[some], n), np.repeat(self.at[pick[some]], n), at[doc]
             start = end
 
+    def reach(self, own: Stretches, n: int, item: np.ndarray, test: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """How many words are alike from each start on, by bisection: at least those of the seed."""
+        least, most = np.full(len(item), self.min, np.int64), np.minimum(self.sizes[item] - test, n - doc)
+        place = self.base[item] + test
+        while (open_ := np.flatnonzero(least < most)).size:
+            middle = (least[open_] + most[open_] + 1) // 2
+            same = own.hashes(doc[open_], middle) == self.stretches.hashes(place[open_], middle)
+            least[open_], most[open_] = np.where(same, middle, least[open_]), np.where(same, most[open_], middle - 1)
+        return least
+
 
 def sum_windows(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
@@ -129,27 +180,39 @@ def sum_windows(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def tile(matches: list[tuple[int, int, int]], n_test: int, min_match: int) -> tuple[int, int]:
-    """Tiles and covered words of a test item, of maximal matches (-length, test position, document position)."""
-    heapq.heapify(matches)
-    test, doc, tiles = bytearray(n_test), set(), 0
-    while matches:
-        size, t, d = heapq.heappop(matches)
-        free = [not test[t + i] and d + i not in doc for i in range(-size)]
-        if all(free):
-            test[t : t - size] = b"\1" * -size
-            doc.update(range(d, d - size))
-            tiles += 1
+def free_runs(taken: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Begins and ends of the stretches of at least `least` that are not taken."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+    return [(i, j) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()) if j - i >= least]
+
+
+def tile(size: np.ndarray, test: np.ndarray, doc: np.ndarray, item: np.ndarray, ids: np.ndarray, min_match: int) -> tuple[int, int]:
+    """Tiles and covered words of a test item, of maximal matches (length, place in the item, place in the document)."""
+    order = np.lexsort((doc, test, -size))
+    matches = zip((-size[order]).tolist(), test[order].tolist(), doc[order].tolist())
+    in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(ids), bool)
+    parts, tiles, now = [], 0, next(matches, None)
+    while now or parts:
+        if parts and (now is None or parts[0] < now):
+            n, t, d = heapq.heappop(parts)
+        else:
+            (n, t, d), now = now, next(matches, None)
+        n = -n
+        taken = in_item[t : t + n] | in_doc[d : d + n]
+        if taken.any():
+            for i, j in free_runs(taken, min_match):  # the parts that are still free may be tiles later
+                heapq.heappush(parts, (i - j, t + i, d + i))
+            continue
+        same = item[t : t + n] == ids[d : d + n]
+        if not same.all():  # hashes may collide; words decide
+            if (n := int(np.argmin(same))) >= min_match:
+                heapq.heappush(parts, (-n, t, d))
             continue
-        start = None
-        for i, x in enumerate([*free, False]):  # the parts that are still free may be tiles later
-            if x and start is None:
-                start = i
-            elif not x and start is not None:
-                if i - start >= min_match:
-                    heapq.heappush(matches, (start - i, t + start, d + start))
-                start = None
-    return tiles, sum(test)
+        in_item[t : t + n] = in_doc[d : d + n] = True
+        tiles += 1
+        if not free_runs(in_item, min_match) or not free_runs(in_doc, min_match):
+            break
+    return tiles, int(in_item.sum())
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
