@@ -2,14 +2,16 @@
 
 Only headers (id, digest, length) are shuffled to find, for each payload digest, the record that keeps the
 payload; a digest that all records share is one sum by task. Payloads stay where they are: the digests that repeat,
-with their responses, are broadcast, if a count finds at most BROADCAST_ROWS of them. Beyond that Spark joins them by a
-shuffle, in which each payload moves once. The archives are then written by Spark's text writer, whose line separator
+with their responses, are broadcast, if a count finds at most BROADCAST_ROWS of them. Beyond that headers alone are joined
+with them, of which a digest of very many records is split like any skewed key of such a join, and the revisits among them are
+brought to the pages by id and digest; so no payload that many records share is one key, and each payload moves once.
+The archives are then written by Spark's text writer, whose line separator
 is the two line ends that close a WARC record; so they go wherever Spark can write, and a lost task is written again.
-Each record gets fresh headers. A file holds so many records that even the longest would make at most FILE_BYTES (one
-record may be longer). The files are read back as binary files, inflated and parsed as streams by their
-Content-Length fields.
+Each record gets fresh headers. A task adds up the bytes of its records as they come, and goes on to the next file when
+one more would make it longer than FILE_BYTES; so a long record is alone in its file, and has no part in the size of others.
+The files are read back as binary files, inflated and parsed as streams by their Content-Length fields.
 
-Defined cases: a null payload is an empty one; payloads below `least_bytes` are never replaced; of equal
+Defined cases: texts of any length are whole; extra columns are not read, whatever their names; a null payload is an empty one; payloads below `least_bytes` are never replaced; of equal
 payloads the record with the largest id is the response, and so is each of repeated rows of that id; a null
 id is smaller than any other; null urls give no target URI; an empty table gives no records.
 """
@@ -25,11 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import fresh_path, small, stash
+from statuta.llm.common import fresh_path, stash
 
 END = "\r\n\r\n"
 BROADCAST_ROWS = 500_000  # of 28 bytes each
-FILE_BYTES, HEAD_BYTES, FILE_RECORDS = 256 << 20, 4096, 20_000  # of a file before compression; of the headers of a record, as reckoned
+FILE_BYTES, HEAD_BYTES, FILE_RECORDS = 256 << 20, 1024, 20_000  # of a file before compression; of the headers of a record, as reckoned
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, payload binary"
 
@@ -46,13 +48,35 @@ def owners(heads: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return stash(found.where("n > 1").select("digest", "owner"), "warc-owners")
 
 
-def decide(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+def decide(pages: DataFrame, heads: DataFrame, repeated: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, html, digest, bytes and, for a record whose payload another keeps, refers_to."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    told = rows.join(small(repeated, BROADCAST_ROWS), "digest", "left")
-    return told.select("page_id", "url", F.lower(F.hex("digest")).alias("digest"), "bytes", F.when(refers.isNull(), F.col("html")).alias("html"), refers.alias("refers_to"))
+    other = ~F.col("page_id").eqNullSafe(F.col("owner"))
+    if repeated.limit(few + 1).count() <= few:
+        told = rows.join(F.broadcast(repeated), "digest", "left").withColumn("refers_to", F.when(other, F.col("owner")))
+    else:
+        revisits = stash(heads.join(repeated, "digest").where(other & F.col("owner").isNotNull()).select("page_id", "digest", F.col("owner").alias("refers_to")).distinct(), "warc-revisits")
+        a, b = rows.alias("a"), revisits.alias("b")
+        told = a.join(b, F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "b.refers_to")
+    return told.select("page_id", "url", F.lower(F.hex("digest")).alias("digest"), "bytes", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "refers_to")
+
+
+def file_number(size: Column, most: int) -> Column:
+    """A number that grows, row by row of a task, when one more record would make the sum of sizes since it last grew greater than `most`."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        number, held = 0, 0
+        for batch in batches:
+            out = []
+            for n in batch:
+                if held and held + n > most:
+                    number, held = number + 1, 0
+                held += n
+                out.append(number)
+            yield pd.Series(out, dtype="int64")
+
+    return F.pandas_udf(run, "long")(size)
 
 
 def _lines(*fields: tuple[str, Column]) -> Column:
@@ -83,10 +107,10 @@ def record(date: str) -> Column:
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 1000, file_bytes: int = FILE_BYTES) -> None:
     """Gzipped archives under path; date: of the crawl, as the table has none."""
     heads = headers(pages)
-    longest = (heads.agg(F.max("bytes")).first()[0] or 0) + HEAD_BYTES
-    rows = decide(pages, owners(heads, least_bytes)).select(record(date).alias("value"))
-    records = max(1, min(FILE_RECORDS, file_bytes // longest))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    rows = decide(pages, heads, owners(heads, least_bytes))
+    size = HEAD_BYTES + F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(0)
+    rows = rows.withColumn("file", file_number(size, file_bytes)).select(record(date).alias("value"), "file")
+    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).partitionBy("file").text(path)
 
 
 FIELD = re.compile(rb"(?m)^([A-Za-z-]+): (.*?)\r$")
@@ -158,7 +182,7 @@ def read(spark, path: str, payload: bool = True) -> DataFrame:
                     frame = pd.DataFrame(some, columns=[x.split()[0] for x in READ.split(", ")])
                     yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "intact": "boolean"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInPandas(run, READ)
 
 
