@@ -9,8 +9,9 @@ A store is a folder. A batch is written aside and then moved to `batches/<id>` i
 there: of two writers of one id the first wins, a batch that broke off leaves nothing that counts, and to send a
 committed one again changes nothing. compact() adds committed batches up into a snapshot that names them, moved into
 place alike; readers take the newest snapshot and the batches that it doesn't name. The folders of batches that the
-snapshot before named are dropped, so what a reader or writer has to list are the batches since then; whether an id
-was ever committed is asked of the names as a table.
+snapshot before already named are dropped, and no others, whatever is committed meanwhile; so what a reader or writer has
+to list are the batches since then. Whether an id was ever committed is asked of the names as a table; a writer asks once
+more when its batch is in place, since the folder of an equal one may have been dropped while it was writing.
 
 Defined cases: a null source, language or tokenizer is a group of its own; a null count is 0; a row of unknown
 op is an error; repeated rows of a batch each count (each is a change); an empty batch commits and adds
@@ -101,28 +102,33 @@ class TokenTotals:
             return False
         aside = f"aside/{batch_id}-{uuid.uuid4().hex}"
         deltas(changes).write.parquet(f"{self.path}/{aside}")
-        return self._publish(aside, "batches", batch_id)
+        if not self._publish(aside, "batches", batch_id):
+            return False
+        found = self._names("snapshots")
+        if len(found) > 1 and self._held([batch_id], f"{self.path}/snapshots/{found[-2]}"):  # named before the last compaction: its own folder is gone, this one is a second
+            self.fs.delete(self._at("batches", batch_id), True)
+            return False
+        return True
 
     def committed(self, batch_id: str) -> bool:
-        return self.fs.exists(self._at("batches", batch_id)) or batch_id in self._held([batch_id])
+        return self.fs.exists(self._at("batches", batch_id)) or batch_id in self._held([batch_id], self._snapshot())
 
     def _snapshot(self) -> str | None:
         """The newest snapshot."""
         found = self._names("snapshots")
         return f"{self.path}/snapshots/{found[-1]}" if found else None
 
-    def _held(self, ids: list[str]) -> set[str]:
-        """Those of a few ids that the newest snapshot names."""
-        path = self._snapshot()
-        if not path or not ids:
+    def _held(self, ids: list[str], snapshot: str | None) -> set[str]:
+        """Those of a few ids that a snapshot names."""
+        if not snapshot or not ids:
             return set()
-        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{path}/of").where(F.col("batch").isin(ids)).collect()}
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{snapshot}/of").where(F.col("batch").isin(ids)).collect()}
 
-    def _new(self) -> list[str]:
-        """Batches that the newest snapshot doesn't name."""
+    def _split(self, snapshot: str | None) -> tuple[list[str], list[str]]:
+        """Of the folders of batches, those that a snapshot doesn't name, and those that it does."""
         listed = self._names("batches")
-        held = self._held(listed)
-        return [b for b in listed if b not in held]
+        held = self._held(listed, snapshot)
+        return [b for b in listed if b not in held], [b for b in listed if b in held]
 
     def _rows(self, path: str | None, new: list[str]) -> DataFrame:
         rows = [self.spark.read.schema(TOTALS).parquet(f"{path}/totals")] if path else []
@@ -134,13 +140,14 @@ class TokenTotals:
         return _added(every).where("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
-        return self._rows(self._snapshot(), self._new())
+        snapshot = self._snapshot()
+        return self._rows(snapshot, self._split(snapshot)[0])
 
     def compact(self) -> bool:
         """A new snapshot of all committed batches; False if another writer made one meanwhile."""
-        before, new = self._snapshot(), self._new()
+        before = self._snapshot()
+        new, held = self._split(before)
         number = int(before.rsplit("/", 1)[1]) + 1 if before else 0
-        dropped = [b for b in self._names("batches") if b not in new]
         aside = f"aside/snapshot-{uuid.uuid4().hex}"
         self._rows(before, new).write.parquet(f"{self.path}/{aside}/totals")
         names = self.spark.createDataFrame([(b,) for b in new], "batch string").coalesce(1)
@@ -149,7 +156,7 @@ class TokenTotals:
         names.write.parquet(f"{self.path}/{aside}/of")
         if not self._publish(aside, "snapshots", f"{number:08d}"):
             return False
-        for b in dropped:
+        for b in held:
             self.fs.delete(self._at("batches", b), True)
         for old in self._names("snapshots")[:-2]:
             self.fs.delete(self._at("snapshots", old), True)
