@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.text import py_strip, scan
+from statuta.functions.text import let, py_strip, scan
 from statuta.refdata import LOOKBACK, MAX_CHARS
 
 # The patterns that tell chapters, articles and citations.
@@ -74,28 +74,58 @@ def lines_of(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
 
 
-def articles(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """A row for each article of docs (doc_id, title, text), by windows over the lines: documents of any length.
+CHAPTER_HEAD = "struct<number:string,title:string>"
+TIMES = "struct<number:string,times:int>"
 
-    A running count of headings numbers the segments; the last chapter heading before a line is its chapter.
+
+def article_array(text: Column) -> Column:
+    """The articles of a text in order, as an array: chapter_number, chapter_title, article_number, article_title, body, and again, the how
+    manieth of its number it is. Row-local, and linear in the lines: the text moves nowhere, whatever its length.
+
+    Headings are found line by line; a scan over them alone carries the last chapter. What stands before the first heading,
+    or between a chapter's and the next, belongs to no article.
     """
-    lines = docs.select("doc_id", "title", F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
-    chapter, article = F.regexp_like("line", F.lit(CHAPTER)), F.regexp_like("line", F.lit(ARTICLE))
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.struct(F.regexp_extract("line", CHAPTER, 1).alias("number"), py_strip(F.regexp_extract("line", CHAPTER, 2)).alias("title"))
-    kind = F.when(chapter, "chapter").when(article, "article").otherwise("body")
-    marked = lines.withColumn("kind", kind).withColumn("segment", F.count_if(F.col("kind") != "body").over(order))
-    marked = marked.withColumn("chapter", F.last(F.when(F.col("kind") == "chapter", head), True).over(order))
-    heading = F.when(F.col("kind") == "article", F.struct("line", "chapter"))
-    body = F.when(F.col("kind") == "body", F.struct("pos", "line"))
-    parts = marked.where("segment > 0").groupBy("doc_id", "title", "segment").agg(F.max(heading).alias("h"), F.array_sort(F.collect_list(body)).alias("body"))
-    parts = parts.where("h is not null")
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment")) - 1
-    return parts.select(
-        "doc_id", "title", seq.alias("article_seq"), F.col("h.chapter.number").alias("chapter_number"), F.col("h.chapter.title").alias("chapter_title"),
-        F.regexp_extract("h.line", ARTICLE, 1).alias("article_number"), py_strip(F.regexp_extract("h.line", ARTICLE, 2)).alias("article_title"),
-        py_strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("body"),
-    )
+
+    def in_lines(lines: Column) -> Column:
+        kind = lambda x: F.when(F.regexp_like(x, F.lit(CHAPTER)), "chapter").when(F.regexp_like(x, F.lit(ARTICLE)), "article")
+        every = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), kind(x).alias("kind")))
+        return let(F.filter(every, lambda h: h["kind"].isNotNull()), lambda heads: among(lines, heads))
+
+    def among(lines: Column, heads: Column) -> Column:
+        def step(last: Column, x: Column) -> tuple[Column, Column]:
+            own = F.struct(F.regexp_extract(x["line"], CHAPTER, 1).alias("number"), py_strip(F.regexp_extract(x["line"], CHAPTER, 2)).alias("title"))
+            now = F.when(x["kind"] == "chapter", own).otherwise(last)
+            return now, now
+
+        def article(x: Column, k: Column, chapters: Column) -> Column:
+            end = F.coalesce(F.get(heads, k + 1)["pos"], F.size(lines))
+            return F.struct(
+                x["kind"].alias("kind"), F.get(chapters, k)["number"].alias("chapter_number"), F.get(chapters, k)["title"].alias("chapter_title"),
+                F.regexp_extract(x["line"], ARTICLE, 1).alias("article_number"), py_strip(F.regexp_extract(x["line"], ARTICLE, 2)).alias("article_title"),
+                py_strip(F.array_join(F.slice(lines, x["pos"] + 2, F.greatest(end - x["pos"] - 1, F.lit(0))), "\n")).alias("body"),
+            )
+
+        chapters = scan(heads, CHAPTER_HEAD, CHAPTER_HEAD, F.lit(None).cast(CHAPTER_HEAD), step)
+        found = let(chapters, lambda c: F.filter(F.transform(heads, lambda x, k: article(x, k, c)), lambda a: a["kind"] == "article"))
+        return let(found, numbered)
+
+    def numbered(found: Column) -> Column:
+        """With the times that its number has come up to an article: sorted by number these stand side by side."""
+
+        def step(last: Column, x: Column) -> tuple[Column, Column]:
+            times = F.when(last["number"] == x["number"], last["times"] + 1).otherwise(1)
+            return F.struct(x["number"].alias("number"), times.alias("times")), F.struct(x["seq"].alias("seq"), times.alias("times"))
+
+        own = F.array_sort(F.transform(found, lambda a, i: F.struct(a["article_number"].alias("number"), i.alias("seq"))))
+        times = F.array_sort(scan(own, TIMES, "struct<seq:int,times:int>", F.lit(None).cast(TIMES), step))
+        return F.zip_with(found, times, lambda a, t: a.withField("again", t["times"]).dropFields("kind"))
+
+    return let(lines_of(text), in_lines)
+
+
+def articles(docs: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each article of docs (doc_id, title, text), with what `keep` names of its document."""
+    return docs.select("doc_id", "title", *keep, F.posexplode(article_array(F.col(text))).alias("article_seq", "a")).select("doc_id", "title", *keep, "article_seq", "a.*")
 
 
 def article_heading(number: Column, title: Column) -> Column:
@@ -120,21 +150,24 @@ def pack_clauses(heading: Column, body: Column, max_chars: int = MAX_CHARS) -> C
     return F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lit("")))
 
 
-def chunk_articles(rows: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def chunk_articles(rows: DataFrame, max_chars: int = MAX_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each chunk of articles(): the whole article, or groups of its clauses under its heading.
 
     Articles of one number in a document would share ids; from the second on they are told apart by a suffix.
     """
     number, title, body = F.col("article_number"), F.col("article_title"), F.col("body")
-    whole, heading = full_text(number, title, body), article_heading(number, title)
-    split = F.length(whole) > max_chars
-    again = F.row_number().over(Window.partitionBy("doc_id", "article_number").orderBy("article_seq"))
     base = F.concat(F.col("doc_id"), F.lit(":dieu"), number, F.when(F.col("again") > 1, F.concat(F.lit(":dup"), F.col("again") - 1)).otherwise(""))
-    groups = F.when(split, F.transform(pack_clauses(heading, body, max_chars), lambda g: py_strip(F.concat_ws("\n", heading, g)))).otherwise(F.array(whole))
-    told = rows.withColumn("again", again).withColumn("split", split).withColumn("groups", groups)
+
+    def cut(x: Column) -> Column:
+        split = F.length(x["whole"]) > max_chars
+        groups = F.transform(pack_clauses(x["heading"], body, max_chars), lambda g: py_strip(F.concat_ws("\n", x["heading"], g)))
+        return F.struct(split.alias("split"), F.when(split, groups).otherwise(F.array(x["whole"])).alias("groups"))
+
+    parts = let(F.struct(article_heading(number, title).alias("heading"), full_text(number, title, body).alias("whole")), cut)
+    told = rows.withColumn("parts", parts).select("*", F.col("parts.split").alias("split"), F.col("parts.groups").alias("groups"))
     parts = told.select("*", F.size("groups").alias("part_count"), F.posexplode("groups").alias("part_index", "text"))
     chunk_id = F.concat(base, F.when(F.col("split"), F.concat(F.lit(":part"), F.col("part_index"))).otherwise(""))
     return parts.select(
         chunk_id.alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("title").alias("document_title"), "chapter_number", "chapter_title",
-        "article_number", "article_title", "part_index", "part_count", "text", F.sha2("text", 256).alias("content_hash"),
+        "article_number", "article_title", "part_index", "part_count", "text", F.sha2("text", 256).alias("content_hash"), *keep,
     )

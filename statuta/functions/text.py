@@ -19,9 +19,13 @@ DIMENSIONS = 256
 WORD = re.compile(r"\w+")
 
 
+# The characters of Unicode's property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(x: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 @cache

@@ -125,9 +125,10 @@ def validated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def chunks_of(docs: DataFrame, max_chars: int = R.MAX_CHARS) -> DataFrame:
     """The chunk table of documents, missing strings empty and the province `national` by default."""
-    chunks = segment.chunk_articles(segment.articles(docs), max_chars)
-    meta = docs.select(F.col("doc_id").alias("document_id"), "law_name", "category", "entity_type", F.coalesce(F.nullif("province_scope", F.lit("")), F.lit("national")).alias("province_scope"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("effective_from", "effective_to", "source_url")))
-    rows = chunks.join(meta, "document_id")
+    told = {"law_name": F.col("law_name"), "category": F.col("category"), "entity_type": F.col("entity_type")}
+    told |= {"province_scope": F.coalesce(F.nullif("province_scope", F.lit("")), F.lit("national"))} | {c: F.coalesce(c, F.lit("")) for c in ("effective_from", "effective_to", "source_url")}
+    own = docs.select("doc_id", "title", "raw_text", *(c.alias(n) for n, c in told.items()))
+    rows = segment.chunk_articles(segment.articles(own, keep=tuple(told)), max_chars, tuple(told))
     text = ("chapter_number", "chapter_title")
     return rows.select(
         "chunk_id", "document_id", "document_title", "law_name", "category", "entity_type", "province_scope", "effective_from", "effective_to",

@@ -157,3 +157,17 @@ def test_citations(spark):
     assert at(legacy_span=True)["span_end"] == min(600, len(md))
     assert at(s="broken")["dieu_number"] is None and at(s="broken")["excerpt"] == md
     assert one(spark, text.citation(F.lit("L"), F.lit("5"), F.lit(1), F.lit(3))) == "L, Điều 5 (part 2/3)"
+
+
+def test_segmentation_moves_no_text(spark):
+    """No exchange from documents to chunks, whatever the length of a text."""
+    from statuta.sources import corpus
+
+    long = "\n".join(f"Chương {k // 50 + 1}. c\nĐiều {k}. heading {k}\n1. " + "x" * 800 + "\n2. " + "y" * 900 for k in range(1, 3000))
+    rows = [("a", "t", long, "law", "tax", "both", None, None, None, None), ("b", "t", None, "law", "tax", "both", None, None, None, None), ("c", "t", "", "law", "tax", "both", None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id string, title string, raw_text string, law_name string, category string, entity_type string, province_scope string, effective_from string, effective_to string, source_url string")
+    chunks = corpus.chunks_of(d)
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+    got = chunks.orderBy(F.col("article_number").cast("int"), "part_index").collect()
+    assert [(r.chunk_id, r.chapter_number) for r in got] == [(f"a:dieu{k}:part{p}", str(k // 50 + 1)) for k in range(1, 3000) for p in (0, 1)]
+    assert got[0].text == "Điều 1. heading 1\n1. " + "x" * 800 and got[0].province_scope == "national" and got[0].effective_to == ""
