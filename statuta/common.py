@@ -70,3 +70,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def small(rows: DataFrame, limit: int = 50_000) -> DataFrame:
     """rows, to be broadcast if a count finds at most `limit` of them; else Spark joins them by a shuffle."""
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out if they lie in fewer partitions than there are cores: before work on each row that is dear. A large table stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)

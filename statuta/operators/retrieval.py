@@ -5,6 +5,7 @@ province_scope, text. What a query may see depends on its category, entity type
 are sums over chunks, so they are taken once for each cell of (category, entity_type, province_scope) and added
 up over the cells that a query sees; queries of one view share them.
 
+The vocabulary is shuffled once, by cell, and of each view only a histogram of it is kept.
 Both searches are exact and shuffle no pairs of query and chunk but the best: queries travel to the tasks in blocks of
 bounded number, their words weighed and their vectors made beforehand; a task scores its own chunks against a block by
 one product of matrices a batch, and keeps the best of each query.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from statuta import refdata as R
-from statuta.common import small, stash
+from statuta.common import small, spread, stash
 from statuta.functions.classify import entity_visible, province_visible
 from statuta.functions.text import hashing_vectors, tokenize
 
@@ -32,6 +33,7 @@ CELL = ["category", "entity_type", "province_scope"]
 QUERY_BLOCK = 5_000  # queries that a task holds at a time
 AT_ONCE = 250  # of them in one product
 CHUNKS_AT_ONCE = 1_000
+WORDS_AT_ONCE = 4_000  # distinct words of queries in one product
 
 
 def _cells(chunks: DataFrame) -> DataFrame:
@@ -56,21 +58,37 @@ def with_view(queries: DataFrame) -> DataFrame:
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    """chunk_id, cell and tokens of the chunks, worked out once."""
-    return stash(_cells(chunks).select("chunk_id", *CELL, tokenize(F.col("text")).alias("tokens")), "chunk-tokens")
+    """chunk_id, cell and tokens of the chunks, worked out once. Where the chunks carry `tokens` (with_tokens() adds them when a store is written), they are taken from there."""
+    if "tokens" in chunks.columns:
+        return _cells(chunks).select("chunk_id", *CELL, "tokens")
+    return stash(_cells(spread(chunks.select("chunk_id", *CELL, "text"))).select("chunk_id", *CELL, tokenize(F.col("text")).alias("tokens")), "chunk-tokens")
 
 
-def corpus_statistics(own: DataFrame, views_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of tokenized chunks, per view: n, avgdl; and per view and token: idf, where 0.25 of the mean replaces what is negative."""
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """A step for a chunk store: the tokens of a text are kept with it, and made anew only when it changes."""
+    return rows.withColumn("tokens", tokenize(F.col("text")))
+
+
+def corpus_statistics(own: DataFrame, views_: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of tokenized chunks, per view: n, avgdl and floor, 0.25 of the mean of ln(n - df + 0.5) - ln(df + 0.5) of all its tokens; and idf of the
+    tokens asked for (token), where the floor replaces what is negative.
+
+    That mean depends on how many tokens have each document frequency, so of the whole vocabulary a histogram is all that is kept for
+    a view: the frequencies by cell are dealt out by token once, and are added up over the cells that a view sees where they lie.
+    """
     sizes = stash(own.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("dl")), "cell-sizes")
-    frequency = own.select(*CELL, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*CELL, "token").agg(F.count("*").alias("df"))
-    seen = small(sizes).alias("c").join(views_.alias("q"), _sees("q", "c")).groupBy("view").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
-    seen = stash(seen, "view-sizes")
-    df = frequency.alias("c").join(small(views_).alias("q"), _sees("q", "c")).groupBy("view", "token").agg(F.sum("df").alias("df"))
-    raw = stash(df.join(small(seen), "view").select("view", "token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "view-words")
-    floor = raw.groupBy("view").agg((R.BM25_FLOOR * F.avg("raw")).alias("floor"))
-    idf = raw.join(small(floor), "view").select("view", "token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return seen, idf
+    seen_cells = stash(small(sizes).alias("c").join(views_.alias("q"), _sees("q", "c")).select("view", *(F.col(f"c.{c}") for c in CELL), "n", "dl"), "view-cells")
+    seen = stash(seen_cells.groupBy("view").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl")), "view-sizes")
+    of = small(seen_cells.select("view", *CELL))
+    frequency = own.select(*CELL, F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token", *CELL).agg(F.count("*").alias("df"))
+    frequency = stash(frequency, "word-frequencies")
+    dealt = frequency.select(*CELL, F.xxhash64("token").alias("word"), "df").repartition("word").join(of, CELL)
+    histogram = dealt.groupBy("view", "word").agg(F.sum("df").alias("df")).groupBy("view", "df").agg(F.count("*").alias("times"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    floor = histogram.join(small(seen), "view").groupBy("view").agg((R.BM25_FLOOR * F.sum(F.col("times") * raw) / F.sum("times")).alias("floor"))
+    seen = stash(seen.join(small(floor), "view", "left"), "view-statistics")
+    asked = frequency.join(small(words), "token").join(of, CELL).groupBy("view", "token").agg(F.sum("df").alias("df")).join(small(seen), "view")
+    return seen, asked.select("view", "token", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
 
 
 def _blocks(rows: DataFrame, n: int) -> Iterator[DataFrame]:
@@ -122,8 +140,9 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N) -> Dat
     """
     asked, views_ = with_view(queries), stash(views(queries), "views")
     own = tokenized(chunks)
-    seen, idf = corpus_statistics(own, views_)
     words = asked.select("query_id", "view", F.explode(tokenize(F.col("query_text"))).alias("token")).groupBy("query_id", "view", "token").agg(F.count("*").alias("times"))
+    words = stash(words, "query-words")
+    seen, idf = corpus_statistics(own, views_, words.select("token").distinct())
     weighed = idf.join(small(words), ["view", "token"]).groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("times") * F.col("idf")).alias("w"))).alias("words"))
     told = asked.join(small(seen), "view").join(small(weighed), "query_id", "left").select("query_id", "category", "entity_type", "province", "avgdl", "words")
     told, out = stash(told, "weighed-queries"), None
@@ -135,39 +154,59 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N) -> Dat
     return _ranked(out, "bm25", top_n)
 
 
+def _sets(asked: list[tuple]) -> Iterator[list[tuple]]:
+    """Queries of one view in sets of at most AT_ONCE, whose words are at most WORDS_AT_ONCE (those of one query may be more)."""
+    some, words = [], set()
+    for q, own in asked:
+        more = words | {k for k, _ in own}
+        if some and (len(some) == AT_ONCE or len(more) > WORDS_AT_ONCE):
+            yield some
+            some, more = [], {k for k, _ in own}
+        some.append((q, own))
+        words = more
+    if some:
+        yield some
+
+
 def _bm25(batches: Iterator[pa.RecordBatch], queries: list[tuple], top_n: int, kind: pa.Schema) -> Iterator[pa.RecordBatch]:
-    by_view = defaultdict(list)
+    by_view, place = defaultdict(list), {}
     for query_id, *view, words in queries:
-        by_view[tuple(view)].append((query_id, words or []))
-    sets = []
-    for (category, entity, province, avgdl), asked in by_view.items():
-        for i in range(0, len(asked), AT_ONCE):
-            some = asked[i : i + AT_ONCE]
-            vocab = sorted({w["token"] for _, words in some for w in words})
-            place, weights = {t: k for k, t in enumerate(vocab)}, np.zeros((len(vocab), len(some)))
-            for j, (_, words) in enumerate(some):
-                for w in words:
-                    weights[place[w["token"]], j] = w["w"]
-            sets.append((category, entity, province, avgdl, [q for q, _ in some], pa.array(vocab, pa.string()), weights, _Best(top_n)))
+        own = [(place.setdefault(w["token"], len(place)), w["w"]) for w in words or []]
+        by_view[tuple(view)].append((query_id, own))
+    vocab, sets = pa.array(list(place), pa.string()), []
+    for view, asked in by_view.items():
+        for some in _sets(asked):
+            words = sorted({k for _, own in some for k, _ in own})
+            local = {k: i for i, k in enumerate(words)}
+            weights = np.zeros((len(words), len(some)))
+            for j, (_, own) in enumerate(some):
+                for k, w in own:
+                    weights[local[k], j] = w
+            sets.append((*view, [q for q, _ in some], np.array(words, np.int64), weights, _Best(top_n)))
+    column = np.zeros(len(place), np.int64)  # of a set's words, where they stand in its weights
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNKS_AT_ONCE):
             some = batch.slice(at, CHUNKS_AT_ONCE)
             ids, category, entity, scope = (some.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             tokens, sizes = some.column(4).flatten(), np.asarray(pc.fill_null(pc.list_value_length(some.column(4)), 0))
-            row = np.repeat(np.arange(len(ids)), sizes)
-            for c, e, p, avgdl, _, vocab, weights, best in sets:
+            word = np.asarray(pc.fill_null(pc.index_in(tokens, value_set=vocab), -1)).astype(np.int64)
+            row = np.repeat(np.arange(len(ids)), sizes)[word >= 0]
+            pair, tf = np.unique(row * max(1, len(place)) + word[word >= 0], return_counts=True)  # looked up and counted once for all sets
+            row, word = pair // max(1, len(place)), pair % max(1, len(place))
+            for c, e, p, avgdl, _, words, weights, best in sets:
                 mine = np.flatnonzero((category == c) & ((entity == "both") | (entity == e)) & ((scope == "national") | ((scope == p) if p is not None else False)))
                 if not len(mine):
                     continue
                 mine = mine[np.argsort(ids[mine], kind="stable")]
-                scores = np.zeros((len(mine), weights.shape[1]))
-                if len(vocab):
-                    word = pc.index_in(tokens, value_set=vocab).to_numpy(zero_copy_only=False)
-                    hit = ~np.isnan(word) if word.dtype.kind == "f" else np.ones(len(word), bool)
-                    tf = np.bincount(row[hit] * len(vocab) + word[hit].astype(np.int64), minlength=len(ids) * len(vocab)).reshape(len(ids), -1)[mine]
-                    norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * sizes[mine] / avgdl)
-                    scores = np.round((tf * (R.BM25_K1 + 1) / (tf + norm[:, None])) @ weights, 9) + 0.0
-                best.add(scores, ids[mine])
+                column[:], column[words] = -1, np.arange(len(words))
+                line = np.full(len(ids), -1)
+                line[mine] = np.arange(len(mine))
+                hit = (line[row] >= 0) & (column[word] >= 0)
+                r, k = line[row[hit]], column[word[hit]]
+                norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * sizes[mine] / avgdl)
+                share = np.zeros((len(mine), len(words)))
+                share[r, k] = tf[hit] * (R.BM25_K1 + 1) / (tf[hit] + norm[r])
+                best.add(np.round(share @ weights, 9) + 0.0, ids[mine])
     for *_, queries_, _, _, best in sets:
         if best.scores is not None and (rows := list(best.rows(queries_))):
             yield pa.RecordBatch.from_pydict(dict(zip(kind.names, map(list, zip(*rows)))), schema=kind)
