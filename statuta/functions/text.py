@@ -131,7 +131,7 @@ def clip01(x: Column) -> Column:
 def lexical_overlap(query: Column, text: Column) -> Column:
     """The share of the query's words that the text holds."""
     terms = F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda t: t != "")
-    held = F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t)))
+    held = let(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
     return F.when(F.size(terms) > 0, F.least(F.lit(1.0), held / F.size(terms))).otherwise(F.lit(0.0))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta import refdata as R
-from statuta.common import small
+from statuta.common import small, stash
 from statuta.functions import citations, classify
 from statuta.functions.text import clip01
+from statuta.operators import facets
 from statuta.operators.consolidation import first_of
 
 
@@ -64,9 +65,12 @@ def gaps(queries: DataFrame, corpus: DataFrame, rows: DataFrame) -> DataFrame:
     )
     empty = corpus.where(~F.coalesce(F.regexp_like("markdown", F.lit(r"(?U)\S")), F.lit(False))).drop("markdown", "structure_json")
     same = queries.withColumn("asked", F.xxhash64(F.coalesce("province", F.lit("\0")), F.to_json("keywords")))
-    asked = same.select("asked", "province", "keywords").dropDuplicates(["asked"])  # questions of one province and the same keywords share their documents
-    may = classify.in_jurisdiction(F.col("scope"), F.col("issuing_authority"), F.col("province")) & ((classify.legal_area_boost(F.col("legal_area"), F.col("keywords")) > 0) | ~classify.is_tagged(F.col("legal_area")))
-    matched = empty.join(small(asked), may).select("asked", "doc_name", "title")
+    asked = stash(same.select("asked", F.col("asked").alias("query_id"), "province", "keywords").dropDuplicates(["asked"]), "asked")  # questions of one province and the same keywords share their documents
+    words = asked.select("asked", F.explode("keywords").alias("k")).select("asked", F.lower("k").alias("term"))
+    placed = facets.areas_of(facets.places_of(empty, facets.provinces_of(asked)), words.select("term")).select("doc_name", "title", "place", "area")
+    areas = words.select("asked", F.col("term").alias("area")).unionByName(asked.select("asked", F.lit(facets.UNTOLD).alias("area")))
+    seen = facets.places_seen(asked).withColumnRenamed("query_id", "asked").join(areas, "asked").distinct()
+    matched = placed.join(small(seen), ["place", "area"]).select("asked", "doc_name", "title").distinct()
     bodyless = matched.join(same.select("asked", "query_id"), "asked").select(
         "query_id", F.lit("null_markdown_match").alias("kind"), "doc_name", "title", F.lit("Without a body, the document is out of reach of any search; it needs review.").alias("reason"), F.col("doc_name").alias("candidate")
     )

@@ -123,7 +123,8 @@ class _Best:
                     yield q, i, s
 
 
-def _ranked(found: DataFrame, score: str, top_n: int) -> DataFrame:
+def ranked(found: DataFrame, score: str, top_n: int) -> DataFrame:
+    """The best of each query, by falling score and then by id, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
@@ -151,7 +152,7 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, top_n: int = R.TOP_N) -> Dat
         sent = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
         part = own.mapInArrow(lambda batches, sent=sent: _bm25(batches, sent.value, top_n, kind), f"query_id {_kind(queries)}, chunk_id string, bm25 double")
         out = part if out is None else out.unionByName(part)
-    return _ranked(out, "bm25", top_n)
+    return ranked(out, "bm25", top_n)
 
 
 def _sets(asked: list[tuple]) -> Iterator[list[tuple]]:
@@ -219,13 +220,13 @@ def vector_top(queries: DataFrame, chunks: DataFrame, top_n: int, embed=hashing_
     """
     vector = F.pandas_udf(lambda texts: pd.Series(list(embed(texts.tolist()))) if len(texts) else pd.Series([], dtype=object), "array<double>")
     asked = stash(queries.select("query_id", "category", vector(F.coalesce("query_text", F.lit(""))).alias("vector")), "query-vectors")
-    own, out = chunks.select("chunk_id", "category", F.coalesce("text", F.lit("")).alias("text")), None
+    own, out = spread(chunks.select("chunk_id", "category", F.coalesce("text", F.lit("")).alias("text"))), None
     for block in _blocks(asked, asked.count()):
         sent = queries.sparkSession.sparkContext.broadcast([(r["query_id"], r["category"], np.array(r["vector"])) for r in block.collect()])
         made = lambda rows: embed(rows["text"].tolist())
         part = own.mapInPandas(lambda batches, sent=sent: _nearest(batches, sent.value, top_n, made), f"query_id {_kind(queries)}, chunk_id string, similarity double")
         out = part if out is None else out.unionByName(part)
-    return _ranked(out, "similarity", top_n)
+    return ranked(out, "similarity", top_n)
 
 
 def nearest_vectors(queries: DataFrame, rows: DataFrame, top_n: int) -> DataFrame:
@@ -238,7 +239,7 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, top_n: int) -> DataFram
         made = lambda rows: np.stack(rows["vector"].to_numpy())
         part = own.mapInPandas(lambda batches, sent=sent: _nearest(batches, sent.value, top_n, made), f"query_id {_kind(queries)}, chunk_id string, similarity double")
         out = part if out is None else out.unionByName(part)
-    return _ranked(out, "similarity", top_n)
+    return ranked(out, "similarity", top_n)
 
 
 def _nearest(batches: Iterator[pd.DataFrame], queries: list[tuple], top_n: int, vectors) -> Iterator[pd.DataFrame]:

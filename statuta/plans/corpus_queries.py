@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statuta import refdata as R
 from statuta.common import stash
 from statuta.functions import citations, classify, segment, text
-from statuta.operators import consolidation, obligations, retrieval
+from statuta.operators import consolidation, facets, obligations
 from statuta.plans import retrieval_queries as R_Q
 from statuta.plans import views as V
 from statuta.registry import query
@@ -181,11 +181,13 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 BEST = 20
 ASKED_SQL = f"""
     kw AS (SELECT item_id AS query_id, n_name AS province, ['thuế', 'lao động'][item_id % 2 + 1] AS keyword FROM benchmark JOIN nation ON item_id % 25 = n_nationkey),
-    chunks AS (SELECT 'd' || doc_id AS chunk_id, 'all' AS category, 'both' AS entity_type, 'national' AS province_scope, text FROM documents WHERE doc_id % 14 <> 0 AND text IS NOT NULL),
-    q AS (SELECT item_id AS query_id, 'all' AS category, text AS query_text, 'individual' AS entity_type, NULL::VARCHAR AS province FROM benchmark), {R_Q.BM25_SQL}, {R_Q.VECTOR_SQL},
+    places AS (SELECT DISTINCT lower(province) AS place FROM kw), bodies AS (SELECT doc_id, scope, lower(issuing_authority) AS authority, text FROM documents JOIN corpus USING (doc_id) WHERE has_body AND text IS NOT NULL),
+    chunks AS (SELECT 'd' || doc_id || chr(31) || '*' AS chunk_id, 'all' AS category, 'both' AS entity_type, 'national' AS province_scope, text FROM bodies WHERE scope = 'trung_uong'
+        UNION ALL SELECT 'd' || doc_id || chr(31) || place, 'all', 'both', place, text FROM bodies JOIN places ON contains(authority, place) WHERE scope = 'dia_phuong'),
+    q AS (SELECT item_id AS query_id, 'all' AS category, text AS query_text, 'individual' AS entity_type, lower(province) AS province FROM benchmark JOIN kw ON query_id = item_id), {R_Q.BM25_SQL}, {R_Q.VECTOR_SQL},
     terms AS (SELECT query_id, list_filter(string_split_regex(lower(query_text), '\\s+'), lambda t: t <> '') AS w FROM q),
-    lex AS (SELECT query_id, chunk_id AS doc_name, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda t: contains(lower(c.text), t))) / len(w) ELSE 0.0 END AS score FROM bm JOIN terms USING (query_id) JOIN chunks c USING (chunk_id) WHERE rank <= {BEST}),
-    vec AS (SELECT query_id, chunk_id AS doc_name, similarity AS score FROM near WHERE rank <= {BEST}),
+    lex AS (SELECT query_id, split_part(chunk_id, chr(31), 1) AS doc_name, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda t: contains(lower(c.text), t))) / len(w) ELSE 0.0 END AS score FROM bm JOIN terms USING (query_id) JOIN chunks c USING (chunk_id) WHERE rank <= {BEST}),
+    vec AS (SELECT query_id, split_part(chunk_id, chr(31), 1) AS doc_name, similarity AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS place FROM near WHERE sees) WHERE place <= {BEST}),
     cand AS (SELECT query_id, doc_name, greatest(coalesce(l.score, 0), 0) AS lexical, CASE WHEN v.score IS NOT NULL THEN greatest(0, least(1, v.score)) END AS embedding FROM lex l FULL JOIN vec v USING (query_id, doc_name))"""
 
 
@@ -197,20 +199,35 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_store(spark: SparkSession, sf_dir: str, questions: DataFrame) -> facets.DocumentStore:
+    corpus = V.corpus(spark, sf_dir).select("doc_id", "doc_name", "scope", "issuing_authority")
+    body = V.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 14 != 0, F.col("text")).alias("text"))
+    return facets.DocumentStore(corpus.join(body, "doc_id").drop("doc_id"), questions)
+
+
 def found(spark: SparkSession, sf_dir: str, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hits and gaps of the questions: candidates are the best documents by words, scored by the share of the question's words that they hold, and by vectors."""
-    corpus = V.corpus(spark, sf_dir)
-    body = V.table(spark, sf_dir, "documents").where("doc_id % 14 <> 0 and text is not null").select(
-        F.concat(F.lit("d"), "doc_id").alias("chunk_id"), F.lit("all").alias("category"), F.lit("both").alias("entity_type"), F.lit("national").alias("province_scope"), "text"
-    )
-    q = questions.select("query_id", F.lit("all").alias("category"), "query_text", F.lit("individual").alias("entity_type"), F.lit(None).cast("string").alias("province"))
-    words = retrieval.bm25_top(q, body, BEST).select("query_id", "chunk_id").join(q.select("query_id", "query_text"), "query_id").join(body.select("chunk_id", "text"), "chunk_id")
-    lex = words.select("query_id", F.col("chunk_id").alias("doc_name"), text.lexical_overlap(F.col("query_text"), F.col("text")).alias("score"))
-    vec = retrieval.vector_top(q, body, BEST).select("query_id", F.col("chunk_id").alias("doc_name"), F.col("similarity").alias("score"))
+    """Hits and gaps of the questions: candidates are the best documents of their jurisdiction by words, scored by the share of the question's words that they hold, and by vectors."""
+    corpus, documents = V.corpus(spark, sf_dir), document_store(spark, sf_dir, questions)
     known = consolidation.consolidate(corpus.select("doc_name", "pointer"), V.refs(spark, sf_dir))
+    lex, vec = documents.search_fulltext(BEST), documents.search_embeddings(BEST)
     return obligations.retrieve_obligations(questions, corpus, stash(lex, "lexical"), stash(vec, "embedding"), stash(known, "consolidated"))
 
 
+@query(
+    "s15_document_store",
+    f"""WITH {V.CORPUS_SQL}, {ASKED_SQL},
+    inside AS (SELECT query_id, count(*) AS n, md5(string_agg(doc_name, ',' ORDER BY doc_name)) AS names FROM corpus, kw WHERE scope = 'trung_uong' OR (scope = 'dia_phuong' AND contains(lower(issuing_authority), lower(province))) GROUP BY 1)
+    SELECT query_id, 'inside' AS source, names AS doc_name, CAST(n AS DOUBLE) AS score FROM inside UNION ALL SELECT query_id, 'words', doc_name, round(score, 9) FROM lex UNION ALL SELECT query_id, 'vectors', doc_name, score FROM vec""",
+)
+def document_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each question, how many documents its jurisdiction has and which, and the best of these by words and by vectors."""
+    documents = document_store(spark, sf_dir, asked(spark, sf_dir))
+    listed = documents.by_jurisdiction().groupBy("query_id").agg(F.count("*").cast("double").alias("score"), F.md5(F.array_join(F.array_sort(F.collect_list("doc_name")), ",")).alias("doc_name"))
+    parts = {"inside": listed, "words": documents.search_fulltext(BEST).withColumn("score", F.round("score", 9)), "vectors": documents.search_embeddings(BEST)}
+    rows = [df.select("query_id", F.lit(name).alias("source"), "doc_name", "score") for name, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 ROWS_SQL = f"""
     rows AS (SELECT c.query_id, c.doc_name AS candidate, e.doc_name, e.title, k.chain, k.unresolved, CAST({RANK_SQL.replace("doc_type", "e.doc_type").replace("scope", "e.scope")} AS INT) AS hierarchy_rank,
         round(0.30 * CASE WHEN e.scope = 'trung_uong' OR (e.scope = 'dia_phuong' AND contains(lower(e.issuing_authority), lower(w.province))) THEN 1.0 ELSE 0.0 END + 0.20 * c.lexical + 0.20 * coalesce(c.embedding, 0)
