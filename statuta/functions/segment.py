@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,30 @@ def html_to_lines(html: Column, inline_join: bool = False) -> Column:
     return F.array_join(lines, "\n")
 
 
-def content_region(html: Column, tag: str) -> Column:
-    """What stands in the first element of a tag; null where there is none. It stands for a content selector."""
-    found = F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    return F.when(F.regexp_like(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>")), found)
+def content_region(html: Column, tag: str, attribute: str | None = None, value: str | None = None) -> Column:
+    """What stands in the first element of a tag, with all that is nested in it; null where there is none. It stands for a content selector.
+
+    attribute, value: the first element of that tag whose attribute holds the value as one of its words. The page is cut at the tags of that name,
+    and a fold over the parts counts the depth: from the opening tag on, until as many have closed as opened; an element
+    that nothing closes goes to the end of the page. Tags in comments don't count. Of scripts' texts nothing is known.
+    """
+    name = re.escape(tag)
+    parts = F.split(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), rf"(?i)(?=</?{name}(?:[\s>]|/>))", -1)
+    opens, closes = (lambda x, end=end: F.regexp_like(x, F.lit(rf"(?is)^<{end}{name}\s*(?:>|\s[^>]*>)")) for end in ("", "/"))
+    alone = lambda x: F.regexp_like(x, F.lit(rf"(?is)^<{name}(?:\s[^>]*)?/>"))
+    wanted = opens
+    if attribute is not None:
+        held = rf"""(?is)^<{name}\s(?:[^>]*\s)?{re.escape(attribute)}\s*=\s*(?:"(?:[^"]*\s)?{re.escape(value)}(?:\s[^"]*)?"|'(?:[^']*\s)?{re.escape(value)}(?:\s[^']*)?'|{re.escape(value)}(?=[\s>]))"""
+        wanted = lambda x: opens(x) & F.regexp_like(x, F.lit(held))
+    state = "struct<depth:int,done:boolean>"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        depth = at["depth"] + F.when(at["done"] | alone(x), 0).when((at["depth"] > 0) & opens(x) | (at["depth"] == 0) & wanted(x), 1).when((at["depth"] > 0) & closes(x), -1).otherwise(0)
+        inside = F.when(at["depth"] > 0, F.when(depth > 0, x).otherwise("")).when(depth > 0, F.regexp_replace(x, r"(?s)^<[^>]*>", ""))  # without the region's own tags
+        return F.struct(depth.alias("depth"), (at["done"] | ((at["depth"] > 0) & (depth == 0))).alias("done")), inside
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"))
+    return let(scan(parts, state, "string", start, step), lambda found: F.when(F.exists(found, lambda x: x.isNotNull()), F.array_join(found, "")))
 
 
 def guess_title(text: Column) -> Column:

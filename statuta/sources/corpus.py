@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ DETAIL = (
     "id string, docId string, docNum string, docNumber string, title string, docName string, name string, effStatus string, effectStatus string, effFrom string, "
     "effectiveFrom string, effTo string, effectiveTo string, documentContent struct<content:string>, content string"
 )
+SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9-]*)(?:([.#])([\w-]+))?")
+REGIONS = 200
 META = ["law_name", "category", "entity_type", "province_scope", "effective_from", "effective_to", "source_url"]
 
 
@@ -77,11 +81,18 @@ def documents_of_details(fields: DataFrame, overrides: DataFrame | None = None,
 
 
 def documents_of_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """pages: url, html. specs: url, doc_id and, each may be null, region (a tag), title, category, law_name, entity_type, province_scope, effective_from, effective_to."""
-    rows = pages.join(specs, "url")
-    region = F.lit(None).cast("string")
-    for tag in ("article", "main", "body", "section", "div"):
-        region = F.when(F.col("region") == tag, segment.content_region(F.col("html"), tag)).otherwise(region)
+    """pages: url, html. specs: url, doc_id and, each may be null, region (a tag, tag.class or tag#id), title, category, law_name, entity_type, province_scope, effective_from, effective_to.
+
+    specs name few different regions, REGIONS at most; a region that is none of these forms gives no document.
+    """
+    rows, region = pages.join(specs, "url"), F.lit(None).cast("string")
+    named = [r["region"] for r in specs.select("region").where("region is not null").distinct().limit(REGIONS + 1).collect()]
+    if len(named) > REGIONS:
+        raise ValueError(f"more than {REGIONS} different regions")
+    for name in named:
+        if told := SELECTOR.fullmatch(name):
+            tag, kind, value = told.groups()
+            region = F.when(F.col("region") == name, segment.content_region(F.col("html"), tag, {".": "class", "#": "id"}.get(kind), value)).otherwise(region)
     rows = rows.withColumn("raw_text", segment.html_to_lines(F.when(F.col("region").isNull(), F.col("html")).otherwise(region))).where("raw_text <> ''")
     rows = rows.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), segment.guess_title(F.col("raw_text"))))
     return rows.select(

@@ -171,3 +171,46 @@ def test_segmentation_moves_no_text(spark):
     got = chunks.orderBy(F.col("article_number").cast("int"), "part_index").collect()
     assert [(r.chunk_id, r.chapter_number) for r in got] == [(f"a:dieu{k}:part{p}", str(k // 50 + 1)) for k in range(1, 3000) for p in (0, 1)]
     assert got[0].text == "Điều 1. heading 1\n1. " + "x" * 800 and got[0].province_scope == "national" and got[0].effective_to == ""
+
+
+def plain_region(html, tag, attribute=None, value=None):
+    """By a stack over all tags of that name."""
+    import re
+
+    html = re.sub(r"(?s)<!--.*?-->", "", html)
+    depth = 0
+    for m in re.finditer(rf"(?is)<(/?){tag}((?:\s[^>]*?)?)(/?)>", html):
+        if depth == 0 and not m.group(1) and not m.group(3):
+            held = re.search(rf"""(?i)\s{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", m.group(2)) if attribute else None
+            if attribute is None or held and value in next(g for g in held.groups() if g is not None).split():
+                depth, start = 1, m.end()
+        elif depth and not m.group(3):
+            depth += -1 if m.group(1) else 1
+            if depth == 0:
+                return html[start : m.start()]
+    return html[start:] if depth else None
+
+
+def test_regions_with_nested_elements(spark):
+    rng = random.Random(12)
+    pieces = ["<div>", "</div>", '<div class="a main b">', "<DIV id='main'>", "</div >", "<divx>", "<div/>", "text ", "<p>x</p>", "<!-- <div> -->", "\n", '<div data-class="main">']
+    pages = ["<div>one<div>two</div>three</div>four", "none", "", "<div>open", "<p><div class='main'>a<div>b</div>c</div>d</p>"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    rows = spark.createDataFrame([(p,) for p in pages], "html string").select(
+        "html", segment.content_region(F.col("html"), "div").alias("first"), segment.content_region(F.col("html"), "div", "class", "main").alias("named"), segment.content_region(F.col("html"), "div", "id", "main").alias("id"),
+    )
+    for r in rows.collect():
+        assert r["first"] == plain_region(r.html, "div"), r.html
+        assert r.named == plain_region(r.html, "div", "class", "main"), r.html
+        assert r.id == plain_region(r.html, "div", "id", "main"), r.html
+
+
+def test_page_documents_by_class_and_id(spark):
+    from statuta.sources import corpus
+
+    html = '<html><body><div class="top">menu</div><div class="x main"><p>Law one</p><div>two</div>three</div><div id="foot">end</div></body></html>'
+    pages = spark.createDataFrame([(f"u{k}", html) for k in range(6)], "url string, html string")
+    regions = [None, "div.main", "div#foot", "div", "a b c", "div.none"]
+    kinds = "url string, doc_id string, region string, title string, category string, law_name string, entity_type string, province_scope string, effective_from string, effective_to string"
+    specs = spark.createDataFrame([(f"u{k}", f"d{k}", r, *[None] * 7) for k, r in enumerate(regions)], kinds)
+    got = {r.doc_id: r.raw_text for r in corpus.documents_of_pages(pages, specs).collect()}
+    assert got == {"d0": "menu\nLaw one\ntwo\nthree\nend", "d1": "Law one\ntwo\nthree", "d2": "end", "d3": "menu"}
