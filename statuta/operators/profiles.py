@@ -87,6 +87,38 @@ def remove_users(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     return [t.join(gone.select("user_id"), "user_id", "left_anti") for t in tables]
 
 
+#: What each table's rows hang on: the table and its column, and the own column that names it.
+BELONGS = {"users": None, "profiles": ("users", "user_id", "user_id"), "history": ("profiles", "user_id", "user_id"), "traits": ("profiles", "user_id", "user_id"), "items": ("users", "user_id", "user_id")}
+
+
+def removed_with(tables: dict[str, DataFrame], gone: DataFrame, root: str = "users", belongs: dict = BELONGS) -> dict[str, DataFrame]:
+    """The tables without the rows of `gone` (a key of the root table) and without all that hangs on these, from table to table."""
+    keys, out = {root: gone.distinct()}, {}
+    for name, link in belongs.items():  # a table stands after that which it hangs on
+        if name == root:
+            out[name] = tables[name].join(keys[name], keys[name].columns, "left_anti")
+        elif link and link[0] in keys:
+            parent, key, own = link
+            lost = keys[parent].select(F.col(key).alias(own)).distinct()
+            out[name] = tables[name].join(lost, own, "left_anti")
+            further = {child[1] for child in belongs.values() if child and child[0] == name}
+            if further:
+                keys[name] = tables[name].join(lost, own, "left_semi").select(*sorted(further)).distinct()
+    return tables | out
+
+
+def left_behind(tables: dict[str, DataFrame], belongs: dict = BELONGS) -> DataFrame:
+    """table_name and n, the rows that hang on nothing: none where all was removed that had to be. A null key hangs on nothing, too."""
+    every = None
+    for name, link in belongs.items():
+        if link:
+            parent, key, own = link
+            lone = tables[name].join(tables[parent].select(F.col(key).alias(own)).distinct(), own, "left_anti")
+            lone = lone.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+            every = lone if every is None else every.unionByName(lone)
+    return every
+
+
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that come more than once, with their count: none in a sound table."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

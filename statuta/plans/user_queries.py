@@ -189,6 +189,25 @@ def profile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).withColumn("changed_fields", F.array_join("changed_fields", ",")).drop("ts")
 
 
+@query(
+    "h9_removed_users",
+    f"""WITH {V.PROFILES_SQL}, {HISTORY_SQL}, {TRAITS_SQL}, {ITEMS_SQL}, known AS (SELECT user_id FROM profiles)
+    SELECT 'users' AS table_name, user_id, count(*) AS n FROM profiles WHERE user_id % 7 <> 0 GROUP BY 2 UNION ALL SELECT 'profiles', user_id, count(*) FROM profiles WHERE user_id % 7 <> 0 GROUP BY 2
+    UNION ALL SELECT 'history', user_id, count(*) FROM history WHERE user_id % 7 <> 0 GROUP BY 2 UNION ALL SELECT 'traits', user_id, count(*) FROM traits WHERE user_id % 7 <> 0 GROUP BY 2
+    UNION ALL SELECT 'items', user_id, count(*) FROM items JOIN known USING (user_id) WHERE user_id % 7 <> 0 GROUP BY 2 UNION ALL SELECT 'left behind', NULL, 0""",
+)
+def removed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: users removed with all that hangs on them; the rows left by table and user, and how many of any table hang on nothing."""
+    p = V.profiles(spark, sf_dir)
+    own = items(spark, sf_dir).join(p.select("user_id"), "user_id", "left_semi")
+    tables = {"users": p.select("user_id", "username"), "profiles": p, "history": history(spark, sf_dir), "traits": profiles.trait_rows(p), "items": own}
+    left = profiles.removed_with(tables, p.where("user_id % 7 = 0").select("user_id"))
+    out = profiles.left_behind(left).agg(F.lit("left behind").alias("table_name"), F.lit(None).cast("long").alias("user_id"), F.sum("n").alias("n"))
+    for name, rows in left.items():
+        out = out.unionByName(rows.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "user_id", "n"))
+    return out
+
+
 @query("h3_current_profiles", f"WITH {V.PROFILES_SQL}, {HISTORY_SQL} SELECT user_id, CAST(max(version) AS INT) AS version, arg_max({{'v': age}}, version).v AS age, arg_max({{'v': occupation_type}}, version).v AS occupation_type FROM history GROUP BY 1")
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H3: each profile as it is."""
