@@ -7,6 +7,7 @@ n-grams; ties are in order of code points, so the result depends on the rows alo
 Defined cases: null or letterless texts, or no learned language at all, give `und` and score 0; rows
 of null language teach nothing; equal distances give the first language by name; repeated rows count
 each time; an empty table gives no rows. Texts are counted whole, in pieces of bounded size; a long text is cut into several.
+Extra columns don't matter, since prediction works on a column and learning reads text and lang alone.
 """
 
 from __future__ import annotations

@@ -215,7 +215,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Defined cases: null, empty and wordless texts have fingerprint 0, which links like any other; repeated
     rows come out as often; a null doc_id is passed over in the minimum, and a component of nothing else
-    has a null id; an empty table gives no rows.
+    has a null id; an empty table gives no rows; texts of any length are hashed whole; extra columns are
+    not read, whatever their names.
     """
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     least = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")

@@ -13,7 +13,8 @@ task and not the driver holds the table, and a frequent context is one row of a
 
 Defined cases: a null url or one without `://` has an empty host and path, and the method judges its empty
 text, which scores 0; with no labelled URL of either kind every score is 0 and the verdict is allow; repeated
-rows are judged alike and counted each time; an empty table gives no rows.
+rows are judged alike and counted each time; an empty table gives no rows; urls of any length are counted and scored
+whole; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations

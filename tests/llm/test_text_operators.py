@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, periodic, queries, spelling
+from statuta.llm import chat, periodic, queries, simhash, spelling, urlfilter
 
 DOCS = "doc_id long, text string, runs string, word string, n long, p int"
 
@@ -247,3 +247,20 @@ def test_digests_of_conversations(spark, monkeypatch):
     assert sizes == [(0, 1024), (1, 1024), (2, 452)]
     none = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat.digests(chat.format_conversations(none.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))).count() == 0
+
+
+def test_urls_and_fingerprints_beside_other_columns_and_long_texts(spark):
+    names = "host string, path string, rule string, verdict string, score double, n long, gram string, fp long, least long, node long"
+    rest = ("x", "y", "z", "w", 1.0, 2, "g", 3, 4, 5)
+    long = "http://www.example.net/" + "seg/" * 30_000
+    urls = ["http://a.com/x", "http://example.com/en/1", long, None, "no url", "http://b.net/es/1", "http://a.com/x"]
+    rules = [urlfilter.UrlRule("allow", "com/"), urlfilter.UrlRule("block", "example.com/en/"), urlfilter.UrlRule("block", "net/es/")]
+    plain = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    wide = spark.createDataFrame([(i, u, *rest) for i, u in enumerate(urls)], f"page_id long, url string, {names}")
+    one, two = (sorted(map(tuple, urlfilter.judge(x, rules).collect()), key=repr) for x in (plain, wide))
+    assert one == two and len(one) == len(urls) and {r[2] for r in one if r[0] == 2} == {long.removeprefix("http://www.example.net")}
+    texts = ["a b c d e f", "word " * 200_000, None, "", "a b c d e f"]
+    plain = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    wide = spark.createDataFrame([(i, t, *rest) for i, t in enumerate(texts)], f"doc_id long, text string, {names}")
+    one, two = (sorted(map(tuple, simhash.simhash_components(x).collect())) for x in (plain, wide))
+    assert one == two and len(one) == len(texts) and one[0][1:] == one[4][1:]
