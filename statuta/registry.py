@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules whose queries register themselves."""
-    from statuta.plans import corpus_queries, lifecycle_queries, retrieval_queries, user_queries  # noqa: F401
+    from statuta.plans import corpus_queries, incremental_queries, lifecycle_queries, retrieval_queries, user_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,4 @@
-"""Incremental runs: files and change feeds that arrive, applied once."""
+"""Incremental ingest: files that arrive, applied once; what fails is put aside and taken up again."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from statuta.operators import profiles
 from statuta.sources import corpus
 from statuta.sources.store import ChunkStore
 
@@ -45,29 +44,3 @@ def retry(spark: SparkSession, quarantine: str, store: ChunkStore, mended: DataF
     held = spark.read.parquet(quarantine).drop("batch", "reason").dropDuplicates(["doc_name"])
     new = mended.join(held.select("doc_name"), "doc_name", "left_semi")
     return apply_rows(new.unionByName(held.join(new.select("doc_name"), "doc_name", "left_anti")), store, overrides)
-
-
-def profile_stream(changes: DataFrame, base: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """A feed of profile changes to versions of the history; base holds the profiles at version 1.
-
-    Each batch adds its new versions (`history/batch=N`) and writes the state after it, a row a user (`state/N`), from
-    which the next goes on; earlier batches are not read again. A batch that comes again is written again alike. The
-    changes of a user are taken in the order of their times within a batch, and one that comes late counts when it comes.
-    """
-    spark = base.sparkSession
-    fields = [f for f in profiles.FIELDS if f in base.columns]
-
-    def apply(batch: DataFrame, number: int) -> None:
-        if number:
-            state = spark.read.parquet(f"{out}/state/{number - 1}")
-        else:
-            state = base.select("user_id", F.lit(1).alias("version"), *fields)
-        fold = profiles.apply_changes(state.select("user_id", *fields), batch, fields)
-        told = fold.join(state.select("user_id", F.col("version").alias("at")), "user_id")
-        first = F.col("version") > 1 if number else F.lit(True)  # the state itself is a version of its own only at the start
-        new = told.where(first).withColumn("version", F.col("version") + F.col("at") - 1).drop("at")
-        new.write.mode("overwrite").parquet(f"{out}/history/batch={number}")
-        last = profiles.current(spark.read.parquet(f"{out}/history/batch={number}")).select("user_id", "version", *fields)
-        state.join(last, "user_id", "left_anti").unionByName(last).write.mode("overwrite").parquet(f"{out}/state/{number}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

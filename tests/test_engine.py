@@ -260,16 +260,6 @@ def test_streams_resume(spark):
     assert [r.reason for r in spark.read.parquet(root + "/bad").collect()] == ["body"]
     still = ingest.retry(spark, root + "/bad", store, spark.createDataFrame([row("b", "Điều 1. now"), row("zz", "Điều 1. not asked for")], corpus.CORPUS))
     assert still.count() == 0 and store.count() == 4
-    base = spark.createDataFrame([("u", 1)], "user_id string, age int")
-    schema = "user_id string, ts timestamp, changes map<string,string>"
-    rest = [F.lit(None).cast("string").alias(f) for f in profiles.FIELDS if f != "age"]
-    base = base.select("*", *rest)
-    for k, age in ((1, "2"), (2, "2"), (3, "5")):
-        spark.createDataFrame([("u", dt.datetime(2024, 1, k), {"age": age})], schema).write.mode("append").parquet(root + "/feed")
-        ingest.profile_stream(spark.readStream.schema(schema).parquet(root + "/feed"), base, root + "/out", root + "/ck2").awaitTermination()
-    last = spark.read.parquet(root + "/out/history")
-    assert spark.read.parquet(root + "/out/history/batch=1").count() == 0 and spark.read.parquet(root + "/out/history/batch=2").count() == 1
-    assert [(r.version, r.age) for r in last.orderBy("version").collect()] == [(1, 1), (2, 2), (3, 5)]
 
 
 def test_sources(spark):
