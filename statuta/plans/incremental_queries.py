@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from statuta.common import fresh_path, stash
 from statuta.operators import profiles
+from statuta.plans import corpus_queries as C
+from statuta.plans import lifecycle_queries as L
 from statuta.plans import user_queries as U
 from statuta.plans import views as V
 from statuta.registry import query
-from statuta.streaming import feed
+from statuta.sources import corpus as S
+from statuta.sources.store import ChunkStore
+from statuta.streaming import feed, ingest
 
 _EVERY = "'" + ",".join(profiles.FIELDS) + "'"
 
@@ -40,3 +44,36 @@ def profile_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = feed.traits(spark, out).groupBy("user_id", "version").agg(F.md5(F.array_join(F.array_sort(F.collect_set("tag")), ",")).alias("tags"))
     rows = feed.history(spark, out).join(tags, ["user_id", "version"], "left")
     return rows.select("user_id", "version", F.array_join("changed_fields", ",").alias("changed_fields"), "age", "dependents", "occupation_type", "tags")
+
+
+_BODY = "has_body AND coalesce(len(l), 0) > 0"
+_KIND = C.USABLE.split(" AND ")[-1]
+
+
+@query(
+    "r1_resumable_ingest",
+    f"""{L.STORED_SQL}, k AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1),
+    r AS (SELECT doc_id, doc_name, CASE WHEN NOT ({_BODY}) THEN 'body' WHEN NOT ({_KIND}) THEN 'type' END AS reason, NOT ({_BODY}) AND doc_id % 28 = 0 AS mended, {_KIND} AS kind FROM corpus)
+    SELECT doc_name, CASE WHEN reason IS NULL THEN 1 ELSE 2 END AS attempt, CASE WHEN mended AND kind THEN NULL WHEN mended THEN 'type' ELSE reason END AS reason, coalesce(n, CASE WHEN mended AND kind THEN 1 ELSE 0 END) AS n_chunks
+    FROM r LEFT JOIN k USING (doc_id) UNION ALL SELECT 'versions by the run after it', NULL, NULL, 0""",
+)
+def resumable_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of ingest over files that arrive one after the other, a try of what failed with some bodies mended, and a run that finds nothing to do."""
+    rows = V.corpus(spark, sf_dir)
+    names = [f.split()[0] for f in S.CORPUS.split(", ")]
+    to, store, letters, checkpoint = (fresh_path(spark, f"ingest-{x}") for x in ("in", "store", "letters", "checkpoint"))
+    kept = ChunkStore(spark, store)
+    run = lambda: ingest.ingest_stream(spark, to, checkpoint, kept, letters).awaitTermination()
+    for k in range(2):
+        rows.where(F.col("doc_id") % 2 == k).select(*(n for n in names if n in rows.columns)).write.mode("append").parquet(to)
+        run()
+    every = spark.read.schema(S.CORPUS).parquet(to)
+    bad = every.where((S.refusal() == "body") & (F.substring("doc_name", 2, 20).cast("long") % 28 == 0)).withColumn("markdown", F.lit("Điều 1. mended"))
+    left = ingest.retry(spark, letters, kept, bad, "mended").select("doc_name", "reason")
+    before = len(kept.versions())
+    run()
+    tried = spark.read.parquet(letters).groupBy("doc_name").agg(F.max("attempt").alias("attempt"))
+    chunks = kept.chunks().groupBy(F.regexp_replace("document_id", "^vbpl-hf-", "").alias("doc_name")).agg(F.count("*").alias("n_chunks"))
+    out = every.select("doc_name").join(tried, "doc_name", "left").join(left, "doc_name", "left").join(chunks, "doc_name", "left")
+    out = out.select("doc_name", F.coalesce("attempt", F.lit(1)).alias("attempt"), "reason", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    return out.unionByName(spark.createDataFrame([("versions by the run after it", None, None, len(kept.versions()) - before)], "doc_name string, attempt int, reason string, n_chunks long"))

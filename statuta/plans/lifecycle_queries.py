@@ -18,7 +18,7 @@ from statuta.sources import corpus as S
 from statuta.sources import store
 
 # What is in the store after three writes and a delete: documents of other numbers first, all of them with changed articles last.
-_STORED = f"""WITH {V.CORPUS_SQL}, {C.ARTICLES_SQL},
+STORED_SQL = f"""WITH {V.CORPUS_SQL}, {C.ARTICLES_SQL},
     c AS (SELECT 'vbpl-hf-' || doc_name || ':dieu' || n || CASE WHEN split THEN ':part' || part_index ELSE '' END AS chunk_id, doc_id, 'vbpl-hf-' || doc_name AS document_id, n,
         {C.CATEGORY_SQL.replace("x)", f"CASE WHEN {C.TAGGED} THEN legal_area || ' ' || title ELSE title END)")} AS category, texts[part_index + 1] AS text FROM expected)"""
 
@@ -36,7 +36,7 @@ def _written(spark: SparkSession, sf_dir: str) -> tuple[store.ChunkStore, list[d
 
 @query(
     "s8_chunk_store",
-    f"""{_STORED} SELECT chunk_id, document_id, category, sha256(text || CASE WHEN n % 5 = 0 THEN ' (revised)' ELSE '' END) AS content_hash, category = 'tax' AS by_category, doc_id % 10 = 1 AS got FROM c WHERE doc_id % 3 <> 0""",
+    f"""{STORED_SQL} SELECT chunk_id, document_id, category, sha256(text || CASE WHEN n % 5 = 0 THEN ' (revised)' ELSE '' END) AS content_hash, category = 'tax' AS by_category, doc_id % 10 = 1 AS got FROM c WHERE doc_id % 3 <> 0""",
 )
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table after a write, the same write again, one with changes, and the removal of documents; read whole, by category and by id."""
@@ -51,7 +51,7 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a7_store_counters",
-    f"""{_STORED}, k AS (SELECT count(*) FILTER (doc_id % 4 <> 0) AS first, count(*) FILTER (doc_id % 4 = 0 OR n % 5 = 0) AS changed, count(*) AS every, count(*) FILTER (doc_id % 3 <> 0) AS kept FROM c)
+    f"""{STORED_SQL}, k AS (SELECT count(*) FILTER (doc_id % 4 <> 0) AS first, count(*) FILTER (doc_id % 4 = 0 OR n % 5 = 0) AS changed, count(*) AS every, count(*) FILTER (doc_id % 3 <> 0) AS kept FROM c)
     SELECT 1 AS step, first AS written, 0 AS skipped, first AS total FROM k UNION ALL SELECT 2, 0, first, first FROM k UNION ALL SELECT 3, changed, every - changed, every FROM k UNION ALL SELECT 4, 0, kept, kept FROM k""",
 )
 def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,10 +101,16 @@ def documents_of_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     )
 
 
+def refusal(excluded: list[str] = R.EXCLUDED_DOC_TYPES) -> Column:
+    """Why a row makes no document: no body, no title, no name, or an excluded type (a null type isn't); null where it makes one."""
+    body = F.coalesce(F.regexp_like("markdown", F.lit(r"(?U)\S")), F.lit(False))
+    missing = F.when(~body, "body").when(F.coalesce("title", F.lit("")) == "", "title").when(F.coalesce("doc_name", F.lit("")) == "", "name")
+    return missing.when(F.coalesce("doc_type", F.lit("")).isin(excluded), "type")
+
+
 def usable(corpus: DataFrame, excluded: list[str] = R.EXCLUDED_DOC_TYPES) -> DataFrame:
     """Rows with a body, a title and a name whose type isn't excluded; a null type stays."""
-    body = F.coalesce(F.regexp_like("markdown", F.lit(r"(?U)\S")), F.lit(False))
-    return corpus.where(body & (F.coalesce("title", F.lit("")) != "") & (F.coalesce("doc_name", F.lit("")) != "") & ~F.coalesce("doc_type", F.lit("")).isin(excluded))
+    return corpus.where(refusal(excluded).isNull())
 
 
 def law_name(legal_type: Column, numbers: Column, title: Column) -> Column:

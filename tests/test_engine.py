@@ -257,9 +257,11 @@ def test_streams_resume(spark):
     run()
     run()
     assert store.count() == 3
-    assert [r.reason for r in spark.read.parquet(root + "/bad").collect()] == ["body"]
-    still = ingest.retry(spark, root + "/bad", store, spark.createDataFrame([row("b", "Điều 1. now"), row("zz", "Điều 1. not asked for")], corpus.CORPUS))
-    assert still.count() == 0 and store.count() == 4
+    assert [(r.reason, r.attempt) for r in ingest.open_letters(spark, root + "/bad").collect()] == [("body", 1)]
+    mended = spark.createDataFrame([row("b", "Điều 1. now"), row("zz", "Điều 1. not asked for")], corpus.CORPUS)
+    assert ingest.retry(spark, root + "/bad", store, mended, "first").count() == 0 and store.count() == 4
+    assert ingest.retry(spark, root + "/bad", store, mended, "first").count() == 0 and ingest.retry(spark, root + "/bad", store, mended, "second").count() == 0
+    assert store.count() == 4 and spark.read.parquet(root + "/bad").where("run = 'second'").count() == 0
 
 
 def test_sources(spark):
