@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.common import fresh_path, stash
-from statuta.operators import profiles
+from statuta.operators import profiles, retrieval
 from statuta.plans import corpus_queries as C
 from statuta.plans import lifecycle_queries as L
 from statuta.plans import user_queries as U
 from statuta.plans import views as V
 from statuta.registry import query
 from statuta.sources import corpus as S
+from statuta.sources import models
 from statuta.sources.store import ChunkStore
 from statuta.streaming import feed, ingest
 
@@ -77,3 +81,44 @@ def resumable_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = every.select("doc_name").join(tried, "doc_name", "left").join(left, "doc_name", "left").join(chunks, "doc_name", "left")
     out = out.select("doc_name", F.coalesce("attempt", F.lit(1)).alias("attempt"), "reason", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
     return out.unionByName(spark.createDataFrame([("versions by the run after it", None, None, len(kept.versions()) - before)], "doc_name string, attempt int, reason string, n_chunks long"))
+
+
+MODEL = "e5-of-word-shapes"
+
+
+def word_shapes():
+    """A model that needs no training: counts of words of Latin letters by first letter and length, in 64 buckets."""
+    word = re.compile("[A-Za-z]+")
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 64))
+        for i, x in enumerate(texts):
+            np.add.at(out[i], [(ord(w[0]) * 7 + len(w)) % 64 for w in word.findall(x)], 1)
+        return out
+
+    return encode
+
+
+_SHAPES = lambda rel, key, text: f"""(SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM (SELECT {key}, (ascii(t) * 7 + length(t)) % 64 AS bucket, count(*) AS n
+        FROM (SELECT {key}, unnest(regexp_extract_all({text}, '[A-Za-z]+')) AS t FROM {rel}) GROUP BY 1, 2))"""
+
+
+@query(
+    "x7_model_search",
+    f"""{L.STORED_SQL}, cv AS MATERIALIZED {_SHAPES("c", "chunk_id", "'passage: ' || text")}, qv AS MATERIALIZED {_SHAPES("benchmark", "item_id", "'query: ' || coalesce(text, '')")},
+    s AS (SELECT item_id, chunk_id, round(sum(cv.w * qv.w), 9) AS similarity FROM cv JOIN qv USING (bucket) GROUP BY 1, 2),
+    p AS (SELECT item_id AS query_id, c.chunk_id, coalesce(similarity, 0) AS similarity FROM benchmark CROSS JOIN c LEFT JOIN s USING (item_id, chunk_id)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INT) AS rank FROM p)
+    SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""",
+)
+def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks embedded by a model as the store takes them up, those of every fourth document later; the five nearest of each question by the vectors stored."""
+    chunks = stash(S.chunks_of(C.documents(spark, sf_dir)), "chunks")
+    kept = ChunkStore(spark, fresh_path(spark, "vector-store"), embed=models.embed_column(word_shapes, MODEL))
+    kept.upsert(chunks.where(F.regexp_extract("document_id", r"(\d+)$", 1).cast("long") % 4 != 0))
+    kept.upsert(chunks)
+    none = F.lit(None).cast("string").alias("category")
+    asked = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), none, "text")
+    asked = models.embed_column(word_shapes, MODEL, task="query")(asked).withColumnRenamed("embedding", "vector")
+    found = retrieval.nearest_vectors(stash(asked.drop("text"), "query-vectors"), kept.chunks().select("chunk_id", none, F.col("embedding").alias("vector")), 5)
+    return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")

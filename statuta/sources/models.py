@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -14,18 +14,21 @@ from statuta.functions.text import hashing_vectors, nfc, task_prompt
 
 
 def embed_column(make: Callable[[], Callable[[list[str]], np.ndarray]], model: str = "", task: str = "passage", batch: int = 64) -> Callable[[DataFrame], DataFrame]:
-    """A step that adds `embedding` to rows with `text`. make gives the model once a task; texts are in form C, with the model's prefix, and vectors of unit length."""
+    """A step that adds `embedding` to rows with `text`. make loads the model, once a Python worker, however many tasks that runs; texts come
+    in batches, in form C with the model's prefix, a null one empty, and vectors get unit length (all zero stays)."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def load() -> Callable[[np.ndarray], np.ndarray]:
         encode = make()
-        for x in texts:
-            parts = [np.asarray(encode(x.iloc[i : i + batch].fillna("").tolist()), float) for i in range(0, len(x), batch)]
-            out = np.concatenate(parts) if parts else np.zeros((0, 0))
-            size = np.linalg.norm(out, axis=1, keepdims=True) if out.size else out
-            yield pd.Series(list(out / np.where(size > 0, size, 1)) if out.size else [], dtype=object)
-
-    udf = F.pandas_udf(run, ArrayType(DoubleType()))
-    return lambda rows: rows.withColumn("embedding", udf(task_prompt(model, nfc("text"), task)))
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            out = np.asarray(encode(list(texts)), float)
+            size = np.linalg.norm(out, axis=1, keepdims=True)
+            return out / np.where(size > 0, size, 1)
+
+        return predict
+
+    udf = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch)
+    return lambda rows: rows.withColumn("embedding", udf(task_prompt(model, nfc(F.coalesce("text", F.lit(""))), task)))
 
 
 #: The embedder that needs no model.
