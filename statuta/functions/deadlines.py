@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _days(year: Column, month: Column) -> Column:
+    return F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+
+
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """Null for a day that the month doesn't have."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """Null for a day that the month doesn't have, a month that the year doesn't have, and years beyond four digits."""
+    known = year.between(1, 9999) & month.between(1, 12) & (day >= 1)
+    return F.when(known, F.when(day <= _days(year, month), F.make_date(year, month, day)))
 
 
 def fixed(month: Column, day: Column, today: Column) -> Column:
@@ -19,14 +24,17 @@ def fixed(month: Column, day: Column, today: Column) -> Column:
 
 
 def recurring(month: Column, day: Column, period: Column, today: Column, months: int = 120) -> Column:
-    """The first day from today on, a period after another, from the anchor month of this year."""
+    """The first day from today on, a period after another, from the anchor month of this year. Which step that is follows from the months between;
+    of the steps before it, only those of a day that some months lack are looked at."""
     anchor = F.coalesce(F.nullif(month, F.lit(0)), F.lit(1)) - 1
-    at = lambda k: _date(F.year(today) + F.floor((anchor + k) / 12).cast("int"), F.pmod(anchor + k, F.lit(12)) + 1, day)
-    steps = F.sequence(F.lit(0), F.lit(months), F.when(period > 0, period).otherwise(1))
+    step = F.when(period > 0, period).otherwise(1)
+    year = lambda k: F.year(today) + F.floor((anchor + k) / 12).cast("int")
+    at = lambda k: _date(year(k), F.pmod(anchor + k, F.lit(12)) + 1, day)
+    least = F.month(today) - 1 + F.when(day < F.dayofmonth(today), 1).otherwise(0)  # the first month whose day is not past
+    k = F.greatest(F.ceil((least - anchor) / step).cast("int"), F.lit(0)) * step
     # A day that a month lacks ends the search with no date, as a wrong rule should not skip on.
-    dates = F.transform(steps, lambda k: F.struct(at(k).alias("d"), F.lit(1).alias("seen")))
-    first = F.get(F.filter(dates, lambda x: x["d"].isNull() | (x["d"] >= today)), F.lit(0))
-    return F.when((period > 0) & day.isNotNull(), first["d"])
+    whole = F.when(day <= 28, True).otherwise(F.forall(F.sequence(F.lit(0), F.least(k, F.lit(months)), step), lambda i: at(i).isNotNull()))
+    return F.when((period > 0) & day.isNotNull() & (k <= months) & whole, at(k))
 
 
 def after_event(days: Column, event: Column) -> Column:
