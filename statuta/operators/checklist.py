@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta import refdata as R
+from statuta.common import small, stash
 from statuta.functions.deadlines import due_date
 from statuta.functions.text import citation
 from statuta.operators.retrieval import retrieve
@@ -63,21 +64,29 @@ def items(found: DataFrame, today: Column) -> DataFrame:
     )
 
 
+def _extracted(pairs: DataFrame, chunks: DataFrame, extractor: Callable[[str, str], str]) -> DataFrame:
+    """Obligations of distinct pairs of category and chunk_id."""
+    needed = chunks.drop("category").join(pairs, "chunk_id")
+    return obligations(extract(needed.select("chunk_id", "category", "text", "law_name", "article_number", "part_index", "part_count"), extractor))[0]
+
+
 def generate(hits: DataFrame, queries: DataFrame, chunks: DataFrame, extractor: Callable[[str, str], str], today: Column, top_k: int = 3) -> DataFrame:
     """Items of all users. Each pair of chunk and category is extracted once, whoever asked for it."""
     best = hits.where(F.col("rank") <= top_k).join(queries.select("query_id", "user_id", "category"), "query_id").select("user_id", "category", "chunk_id")
-    needed = best.select("category", "chunk_id").distinct().join(chunks.drop("category"), "chunk_id")
-    found, _ = obligations(extract(needed.select("chunk_id", "category", "text", "law_name", "article_number", "part_index", "part_count"), extractor))
-    return items(best.join(found, ["category", "chunk_id"]), today)
+    return items(best.join(_extracted(best.select("category", "chunk_id").distinct(), chunks, extractor), ["category", "chunk_id"]), today)
 
 
 def generate_for_users(queries: DataFrame, chunks: DataFrame, today: Column, is_semantic: bool = False, extractor: Callable[[str, str], str] = rule_extractor, top_k: int = 3) -> DataFrame:
-    """Items for the category queries of all users. Users who ask the same see the same, so each distinct question is retrieved once."""
+    """Items for the category queries of all users. Users who ask the same see the same, so each distinct question is retrieved, and what it finds extracted, once;
+    then users come to what their questions found."""
     same = ["category", "query_text", "entity_type", "province"]
     shared = queries.withColumn("shared", F.xxhash64(*(F.coalesce(F.col(c), F.lit("\0")) for c in same)))
-    asked = shared.select(F.col("shared").alias("query_id"), *same).dropDuplicates(["query_id"])
-    hits = retrieve(asked, chunks, is_semantic).select(F.col("query_id").alias("shared"), "chunk_id", "rank").where(F.col("rank") <= top_k)
-    return generate(shared.join(hits, "shared").select("query_id", "chunk_id", "rank"), queries, chunks, extractor, today, top_k)
+    asked = stash(shared.select(F.col("shared").alias("query_id"), *same).dropDuplicates(["query_id"]), "questions")
+    hits = retrieve(asked, chunks, is_semantic).where(F.col("rank") <= top_k).select("query_id", "chunk_id")
+    best = stash(hits.join(small(asked.select("query_id", "category")), "query_id").select(F.col("query_id").alias("shared"), "category", "chunk_id"), "best")
+    pairs = small(best.select("category", "chunk_id").distinct())
+    found = stash(best.join(_extracted(pairs, chunks, extractor), ["category", "chunk_id"]), "found")
+    return items(shared.select("shared", "user_id").join(small(found), "shared"), today)
 
 
 def replace_items(stored: DataFrame, users: DataFrame, new: DataFrame, preserve_status: bool = False) -> DataFrame:

@@ -286,3 +286,47 @@ def test_registered_queries_have_sql():
     from statuta import registry
 
     assert set(registry.queries()) == set(registry.oracle_sql()) <= set(e.queries())
+
+
+def test_views_of_the_same_cells_share_their_frequencies(spark, chunks):
+    """Provinces without law of their own see what all see: of two hundred of them, one lens adds up the vocabulary."""
+    asked = spark.createDataFrame([(i, "tax", "thuế", "individual", f"P{i}") for i in range(200)] + [(200, "tax", "thuế", "individual", "Phú Thọ")], ASKED)
+    own, views = retrieval.tokenized(chunks), retrieval.views(asked)
+    sent = []
+    plain = spark.sparkContext.broadcast
+    spark.sparkContext.broadcast = lambda x: sent.append(x) or plain(x)
+    try:
+        seen, _ = retrieval.corpus_statistics(own, views, asked.selectExpr("'thuế' as token").distinct())
+    finally:
+        del spark.sparkContext.broadcast
+    assert [len(x) for x in sent if isinstance(x, dict)] == [2] and seen.count() == 201
+    tokens = {r.chunk_id: r.tokens for r in own.where("category = 'tax'").collect()}
+    for shown, n in (("abc", 200), ("abce", 1)):
+        df = Counter(t for c in shown for t in set(tokens[c]))
+        floor = 0.25 * sum(math.log(len(shown) - k + 0.5) - math.log(k + 0.5) for k in df.values()) / len(df)
+        assert seen.where(F.abs(F.col("floor") - floor) < 1e-9).where(F.col("n") == len(shown)).count() == n
+
+
+def test_histograms_add_up_words_that_batches_cut(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((w, c, rng.randint(1, 9)) for w in range(60) for c in (7, 8, 9) if rng.random() < 0.7)
+    lenses = {1: [7], 2: [7, 8, 9], 3: [8, 11], 4: [12]}
+    want = {lens: Counter(v for v in (sum(d for w, c, d in rows if w == word and c in cells) for word in range(60)) if v) for lens, cells in lenses.items()}
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size])], ["word", "cell", "df"]) for i in range(0, len(rows), size)]
+        got = {lens: Counter() for lens in lenses}
+        for out in retrieval._histograms(iter(batches), lenses):
+            for r in out.to_pylist():
+                got[r["lens"]][r["df"]] += r["times"]
+        assert got == want
+
+
+def test_users_come_to_what_their_question_found(spark, chunks):
+    """Users who ask the same are joined to the items of their question at the end; no query text and no hit is dealt out for each user."""
+    asked = spark.range(500).selectExpr("concat(id, '|tax') as query_id", "id as user_id", "'tax' as category", "'thuế' as query_text", "'individual' as entity_type", "cast(null as string) as province")
+    given = chunks.selectExpr("*", "0 as part_index", "1 as part_count")
+    got = checklist.generate_for_users(asked, given, F.lit("2024-05-15").cast("date"), extractor=lambda t, c: checklist.rule_extractor(t, c, duty="thuế"))
+    assert got.count() == 500 and {r.source_chunk_id for r in got.select("source_chunk_id").distinct().collect()} == {"a"}
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
