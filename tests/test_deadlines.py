@@ -32,3 +32,10 @@ def test_no_row_parses_a_date_for_every_month(spark, capsys):
     df.explain(True)
     told = capsys.readouterr().out
     assert "make_date" in told and "format_string" not in told and "gettimestamp" not in told
+
+
+def test_a_replaced_checklist_parses_its_items_once(spark):
+    from statuta.plans.user_queries import replaced
+
+    plan = replaced(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "extraction" not in plan
