@@ -330,3 +330,39 @@ def test_users_come_to_what_their_question_found(spark, chunks):
     got = checklist.generate_for_users(asked, given, F.lit("2024-05-15").cast("date"), extractor=lambda t, c: checklist.rule_extractor(t, c, duty="thuế"))
     assert got.count() == 500 and {r.source_chunk_id for r in got.select("source_chunk_id").distinct().collect()} == {"a"}
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_before_anything_is_shuffled(spark, chunks, monkeypatch):
+    """Tokens are nowhere written, and a task gives one count for a word and a cell, however many chunks hold the word."""
+    written = []
+    plain = retrieval.stash
+    monkeypatch.setattr(retrieval, "stash", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    asked = spark.createDataFrame([(1, "tax", "thuế", "individual", None)], ASKED)
+    many = spark.range(100, numPartitions=1).selectExpr("concat('c', id) as chunk_id", "'tax' as category", "'both' as entity_type", "cast(null as string) as province_scope", "concat('thuế ', id % 3) as text")
+    assert retrieval.bm25_top(asked, many.coalesce(1)).count() == 5
+    assert "chunk-tokens" not in dict(written)
+    told = dict(written)["word-frequencies"].where("word is not null")
+    rows = told.groupBy("word").agg(F.sum("df").alias("df"), F.count("*").alias("rows")).collect()
+    assert sorted(r.df for r in rows) == [33, 33, 34, 100, 100] and max(r.rows for r in rows) <= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("pairs, size", [(4_000_000, 1000), (9, 2), (3, 1)])
+def test_counts_given_away_in_parts_add_up(monkeypatch, pairs, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "PAIRS_HELD", pairs)
+    rng = random.Random(1)
+    rows = [("tax", "both", rng.choice(["national", "P1"]), " ".join(rng.choice("abcdefé") for _ in range(rng.randint(0, 9)))) for _ in range(40)] + [("tax", "both", "P1", None)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in list(zip(*some))[:3]] + [pa.array([len(r[2]) for r in some], pa.int64()), pa.array([r[3] for r in some], pa.string())], ["category", "entity_type", "province_scope", "cell", "text"])
+               for some in (rows[i : i + size] for i in range(0, len(rows), size))]
+    got, totals = Counter(), {}
+    for out in retrieval._counts(iter(batches)):
+        for r in out.to_pylist():
+            if r["word"] is None:
+                totals[r["cell"]] = (r["df"], r["dl"], r["province_scope"])
+            else:
+                got[r["cell"], r["word"]] += r["df"]
+    tokens = lambda t: (t or "").split() + ["e"] * ((t or "").count("é") if "e" not in (t or "") else 0)
+    hashed = dict(zip("abcdefé", retrieval._hashes(list("abcdefé")).tolist()))
+    assert got == Counter((len(r[2]), hashed[w]) for r in rows for w in set(tokens(r[3])))
+    assert totals == {len(p): (sum(r[2] == p for r in rows), sum(len(tokens(r[3])) for r in rows if r[2] == p), p) for p in ("national", "P1")}

@@ -214,3 +214,24 @@ def test_page_documents_by_class_and_id(spark):
     specs = spark.createDataFrame([(f"u{k}", f"d{k}", r, *[None] * 7) for k, r in enumerate(regions)], kinds)
     got = {r.doc_id: r.raw_text for r in corpus.documents_of_pages(pages, specs).collect()}
     assert got == {"d0": "menu\nLaw one\ntwo\nthree\nend", "d1": "Law one\ntwo\nthree", "d2": "end", "d3": "menu"}
+
+
+def test_tokens_in_a_task_are_those_of_the_column_function(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "thuế thuế đất thue", "A\x1cb \x85c\xa0d e　f​g", "ÉÉ É́x ́ é ΣΑΣ İI ß", "中文 字", "x\ny\t\x0bz"]
+    texts += ["".join(rng.choice("aáàÁbđĐêẽ \n\t\xa0\x1f́中Ω") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("x", F.lower("x").alias("low"), text.tokenize(F.col("x")).alias("t")).collect()
+    assert len(rows) == len(texts) and all(text.tokens_of(r.low) == r.t for r in rows)
+
+
+def test_hashing_vectors_count_words_between_any_space():
+    import hashlib
+
+    import numpy as np
+
+    want = np.zeros(256)
+    for w in ("thuế", "đất", "a_b", "c", "d", "1"):
+        want[hashlib.md5(w.encode()).digest()[-1]] += 1
+    assert np.allclose(text.hashing_vectors(["Thuế,đất\x1fA_b (c-d)　1", None])[0], want / np.linalg.norm(want))
