@@ -93,7 +93,7 @@ def word_shapes():
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), 64))
         for i, x in enumerate(texts):
-            np.add.at(out[i], [(ord(w[0]) * 7 + len(w)) % 64 for w in word.findall(x)], 1)
+            out[i] = np.bincount(np.array([(ord(w[0]) * 7 + len(w)) % 64 for w in word.findall(x)], np.int64), minlength=64)
         return out
 
     return encode

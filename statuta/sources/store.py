@@ -177,7 +177,7 @@ class ChunkStore:
             changes = plain.observe(told, *counted())
             replaces = F.when(F.col("change") == "changed", F.coalesce("old_category", F.lit("\0")))
             written = changes.where("change <> 'unchanged'").withColumn("replaces", replaces).drop("change", "old_category")
-            if self.embed and not plain.where("change <> 'unchanged'").isEmpty():  # else no model is asked for
+            if self.embed and self._differs(incoming, live, version):  # else no model is asked for
                 written = self.embed(written)
             entries = self._write(written, "data", folder)
             if self.sync_deletes:
@@ -198,6 +198,14 @@ class ChunkStore:
         self._compact_when_due()
         return told
 
+    def _differs(self, incoming: DataFrame, live: DataFrame, version: int | None) -> bool:
+        """Whether upsert() has rows to write: by ids and hashes alone, so no text is moved to find out."""
+        if version is None:
+            return not incoming.isEmpty()
+        first = F.min_by(F.struct(*self.by), F.struct("content_hash", F.xxhash64(*incoming.columns)))
+        keys = incoming.groupBy("chunk_id").agg(first.alias("r")).select("chunk_id", "r.*")
+        return not diff(keys, live, self.by).where("change <> 'unchanged'").isEmpty()
+
     def _drop(self, folder: str) -> None:
         for kind in ("data", "removed"):
             self.fs.delete(self._at(kind, folder), True)

@@ -136,3 +136,17 @@ def test_a_lookup_skips_row_groups(spark):
     wanted = rows.where("id in (5, 7000)").select("chunk_id")
     assert store.get(wanted).count() == 2 and scanned(store.get(wanted)) < 20_000 / 2
     assert store.get(wanted.where("false")).count() == 0 and store.get(rows.select("chunk_id").limit(1500)).count() == 1500
+
+
+def test_no_text_moves_to_find_out_whether_a_model_is_asked(spark, monkeypatch):
+    from statuta.sources import store as S
+
+    asked, compared = [], []
+    own = ChunkStore(spark, fresh_path(spark, "store"), embed=lambda rows: asked.append(1) or rows.withColumn("embedding", F.array(F.lit(1.0))))
+    rows = chunk(spark, [("a", "d", "tax", "x"), ("b", "d", "tax", "y"), ("b", "d", "tax", "z")])
+    own.upsert(rows)
+    plain = S.diff
+    monkeypatch.setattr(S, "diff", lambda incoming, *rest, **more: compared.append(incoming.columns) or plain(incoming, *rest, **more))
+    assert own.upsert(rows)["written"] == 0 and asked == [1]
+    assert ["chunk_id", "content_hash"] in compared
+    assert own.upsert(rows.where("text <> 'y'"))["written"] == 1 and asked == [1, 1] and held(own) == [("a", "tax", "x"), ("b", "tax", "z")]
