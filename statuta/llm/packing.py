@@ -29,6 +29,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from statuta.llm.common import give_back
 
+FLUSH = 1 << 20  # ids that a task holds of packed pieces before it gives them away
+AT_ONCE = 256  # texts that are encoded at a time
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -216,12 +219,14 @@ def pack_tokens(df: DataFrame, encode: Callable[[pa.RecordBatch], Iterator[tuple
         for row in pack_encoded((x for b in batches for x in encode(b)), limits, cut):
             rows.append(row)
             held += len(row[2])
-            if held > 4 << 20:
+            if held >= FLUSH:
                 yield flush()
                 rows, held = [], 0
                 give_back()
         if rows:
             yield flush()
+        rows.clear()
+        give_back()  # what the last rows took, too: the worker lives on, and by turns each idle one packs
 
     return df.mapInArrow(run, schema)
 
@@ -233,9 +238,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     end = np.array([end_id], "<u4")
 
     def encode(batch: pa.RecordBatch) -> Iterator[tuple]:
-        size = 1024
-        for i in range(0, batch.num_rows, size):
-            some = batch.slice(i, size)
+        for i in range(0, batch.num_rows, AT_ONCE):
+            some = batch.slice(i, AT_ONCE)
             texts = [x or "" for x in some.column(1).to_pylist()]
             for key, ids in zip(some.column(0).to_pylist(), tokenizer(tokenizer_path).encode(texts)):
                 mask = np.ones(len(ids) + 1, np.uint8)

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -127,6 +128,26 @@ def test_packing_keeps_ids_of_any_type(spark):
         assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and {str(r.doc_id) for r in out.collect()} == {str(r.doc_id) for r in docs.collect()}
 
 
+def test_packing_gives_ids_away_in_parts_and_keeps_no_memory(spark, monkeypatch):
+    taken = []
+
+    class Rows:  # what a task of mapInArrow sees
+        schema = spark.range(1).withColumnRenamed("id", "doc_id").schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "give_back", lambda: taken.append("given back"))
+    example = np.zeros(700, "<u4"), np.ones(700, np.uint8)
+    run = packing.pack_tokens(Rows(), lambda batch: ((k, *example) for k in range(batch)), packing.Limits(), True, "doc_id")
+    for out in run(iter([1000, 3000])):
+        taken.append(sum(out.column("length").to_pylist()))
+    sizes = [x for x in taken if x != "given back"]
+    assert sum(sizes) == 4000 * 700 and max(sizes) < (1 << 20) + 1024
+    assert taken[-1] == "given back"  # after the last rows, too
+
+
 def test_conversations_learn_from_one_role(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "good day"), (2, 0, "user", None), (2, 1, None, "x")], "conv_id long, turn long, role string, text string")
     rows = {r.doc_id: r for r in packing.pack_conversations(turns, packing.public_tokenizer()).collect()}
