@@ -22,11 +22,11 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from statuta.common import small
+from statuta.common import scratch, small, stash
 
 COLUMNS = (
     "chunk_id string, document_id string, document_title string, law_name string, category string, entity_type string, province_scope string, effective_from string, effective_to string, "
@@ -54,12 +54,10 @@ def counters(changes: DataFrame) -> DataFrame:
     return changes.agg(*counted())
 
 
-def _observed(told: Observation) -> dict[str, int] | None:
-    """The counts of a write; None where nothing was to be written and Spark cut the step off that counts."""
-    try:
-        return told.get
-    except Py4JJavaError:
-        return None
+def _once(incoming: DataFrame) -> DataFrame:
+    """Of rows with one chunk_id the one of smallest hash."""
+    first = F.min_by(F.struct(*incoming.columns), F.struct("content_hash", F.xxhash64(*incoming.columns)))
+    return incoming.groupBy("chunk_id").agg(first.alias("r")).select("r.*")
 
 
 def _until(rows: DataFrame, folder: str) -> DataFrame:
@@ -168,22 +166,31 @@ class ChunkStore:
         return self._live(manifest).select(*self._schema(manifest).names)
 
     def upsert(self, incoming: DataFrame) -> dict[str, int]:
-        """Write what is new or changed; only that is embedded. Rows are counted as they are written, in one pass."""
+        """Write what is new or changed; only that is moved and embedded. incoming is read again and again, for its ids and hashes and for the rows to write, so dear ones are stashed before."""
 
         def work(version: int | None, manifest: list[dict], folder: str) -> tuple[list[dict] | None, dict[str, int]]:
-            live, told = self._live(manifest), Observation()
-            once = incoming.groupBy("chunk_id").agg(F.min_by(F.struct(*incoming.columns), F.struct("content_hash", F.xxhash64(*incoming.columns))).alias("r")).select("r.*")
-            plain = diff(once, live, self.by, keep=("category",))
-            changes = plain.observe(told, *counted())
-            replaces = F.when(F.col("change") == "changed", F.coalesce("old_category", F.lit("\0")))
-            written = changes.where("change <> 'unchanged'").withColumn("replaces", replaces).drop("change", "old_category")
-            if self.embed and self._differs(incoming, live, version):  # else no model is asked for
+            with scratch(self.spark):  # what tells the rows to write goes once they are written
+                return told_of(self._live(manifest), manifest, folder)
+
+        def told_of(live: DataFrame, manifest: list[dict], folder: str) -> tuple[list[dict] | None, dict[str, int]]:
+            rows, plan = incoming, self._plan(incoming, live)
+            counts = plan.agg(*counted(), F.count_if(F.col("change") == "new").alias("new")).first().asDict()
+            new = counts.pop("new")
+            if counts["total"] < incoming.select("chunk_id").count():  # some ids come twice: which row counts is found out once, with the whole rows
+                rows = stash(_once(incoming), "once")
+                plan = self._plan(rows, live)
+                counts = counters(plan).first().asDict()
+            if new == counts["total"]:  # no id is known: all rows are written, and none is looked for
+                written = rows.withColumn("replaces", F.lit(None).cast("string"))
+            else:
+                due = plan.where("change <> 'unchanged'").select(F.col("chunk_id").alias("_id"), F.when(F.col("change") == "changed", F.coalesce("old_category", F.lit("\0"))).alias("replaces"))
+                written = rows.join(small(due), F.col("chunk_id").eqNullSafe(F.col("_id"))).drop("_id")
+            if self.embed and counts["written"]:  # else no model is asked for
                 written = self.embed(written)
-            entries = self._write(written, "data", folder)
+            entries = self._write(written, "data", folder) if counts["written"] else []
             if self.sync_deletes:
                 gone = live.join(incoming.select("document_id").distinct(), "document_id", "left_semi").join(incoming.select("chunk_id"), "chunk_id", "left_anti")
                 entries += self._write(_until(gone, folder), "removed", folder)
-            counts = _observed(told) or counters(plain).first().asDict()
             if not entries:
                 self._drop(folder)
                 return None, counts
@@ -198,13 +205,10 @@ class ChunkStore:
         self._compact_when_due()
         return told
 
-    def _differs(self, incoming: DataFrame, live: DataFrame, version: int | None) -> bool:
-        """Whether upsert() has rows to write: by ids and hashes alone, so no text is moved to find out."""
-        if version is None:
-            return not incoming.isEmpty()
-        first = F.min_by(F.struct(*self.by), F.struct("content_hash", F.xxhash64(*incoming.columns)))
-        keys = incoming.groupBy("chunk_id").agg(first.alias("r")).select("chunk_id", "r.*")
-        return not diff(keys, live, self.by).where("change <> 'unchanged'").isEmpty()
+    def _plan(self, incoming: DataFrame, live: DataFrame) -> DataFrame:
+        """chunk_id, change and old_category: found out by ids and hashes alone, so no text is moved for it."""
+        keys = incoming.groupBy("chunk_id").agg(F.min(F.struct(*self.by)).alias("r")).select("chunk_id", "r.*")
+        return stash(diff(keys, live, self.by, keep=("category",)).select("chunk_id", "change", "old_category"), "upsert")
 
     def _drop(self, folder: str) -> None:
         for kind in ("data", "removed"):

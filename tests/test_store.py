@@ -150,3 +150,30 @@ def test_no_text_moves_to_find_out_whether_a_model_is_asked(spark, monkeypatch):
     assert own.upsert(rows)["written"] == 0 and asked == [1]
     assert ["chunk_id", "content_hash"] in compared
     assert own.upsert(rows.where("text <> 'y'"))["written"] == 1 and asked == [1, 1] and held(own) == [("a", "tax", "x"), ("b", "tax", "z")]
+
+
+def test_an_upsert_moves_only_the_text_that_it_writes(spark, store):
+    """Rows of 20 kB of text that doesn't compress: a first write moves each once, one that finds nothing to do moves none."""
+    from pyspark.sql import types as T
+
+    long = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(300)), lambda k: F.sha2(F.concat("chunk_id", k.cast("string")), 256)), "")
+    rows = chunk(spark, [(f"c{k}", f"D{k % 9}", "tax", "") for k in range(200)]).withColumn("text", long).withColumn("content_hash", F.md5("text"))
+    rows.write.parquet(path := fresh_path(spark, "long"))
+    rows = spark.read.schema(T.StructType(rows.schema)).parquet(path)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def moved(work):
+        before = shuffled()
+        return work(), shuffled() - before
+
+    told, first = moved(lambda: store.upsert(rows))
+    assert told == {"written": 200, "skipped": 0, "total": 200} and first < 1.5 * 200 * 19264
+    told, again = moved(lambda: store.upsert(rows))
+    assert told == {"written": 0, "skipped": 200, "total": 200} and again < 200_000 and store.versions() == [1]
+    both = rows.unionByName(rows.withColumn("text", F.lit("other")).withColumn("content_hash", F.lit("0")).limit(3))  # ids that come twice
+    assert store.upsert(both) == {"written": 3, "skipped": 197, "total": 200} and store.chunks().where("text = 'other'").count() == 3
