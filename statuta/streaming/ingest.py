@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from statuta.common import scratch, stash
 from statuta.sources import corpus
 from statuta.sources.store import ChunkStore
 
@@ -13,7 +14,8 @@ from statuta.sources.store import ChunkStore
 def ingest(docs: DataFrame, store: ChunkStore) -> tuple[dict[str, int], DataFrame]:
     """Documents to the chunk table: the counts of chunks written, skipped and in all, and the documents that the taxonomy refuses."""
     good, refused = corpus.validated(docs)
-    return store.upsert(corpus.chunks_of(good)), refused
+    with scratch(docs.sparkSession):
+        return store.upsert(stash(corpus.chunks_of(good), "chunks")), refused
 
 
 def ingest_stream(spark: SparkSession, path: str, checkpoint: str, store: ChunkStore, letters: str | None = None) -> StreamingQuery:
@@ -40,7 +42,8 @@ def _key(fields: list[str]) -> Column:
 
 def _apply(rows: DataFrame, store: ChunkStore, to: str | None) -> None:
     """Corpus rows with key and attempt to the chunk table, and what is to be said of them to the letters."""
-    store.upsert(corpus.chunks_of(corpus.documents_of_corpus(rows)))
+    with scratch(store.spark):  # an upsert reads its rows more than once
+        store.upsert(stash(corpus.chunks_of(corpus.documents_of_corpus(rows)), "chunks"))
     if to:
         told = rows.withColumn("reason", corpus.refusal()).where("reason is not null or attempt > 1")  # what never failed needs no letter
         told.withColumn("markdown", F.when(F.col("reason").isNotNull(), F.col("markdown"))).write.mode("overwrite").parquet(to)
