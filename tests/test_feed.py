@@ -68,3 +68,15 @@ def test_settled_changes_stay_and_odd_rows_do_no_harm(spark):
 def test_what_a_user_is_told_by_a_plain_fold():
     made, after = feed.versions(3, {"x": "1"}, [(5, '{"x": "1"}'), (6, '{"x": "2"}'), (7, '{"y": null}')], ["x", "y"])
     assert made == [(4, 6, ["x"], {"x": "2"})] and [n for n, _ in after] == [3, 4, 4]
+
+
+def test_only_users_that_changed_have_a_state(spark):
+    root = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
+    base = spark.createDataFrame([(f"u{k}", 20, "driver") for k in range(50)], "user_id string, age int, occupation_type string")
+    for rows, states in (([("u1", day(1), {"age": "21"}), ("u1", day(2), {"age": "22"}), ("u2", day(1), {"age": "20"}), ("x", day(1), {"age": "1"})], 2), ([("u1", day(3), {"age": "23"}), ("u3", day(1), {"age": "9"})], 3)):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(root + "/in")
+        q = feed.profile_stream(spark.readStream.schema(CHANGES).parquet(root + "/in"), base, root + "/out", root + "/checkpoint")
+        q.awaitTermination()
+        assert q.recentProgress[0].stateOperators[0].numRowsTotal == states
+    got = feed.history(spark, root + "/out").where("version > 1").select("user_id", "version", "age").orderBy("user_id", "version").collect()
+    assert [tuple(r) for r in got] == [("u1", 2, 21), ("u1", 3, 22), ("u1", 4, 23), ("u3", 2, 9)] and feed.history(spark, root + "/out").count() == 54
