@@ -61,7 +61,8 @@ def apply_changes(profiles: DataFrame, changes: DataFrame, fields: list[str] = F
     types = {f.name: f.dataType.simpleString() for f in profiles.schema}
     first = profiles.select("user_id", F.lit(None).cast("timestamp").alias("ts"), *(F.struct(F.col(f).alias("v")).alias(f) for f in fields))
     sent = [F.when(F.map_contains_key("changes", F.lit(f)), F.struct(F.try_element_at("changes", F.lit(f)).cast(types[f]).alias("v"))).alias(f) for f in fields]
-    every = first.unionByName(changes.join(profiles.select("user_id"), "user_id", "left_semi").select("user_id", "ts", *sent))
+    known = profiles.select("user_id").hint("shuffle_hash")  # one row a user, so changes need no sort to find theirs
+    every = first.unionByName(changes.join(known, "user_id", "left_semi").select("user_id", "ts", *sent))
     order = Window.partitionBy("user_id").orderBy(F.asc_nulls_first("ts"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     filled = every.select("user_id", "ts", *(F.last(f, True).over(upto)["v"].alias(f) for f in fields))
@@ -92,14 +93,17 @@ BELONGS = {"users": None, "profiles": ("users", "user_id", "user_id"), "history"
 
 
 def removed_with(tables: dict[str, DataFrame], gone: DataFrame, root: str = "users", belongs: dict = BELONGS) -> dict[str, DataFrame]:
-    """The tables without the rows of `gone` (a key of the root table) and without all that hangs on these, from table to table."""
-    keys, out = {root: gone.distinct()}, {}
+    """The tables without the rows of `gone` (a key of the root table) and without all that hangs on these, from table to table.
+
+    What is hashed are keys, each once; the rows of the tables, of which many may share a key, are not sorted.
+    """
+    keys, out = {root: gone.distinct().hint("shuffle_hash")}, {}
     for name, link in belongs.items():  # a table stands after that which it hangs on
         if name == root:
             out[name] = tables[name].join(keys[name], keys[name].columns, "left_anti")
         elif link and link[0] in keys:
             parent, key, own = link
-            lost = keys[parent].select(F.col(key).alias(own)).distinct()
+            lost = keys[parent].select(F.col(key).alias(own)).distinct().hint("shuffle_hash")
             out[name] = tables[name].join(lost, own, "left_anti")
             further = {child[1] for child in belongs.values() if child and child[0] == name}
             if further:
@@ -107,14 +111,16 @@ def removed_with(tables: dict[str, DataFrame], gone: DataFrame, root: str = "use
     return tables | out
 
 
-def left_behind(tables: dict[str, DataFrame], belongs: dict = BELONGS) -> DataFrame:
-    """table_name and n, the rows that hang on nothing: none where all was removed that had to be. A null key hangs on nothing, too."""
+def left_behind(tables: dict[str, DataFrame], belongs: dict = BELONGS, rows: str | None = None) -> DataFrame:
+    """table_name and n, the rows that hang on nothing: none where all was removed that had to be. A null key hangs on nothing, too.
+    Tables that are counted already have in `rows` how many rows each of theirs stands for."""
     every = None
     for name, link in belongs.items():
         if link:
             parent, key, own = link
-            lone = tables[name].join(tables[parent].select(F.col(key).alias(own)).distinct(), own, "left_anti")
-            lone = lone.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+            each = tables[name].groupBy(own).agg((F.sum(rows) if rows else F.count("*")).alias("n"))  # counted by key before they meet the keys
+            lone = each.join(tables[parent].select(F.col(key).alias(own)).distinct(), own, "left_anti")
+            lone = lone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(name).alias("table_name"), "n")
             every = lone if every is None else every.unionByName(lone)
     return every
 

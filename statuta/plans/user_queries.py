@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,13 +200,13 @@ def profile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def removed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9: users removed with all that hangs on them; the rows left by table and user, and how many of any table hang on nothing."""
     p = V.profiles(spark, sf_dir)
-    own = items(spark, sf_dir).join(p.select("user_id"), "user_id", "left_semi")
+    own = items(spark, sf_dir).join(p.select("user_id").hint("shuffle_hash"), "user_id", "left_semi")
     tables = {"users": p.select("user_id", "username"), "profiles": p, "history": history(spark, sf_dir), "traits": profiles.trait_rows(p), "items": own}
     left = profiles.removed_with(tables, p.where("user_id % 7 = 0").select("user_id"))
-    out = profiles.left_behind(left).agg(F.lit("left behind").alias("table_name"), F.lit(None).cast("long").alias("user_id"), F.sum("n").alias("n"))
-    for name, rows in left.items():
-        out = out.unionByName(rows.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "user_id", "n"))
-    return out
+    counts = [rows.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "user_id", "n") for name, rows in left.items()]
+    kept = stash(reduce(DataFrame.unionByName, counts), "kept")  # read twice below
+    lone = profiles.left_behind({name: kept.where(F.col("table_name") == name) for name in left}, rows="n")
+    return kept.unionByName(lone.agg(F.lit("left behind").alias("table_name"), F.lit(None).cast("long").alias("user_id"), F.sum("n").alias("n")))
 
 
 @query("h3_current_profiles", f"WITH {V.PROFILES_SQL}, {HISTORY_SQL} SELECT user_id, CAST(max(version) AS INT) AS version, arg_max({{'v': age}}, version).v AS age, arg_max({{'v': occupation_type}}, version).v AS occupation_type FROM history GROUP BY 1")
