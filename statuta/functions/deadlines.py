@@ -13,14 +13,15 @@ def _days(year: Column, month: Column) -> Column:
 def _date(year: Column, month: Column, day: Column) -> Column:
     """Null for a day that the month doesn't have, a month that the year doesn't have, and years beyond four digits."""
     known = year.between(1, 9999) & month.between(1, 12) & (day >= 1)
-    return F.when(known, F.when(day <= _days(year, month), F.make_date(year, month, day)))
+    return F.when(known & ((day <= 28) | (day <= _days(year, month))), F.make_date(year, month, day))
 
 
 def fixed(month: Column, day: Column, today: Column) -> Column:
     """This year's day or, once it has passed, next year's."""
     year = F.year(today)
-    now = _date(year, month, day)
-    return F.when(month.isNotNull() & day.isNotNull() & now.isNotNull(), F.when(now < today, _date(year + 1, month, day)).otherwise(now))
+    passed = (month < F.month(today)) | ((month == F.month(today)) & (day < F.dayofmonth(today)))
+    # Where this year lacks the day, there is none, whatever next year has. Every month has the first 28.
+    return F.when((day <= 28) | _date(year, month, day).isNotNull(), _date(year + F.when(passed, 1).otherwise(0), month, day))
 
 
 def recurring(month: Column, day: Column, period: Column, today: Column, months: int = 120) -> Column:
@@ -34,7 +35,10 @@ def recurring(month: Column, day: Column, period: Column, today: Column, months:
     k = F.greatest(F.ceil((least - anchor) / step).cast("int"), F.lit(0)) * step
     # A day that a month lacks ends the search with no date, as a wrong rule should not skip on.
     whole = F.when(day <= 28, True).otherwise(F.forall(F.sequence(F.lit(0), F.least(k, F.lit(months)), step), lambda i: at(i).isNotNull()))
-    return F.when((period > 0) & day.isNotNull() & (k <= months) & whole, at(k))
+    # So the month that is found has the day. It is no earlier than today's, and is counted on from January.
+    last = (10_000 - F.year(today)) * 12 - 1
+    due = F.when((F.year(today) >= 1) & (day >= 1) & (anchor + k <= last), F.date_add(F.add_months(F.trunc(today, "year"), anchor + k), day - 1))
+    return F.when((period > 0) & day.isNotNull() & (k <= months) & whole, due)
 
 
 def after_event(days: Column, event: Column) -> Column:

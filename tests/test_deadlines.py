@@ -39,3 +39,22 @@ def test_a_replaced_checklist_parses_its_items_once(spark):
 
     plan = replaced(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "extraction" not in plan
+
+
+def steps(df):
+    """How often the step to the month that is due is worked out in the plan of df."""
+    return df._jdf.queryExecution().optimizedPlan().toString().lower().count("ceil(")
+
+
+def test_a_status_text_works_out_its_months_few_times(spark):
+    from statuta.plans.user_queries import status_text
+
+    assert steps(status_text(spark, "/root/testdata/sf0.001")) <= 8  # 4 for the filter, 4 for the text
+
+
+def test_due_dates_end_with_year_9999(spark):
+    rows = [("fixed", 5, 1, None), ("fixed", 12, 31, None), ("recurring", 12, 1, 1), ("recurring", 13, 1, 1), ("recurring", -2_000_000_000, 1, 1), ("recurring", 2_000_000_000, 1, 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, m int, d int, p int")
+    none = F.lit(None)
+    due = deadlines.due_date(F.col("kind"), F.col("m"), F.col("d"), F.col("p"), none.cast("int"), none.cast("date"), F.lit("9999-06-15").cast("date"))
+    assert [r.due for r in df.select("i", due.alias("due")).orderBy("i").collect()] == [None, dt.date(9999, 12, 31), dt.date(9999, 12, 1), None, None, None]
