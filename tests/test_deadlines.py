@@ -58,3 +58,9 @@ def test_due_dates_end_with_year_9999(spark):
     none = F.lit(None)
     due = deadlines.due_date(F.col("kind"), F.col("m"), F.col("d"), F.col("p"), none.cast("int"), none.cast("date"), F.lit("9999-06-15").cast("date"))
     assert [r.due for r in df.select("i", due.alias("due")).orderBy("i").collect()] == [None, dt.date(9999, 12, 31), dt.date(9999, 12, 1), None, None, None]
+
+
+def test_stored_items_work_out_their_months_few_times(spark):
+    from statuta.plans.lifecycle_queries import stored_items
+
+    assert steps(stored_items(spark, "/root/testdata/sf0.001")) <= 4
